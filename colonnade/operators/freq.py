@@ -236,12 +236,13 @@ def exact_quantiles(rows: DataFrame, probs: tuple[float, ...] = QUANTILES) -> Da
 
 
 def moments(rows: DataFrame, means: dict[str, float]) -> DataFrame:
-    """Bias-corrected skewness and excess kurtosis per column around known means, from (column_name, x, n) rows.
+    """Bias-corrected skewness, excess kurtosis and standard deviation per column around known means, from (column_name, x, n) rows.
 
     NULL below three (four) values, 0 for a constant column.
     """
     if not means:
-        return rows.selectExpr("column_name", "cast(NULL AS double) AS skew", "cast(NULL AS double) AS kurt").limit(0)
+        return rows.selectExpr("column_name", "cast(NULL AS double) AS skew", "cast(NULL AS double) AS kurt",
+                               "cast(NULL AS double) AS std").limit(0)
     known = rows.sparkSession.createDataFrame(list(means.items()), "column_name string, mu double")
     sums = rows.join(F.broadcast(known), "column_name").groupBy("column_name").agg(  # one row per column
         F.expr("cast(sum(n) AS double) AS c"), F.expr("sum(n * pow(x - mu, 2)) / sum(n) AS m2"),
@@ -250,4 +251,5 @@ def moments(rows: DataFrame, means: dict[str, float]) -> DataFrame:
         "column_name",
         "CASE WHEN c >= 3 THEN coalesce(m3 / nullif(pow(m2, 1.5), 0D), 0D) * sqrt(c * (c - 1)) / (c - 2) END AS skew",
         """CASE WHEN c >= 4 THEN coalesce((c - 1) / ((c - 2) * (c - 3))
-           * ((c + 1) * (m4 / nullif(m2 * m2, 0D) - 3) + 6), 0D) END AS kurt""")
+           * ((c + 1) * (m4 / nullif(m2 * m2, 0D) - 3) + 6), 0D) END AS kurt""",
+        "CASE WHEN c > 1 THEN sqrt(m2 * c / (c - 1)) END AS std")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,34 +128,30 @@ def assemble(df: DataFrame, facts: list[dict], freq: DataFrame, lists: list[str]
     counted = present.filter(F.col("unit") == (
         F.when(F.col("column_name").isin(lists), "token").otherwise("cell") if lists else F.lit("cell")))
     pieces = [fq.mode_values(counted, kinds).select("column_name", "mode_values")]
-
-    plain = [f["column_name"] for f in facts if f["kind"] == "string" and not f["is_list"] and f["cell_distinct"] <= FEW_SAMPLES_ABOVE]
-    if plain:
-        pieces.append(fq.first_values(counted.filter(F.col("column_name").isin(plain))).groupBy("column_name").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("rank", "s"))), lambda r: r["s"]).alias("first_distinct")))
-    if lists:
-        pieces.append(hash_sample(counted.filter(F.col("column_name").isin(lists)), kinds).withColumnRenamed("sample", "token_sample"))
-
-    if any(f["kind"] == "string" for f in facts):
-        lengths = present.filter(F.col("unit") == "length").selectExpr("column_name", "cast(i AS double) AS x", "n")
+    texts = [f["column_name"] for f in facts if f["is_list"] or (f["kind"] == "string" and f["cell_distinct"] <= FEW_SAMPLES_ABOVE)]
+    if texts:
+        pieces.append(sample_values(counted.filter(F.col("column_name").isin(texts)), kinds, lists))
+    numeric, numeric_texts = number_columns(facts)
+    large = [f["column_name"] for f in facts if f["cell_distinct"] > fq.QUANTILE_GROUP_LIMIT]
+    means = {f["column_name"]: f["num_avg"] for f in facts if f["column_name"] in numeric}
+    if numeric or numeric_texts:
+        rows = numeric_freq(present, df, numeric, numeric_texts, lists)
+        pieces.append(fq.quantiles(rows, [c for c in large if c in numeric + numeric_texts]).selectExpr(
+            "column_name", "q[0] AS q1", "q[1] AS median", "q[2] AS q3"))
+        pieces.append(fq.moments(rows, means).select("column_name", "skew", "kurt"))
+    lengths = present.filter(F.col("unit") == "length").selectExpr("column_name", "cast(i AS double) AS x", "n")
+    length_means = {f["column_name"]: f["len_mean"] for f in facts if f["len_mean"] is not None}
+    if length_means:
         pieces.append(fq.quantiles(lengths, probs=(0.5,)).selectExpr("column_name", "q[0] AS len_median"))
-        pieces.append(lengths.groupBy("column_name").agg(F.expr(
-            "sqrt(greatest(sum(n * x * x) - sum(n * x) * sum(n * x) / sum(n), 0D) / nullif(sum(n) - 1, 0))").alias("len_std")))
-    numeric, texts = number_columns(facts)
-    if numeric or texts:
-        rows = numeric_freq(present, df, numeric, texts, lists)
-        large = [f["column_name"] for f in facts
-                 if f["column_name"] in numeric + texts and f["cell_distinct"] > fq.QUANTILE_GROUP_LIMIT]
-        pieces.append(fq.quantiles(rows, large).selectExpr("column_name", "q[0] AS q1", "q[1] AS median", "q[2] AS q3"))
-        means = {f["column_name"]: f["num_avg"] for f in facts if f["column_name"] in numeric}
-        pieces.append(fq.moments(rows, means))
-
-    merged = base
+        pieces.append(fq.moments(lengths, length_means).selectExpr("column_name", "std AS len_std"))
+    fields = {"mode_values": "array<string>", "samples": "array<string>", "q1": "double", "median": "double", "q3": "double",
+              "skew": "double", "kurt": "double", "len_median": "double", "len_std": "double"}
+    rows = None
     for piece in pieces:
-        merged = merged.join(F.broadcast(piece), "column_name", "left")  # at most one row per column
-    missing = {"first_distinct": "array<string>", "token_sample": "array<string>", "q1": "double", "median": "double",
-               "q3": "double", "skew": "double", "kurt": "double", "len_median": "double", "len_std": "double"}
-    return merged.selectExpr("*", *[f"cast(NULL AS {t}) AS {c}" for c, t in missing.items() if c not in merged.columns])
+        full = piece.selectExpr("column_name", *[(c if c in piece.columns else f"cast(NULL AS {t}) AS {c}") for c, t in fields.items()])
+        rows = full if rows is None else rows.unionByName(full)
+    merged = rows.groupBy("column_name").agg(*[F.first(c, ignorenulls=True).alias(c) for c in fields])
+    return base.join(F.broadcast(merged), "column_name", "left")  # one row per column
 
 
 def numeric_freq(freq: DataFrame, df: DataFrame, numeric: list[str], texts: list[str], lists: list[str]) -> DataFrame:
@@ -170,15 +168,14 @@ def numeric_freq(freq: DataFrame, df: DataFrame, numeric: list[str], texts: list
     return rows
 
 
-def hash_sample(freq: DataFrame, kinds: Column, limit: int = 5, seed: int = 42) -> DataFrame:
-    """Repeatable random sample of distinct values per column: the ``limit`` smallest hashes."""
-    from pyspark.sql import Window
-
-    key = F.xxhash64(F.lit(seed), "i", "d", "s")
+def sample_values(freq: DataFrame, kinds: Column, random: list[str] = (), limit: int = 5, seed: int = 42) -> DataFrame:
+    """A few distinct values per column: the ``limit`` smallest, or for the columns in ``random`` those with
+    the smallest hashes (a repeatable random sample)."""
+    key = F.when(F.col("column_name").isin(list(random)), F.xxhash64(F.lit(seed), "i", "d", "s")) if random else F.lit(None).cast("bigint")
     order = Window.partitionBy("column_name").orderBy("h", "i", "d", "s")
     top = freq.withColumn("h", key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return top.groupBy("column_name").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("rank", fq.value_text(kinds).alias("v")))), lambda r: r["v"]).alias("sample"))
+        F.sort_array(F.collect_list(F.struct("rank", fq.value_text(kinds).alias("v")))), lambda r: r["v"]).alias("samples"))
 
 
 def shape_text(skew: Column, kurt: Column) -> Column:
@@ -217,8 +214,8 @@ def finish(m: DataFrame) -> DataFrame:
         "CASE WHEN several THEN distinct_n END AS unique_count", "modes AS mode_values",
         f"""coalesce(CASE WHEN numeric AND cardinality > {NO_SAMPLES_ABOVE} THEN NULL
             WHEN numeric OR few THEN some_modes WHEN temporal THEN slice(modes, 1, 3)
-            WHEN is_text AND is_list THEN token_sample WHEN is_text AND cardinality > {NO_SAMPLES_ABOVE} THEN NULL
-            WHEN is_text AND cardinality > {FEW_SAMPLES_ABOVE} THEN slice(modes, 1, 3) WHEN is_text THEN first_distinct
+            WHEN is_text AND is_list THEN samples WHEN is_text AND cardinality > {NO_SAMPLES_ABOVE} THEN NULL
+            WHEN is_text AND cardinality > {FEW_SAMPLES_ABOVE} THEN slice(modes, 1, 3) WHEN is_text THEN samples
             ELSE slice(modes, 1, 3) END, cast(array() AS array<string>)) AS sampled_values""",
         f"""CASE WHEN numeric THEN shape
             WHEN temporal THEN concat('start: ', coalesce(first_time, ''), ', end: ', coalesce(last_time, ''))
@@ -251,13 +248,18 @@ def pattern_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return df.agg(*outs).select(F.inline(F.array(*structs)))
 
 
-def profile_catalog(tables: dict[str, DataFrame], dataset: str, order_by: dict[str, str] | None = None) -> DataFrame:
-    """Profiles of many tables as one table keyed by (dataset, table)."""
-    out = None
-    for name, df in tables.items():
-        part = profile(df, order_by=(order_by or {}).get(name)).select(
-            F.lit(dataset).alias("dataset"), F.lit(name).alias("table"), "*")
-        out = part if out is None else out.unionByName(part)
+def profile_catalog(tables: dict[str, DataFrame], dataset: str, order_by: dict[str, str] | None = None,
+                    at_once: int = 4) -> DataFrame:
+    """Profiles of many tables as one table keyed by (dataset, table); ``at_once`` tables are submitted together."""
+    def one(item: tuple[str, DataFrame]) -> DataFrame:
+        name, df = item
+        part = profile(df, order_by=(order_by or {}).get(name))
+        return part.select(F.lit(dataset).alias("dataset"), F.lit(name).alias("table"), "*")
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(one, tables.items()))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
