@@ -54,12 +54,16 @@ def _runs(generated: DataFrame) -> DataFrame:
 
 
 def node_diff(generated: DataFrame, golden: DataFrame) -> DataFrame:
-    """(run_id, node, status): found, missing or extra."""
-    gold = golden.select("node").distinct()
-    gen = generated.select("run_id", "node").distinct()
-    wanted = _runs(generated).join(gold)
-    both = gen.withColumn("_gen", F.lit(True)).join(wanted.withColumn("_gold", F.lit(True)), ["run_id", "node"], "full_outer")
-    return both.select("run_id", "node", F.when(F.col("_gen") & F.col("_gold"), "found").when(F.col("_gold"), "missing").otherwise("extra").alias("status"))
+    """(run_id, node, status): found, missing or extra. The golden schema is one document: its nodes travel as
+    one array, compared with each run's array."""
+    gold = golden.agg(F.collect_set("node").alias("gold"))  # one row
+    gen = generated.groupBy("run_id").agg(F.collect_set("node").alias("gen"))
+    rows = gen.join(F.broadcast(gold))
+    lists = {"found": F.array_intersect("gen", "gold"), "missing": F.array_except("gold", "gen"), "extra": F.array_except("gen", "gold")}
+
+    def tag(status: str):
+        return lambda n: F.struct(n.alias("node"), F.lit(status).alias("status"))
+    return rows.select("run_id", F.inline(F.concat(*[F.transform(v, tag(k)) for k, v in lists.items()])))
 
 
 def _ratio(found: Column, total: Column) -> Column:
