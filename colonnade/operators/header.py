@@ -27,7 +27,7 @@ def apply_header(df: DataFrame, header: list[str], drop_first_by: str | None = N
 
 def header_names(answer: Column) -> Column:
     """Names out of a comma-separated answer."""
-    return F.transform(F.split(answer, ","), F.trim)
+    return F.transform(F.split(answer, ","), lambda name: F.trim(name))
 
 
 def header_valid(df: DataFrame, answer: str, columns: str) -> DataFrame:
@@ -105,8 +105,8 @@ def guess_header(rows: DataFrame) -> DataFrame:
 # ---- language ---------------------------------------------------------------------------------------
 
 def trigrams(text: Column) -> Column:
-    lower = F.lower(text)
-    return F.transform(F.sequence(F.lit(1), F.length(lower) - 2), lambda i: F.substring(lower, i, F.lit(3)))
+    """Overlapping character trigrams in one linear pass over the whole text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), 1)
 
 
 def _gram_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:

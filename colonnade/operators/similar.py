@@ -19,9 +19,8 @@ THRESHOLD = 0.85
 def hashed_vectors(df: DataFrame, keys: list[str], text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Default embedder: counts of hashed character trigrams, scaled to length one; empty for empty texts."""
     lower = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
-    grams = df.select(*keys, F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(lower) - 2, F.lit(1))), lambda i: F.substring(lower, i, F.lit(3)))).alias("gram"))
-    counts = grams.filter(F.length("gram") == 3).groupBy(
+    grams = df.select(*keys, F.explode(F.regexp_extract_all(lower, F.lit("(?s)(?=(...))"), 1)).alias("gram"))
+    counts = grams.groupBy(
         *keys, F.pmod(F.xxhash64("gram"), F.lit(dimensions)).cast("int").alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     # at most `dimensions` entries per text
     maps = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"),

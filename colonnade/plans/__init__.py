@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["profile_queries", "text_queries", "graph_queries"]
+AREAS = ["profile_queries", "text_queries", "graph_queries", "source_queries", "catalog_queries"]
 
 
 def load():

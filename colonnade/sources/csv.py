@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colonnade.session import stage
+
 # Candidate delimiters, in order of preference.
 CANDIDATES = [",", ";", "\t", "|"]
 HEAD_LINES = 50
@@ -73,8 +75,9 @@ def split_bad_lines(spark: SparkSession, path: str, schema: T.StructType, sep: s
     full = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
     rows = spark.read.schema(full).option("sep", sep).option("header", header).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_bad").csv(path)
+    rows = stage(rows, "csv_rows")  # parsed once for both results
     good = rows.filter("_bad IS NULL").drop("_bad")
-    return good, rows.filter("_bad IS NOT NULL").select("_bad", *[f.name for f in schema.fields]).select(F.col("_bad").alias("line"))
+    return good, rows.filter("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
 
 
 def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -15,7 +15,8 @@ SIDECAR = T.StructType([
         T.StructField("description", T.StringType()), T.StructField("type", T.StringType())]))),
 ])
 # Section names of a synonym document.
-SYNONYM_SECTIONS = {"nodes": "node", "relations": "relation", "properties": "property", "invertible_relations": "invertible"}
+SYNONYM_SECTIONS = {"node_synonyms": "node", "relation_synonyms": "relation", "property_synonyms": "property",
+                    "invertible_relations": "invertible"}
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -34,7 +34,7 @@ def join_samples(samples: Column) -> Column:
 
 def split_samples(line: Column) -> Column:
     """Samples out of a comma-joined text: trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(line, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(line, ","), lambda part: F.trim(part)), lambda s: s != "")
 
 
 def write_graph_table(rows: DataFrame, kind: str, by: str, path: str) -> None:
