@@ -94,7 +94,7 @@ def value_freq(df: DataFrame, columns: list[str] | None = None, list_columns: li
             if kinds[name] == "array":
                 element, cells = stats.column_kind(types[name].elementType), df.select(F.explode(stats.quoted(name)).alias("t"))
             else:
-                element, cells = "string", df.select(F.explode(stats.tokens(name)).alias("t"))
+                element, cells = "string", stats.spread(df.select(stats.quoted(name))).select(F.explode(stats.tokens(name)).alias("t"))
             parts.append(_branch(cells.filter("t IS NOT NULL"), "token", [(name, "t", element)]))
         sizes = {}
         if with_sizes and kinds[name] == "string":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import language, names
 from colonnade.operators import stats
+from colonnade.session import stage
 
 # Words common in headers and the shape of a header item.
 COMMON_TERMS = ["id", "name", "date", "email", "price", "cost", "amount", "quantity", "address", "phone"]
@@ -109,30 +110,44 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), 1)
 
 
-def _gram_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    grams = df.filter(F.length(text) >= 3).select(*keys, F.explode(trigrams(F.col(text))).alias("gram"))
-    return grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+# Models up to this many trigrams are sent to every task; larger ones are joined by shuffle.
+MODEL_LIMIT = 500_000
 
 
 def train_language_model(labelled: DataFrame, text: str, lang: str) -> DataFrame:
-    """(gram, lang, logp): add-one smoothed trigram model per language; rows for every language of a gram."""
-    counts = _gram_counts(labelled, [lang], text).withColumnRenamed(lang, "lang")
+    """(gram, logp): add-one smoothed trigram model; ``logp`` maps every language to a log probability."""
+    grams = stats.spread(labelled.select(lang, text)).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
+    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts, "gram_counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    grams = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))  # one entry per language
-    size = grams.agg(F.count(F.lit(1)).alias("vocabulary"))
+    by_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))  # one entry per language
+    size = counts.agg(F.count_distinct("gram").alias("vocabulary"))
     langs = totals.join(F.broadcast(size)).agg(F.collect_list(F.struct("lang", "total", "vocabulary")).alias("langs"))  # one row
-    spread = grams.join(F.broadcast(langs)).select("gram", "by_lang", F.inline("langs"))
-    return spread.select("gram", "lang", F.log((F.coalesce(F.try_element_at("by_lang", F.col("lang")), F.lit(0)) + 1) / (F.col("total") + F.col("vocabulary"))).alias("logp"))
+    logp = F.map_from_entries(F.transform("langs", lambda x: F.struct(x["lang"], F.log(
+        (F.coalesce(F.try_element_at("by_lang", x["lang"]), F.lit(0)) + 1) / (x["total"] + x["vocabulary"])))))
+    return by_gram.join(F.broadcast(langs)).select("gram", logp.alias("logp"))
 
 
 def detect_language(df: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
     """(key, detected, confidence): language of highest summed log probability; texts under three characters
-    (and texts without a known trigram) count as English with 0.5."""
-    counts = _gram_counts(df.select(key, text), [key], text)
-    scores = counts.join(model, "gram").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("logp")).alias("score"))
-    best = scores.groupBy(key).agg(F.max_by("lang", F.struct("score", "lang")).alias("detected"))
-    rows = df.select(key, text).join(best, key, "left")
-    known = (F.length(F.trim(F.col(text))) >= 3) & F.col("detected").isNotNull()
+    (and texts without a known trigram) count as English with 0.5.
+
+    A model of checked size is sent to the texts, so each text is scored where it lies and only its sums
+    are shuffled; a larger one meets the trigrams in a shuffle join.
+    """
+    model = stage(model, "language_model")
+    langs = sorted(r["lang"] for r in model.select(F.explode(F.map_keys("logp")).alias("lang")).distinct().collect())  # one row per language
+    small = model.count() <= MODEL_LIMIT
+    grams = stats.spread(df.select(key, text)).select(key, F.explode(trigrams(F.col(text))).alias("gram"))
+    if not small:
+        grams = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.lit(1) if small else F.col("n")
+    table = model.select("gram", *[F.col("logp")[x].alias(f"p{i}") for i, x in enumerate(langs)])
+    scored = grams.join(F.broadcast(table) if small else table, "gram").groupBy(key).agg(
+        *[F.round(F.sum(weight * F.col(f"p{i}")), 6).alias(f"s{i}") for i in range(len(langs))])
+    best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))["lang"]
+    rows = df.select(key, F.length(F.trim(F.col(text))).alias("_len")).join(scored.select(key, best.alias("detected")), key, "left")
+    known = (F.col("_len") >= 3) & F.col("detected").isNotNull()
     return rows.select(key, F.when(known, F.col("detected")).otherwise("en").alias("detected"), F.when(known, 0.8).otherwise(0.5).alias("confidence"))
 
 

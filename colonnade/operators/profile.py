@@ -127,7 +127,9 @@ def assemble(df: DataFrame, facts: list[dict], freq: DataFrame, lists: list[str]
     present = freq.filter(fq.PRESENT)
     counted = present.filter(F.col("unit") == (
         F.when(F.col("column_name").isin(lists), "token").otherwise("cell") if lists else F.lit("cell")))
-    pieces = [fq.mode_values(counted, kinds).select("column_name", "mode_values")]
+    # the largest count of each column is known: only values that reach it need ranking
+    tops = F.create_map(*[F.lit(v) for f in facts for v in (f["column_name"], f["top_n"] or 0)])[F.col("column_name")]
+    pieces = [fq.mode_values(counted.filter(F.col("n") == tops), kinds).select("column_name", "mode_values")]
     texts = [f["column_name"] for f in facts if f["is_list"] or (f["kind"] == "string" and f["cell_distinct"] <= FEW_SAMPLES_ABOVE)]
     if texts:
         pieces.append(sample_values(counted.filter(F.col("column_name").isin(texts)), kinds, lists))

@@ -163,6 +163,12 @@ def per_column(df: DataFrame, columns: list[str], exprs: dict[str, str], order_b
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads an input with fewer splits than cores before costly text work; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- type rules over the facts (Column expressions, one row per column) ------------------------------
 
 def _share(part: str) -> Column:
