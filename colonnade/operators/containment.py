@@ -9,6 +9,8 @@ from colonnade.operators import freq as fq
 from colonnade.operators import stats
 
 UNIQUE_FROM = 0.9
+# Child columns per slice when column pairs are matched.
+SLICE = 1000
 
 
 def catalog_values(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
@@ -34,9 +36,12 @@ def column_keys(values: DataFrame) -> DataFrame:
 def candidates(keys: DataFrame, parent_uniqueness: float = 0.0, same_table: bool = False) -> DataFrame:
     """Column pairs that can be contained: same type class, child range inside the parent's, no more distinct
     values than the parent. Works on the catalog, one row per column."""
-    child = keys.select(*[F.col(c).alias(f"c_{c}") for c in keys.columns])
-    parent = keys.select(*[F.col(c).alias(f"p_{c}") for c in keys.columns])
-    rule = (F.col("c_kind") == F.col("p_kind")) & (F.col("c_distinct_n") <= F.col("p_distinct_n")) & (
+    # a type class can hold most of a catalog: its columns are spread over slices of bounded size
+    slices = max(1, -(-keys.count() // SLICE))
+    child = keys.select(*[F.col(c).alias(f"c_{c}") for c in keys.columns],
+                        F.pmod(F.xxhash64("table", "column_name"), F.lit(slices)).cast("int").alias("c_slice"))
+    parent = keys.select(*[F.col(c).alias(f"p_{c}") for c in keys.columns], F.explode(F.array(*[F.lit(i) for i in range(slices)])).alias("p_slice"))
+    rule = (F.col("c_kind") == F.col("p_kind")) & (F.col("c_slice") == F.col("p_slice")) & (F.col("c_distinct_n") <= F.col("p_distinct_n")) & (
         F.col("p_uniqueness") >= parent_uniqueness)
     rule &= (F.col("c_table") != F.col("p_table")) | (F.lit(same_table) & (F.col("c_column_name") != F.col("p_column_name")))
     for c in ("i", "d", "s"):

@@ -31,7 +31,7 @@ _SLOT = {
     "integral": ("i", "cast({c} AS bigint)"),
     "fractional": ("d", "cast({c} AS double)"),
     "temporal": ("i", "unix_micros(cast({c} AS timestamp))"),
-    "interval": ("i", "CAST(extract(SECOND FROM {c}) * 1000000 AS bigint)"),
+    "interval": ("i", "cast(cast(cast({c} AS interval second) AS decimal(18, 6)) * 1000000 AS bigint)"),
     "array": ("s", "md5(to_json({c}))"),
     "string": ("s", "cast({c} AS string)"),
     "boolean": ("s", "cast({c} AS string)"),

@@ -291,6 +291,12 @@ def compact(prof: DataFrame) -> DataFrame:
     return prof.select(*[c for c in ("dataset", "table", "column_name") if c in prof.columns], *COMPACT)
 
 
+def scalars(prof: DataFrame) -> DataFrame:
+    """Profile without its nested fields: what travels with a property list."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return prof.select(*[f.name for f in prof.schema.fields if not isinstance(f.dataType, nested)])
+
+
 def samples_only(prof: DataFrame) -> DataFrame:
     """Profile without analytics: names and samples."""
     return prof.select(*[c for c in ("dataset", "table", "column_name", "sampled_values") if c in prof.columns])

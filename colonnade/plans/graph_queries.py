@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from colonnade.operators import evaluate as ev
 from colonnade.operators import mapping, merge, schema, stats
 from colonnade.plans.registry import Tables, query
-from colonnade.session import stage
+from colonnade.session import new_path, stage
+from colonnade.sources import store
 
 # Relations between nations through the line items: supplier nation --(order priority)-> customer nation.
 TRADE = """(SELECT l_orderkey, l_linenumber, ns.n_name AS source, o_orderpriority AS type, nc.n_name AS target, l_discount * 10 AS confidence,
@@ -248,7 +249,11 @@ def schema_edges(t: Tables) -> DataFrame:
 
 @query("graph_schema_edges", f"""SELECT DISTINCT type, lower(source) AS source, lower(target) AS target FROM ({RELABELLED}) WHERE source <> target""")
 def graph_schema_edges(t: Tables) -> DataFrame:
-    return schema.document_edges(schema.schema_edges(trade(t), merges(t)))
+    edges = schema.document_edges(schema.schema_edges(trade(t), merges(t)))
+    nodes = schema.schema_nodes(attributes(t))
+    path = new_path(t.spark, "schema")
+    store.write_graph_schema(nodes, edges, path)
+    return t.spark.read.json(f"{path}/edges").select("type", "source", "target")
 
 
 GEN_EDGES = f"(SELECT DISTINCT type, source, target, run_id FROM {TRADE} WHERE flag = 'R')"
@@ -323,8 +328,6 @@ def graph_node_peek(t: Tables) -> DataFrame:
     UNION ALL SELECT 'edges', 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'edges', 'SUPPLIED_BY', count(*) FROM lineitem
     UNION ALL SELECT 'edges', 'IN_NATION', count(*) FROM customer""")
 def graph_export_counts(t: Tables) -> DataFrame:
-    from colonnade.session import new_path
-    from colonnade.sources import store
     path = new_path(t.spark, "graph")
     store.write_graph_table(all_nodes(t), "nodes", "label", path)
     store.write_graph_table(all_edges(t), "edges", "type", path)
@@ -509,4 +512,7 @@ def profile_drift(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     def state(flag: str) -> DataFrame:
         return rows.filter(F.col("l_returnflag") == flag).groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("top"))
-    return ev.snapshot_diff(state("A"), state("R"), ["name"])
+    path = new_path(t.spark, "runs")
+    for run, flag in (("first", "A"), ("second", "R")):
+        store.write_snapshot(state(flag), path, run, "parts")
+    return ev.snapshot_diff(store.read_snapshot(t.spark, path, "first", "parts"), store.read_snapshot(t.spark, path, "second", "parts"), ["name"])

@@ -47,6 +47,18 @@ def write_snapshot(rows: DataFrame, path: str, run_id: str, step: str) -> None:
     rows.withColumns({"run_id": F.lit(run_id), "step": F.lit(step)}).write.mode("append").partitionBy("run_id", "step").parquet(path)
 
 
+def read_snapshot(spark: SparkSession, path: str, run_id: str, step: str) -> DataFrame:
+    """One step of one run; only its folder is read."""
+    rows = spark.read.parquet(path).filter((F.col("run_id") == run_id) & (F.col("step") == step))
+    return rows.drop("run_id", "step")
+
+
+def write_graph_schema(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Schema documents as JSON lines: nodes (type, attributes) by type, edges by type, source and target."""
+    nodes.orderBy("type").write.mode("overwrite").json(f"{path}/nodes")
+    edges.orderBy("type", "source", "target").write.mode("overwrite").json(f"{path}/edges")
+
+
 def roundtrip_text(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     path = new_path(spark, "column_text")

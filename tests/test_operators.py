@@ -97,6 +97,15 @@ def test_foreign_keys(spark):
     assert containment.relation_cardinality(containment.foreign_keys(pairs)).first()["cardinality"] == "1:N"
 
 
+def test_candidate_slices_do_not_change_the_result(spark, monkeypatch):
+    tables = {f"t{i}": spark.range(i + 1).selectExpr("id AS k") for i in range(5)}
+    values = containment.catalog_values(tables, {k: ["k"] for k in tables})
+    keys = containment.column_keys(values).cache()
+    want = sorted(map(tuple, containment.candidates(keys).collect()))
+    monkeypatch.setattr(containment, "SLICE", 2)
+    assert sorted(map(tuple, containment.candidates(keys).collect())) == want and len(want) == 10
+
+
 def test_derived_value(spark):
     detail = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0)], "k int, v double")
     master = spark.createDataFrame([(1, 5.0), (2, 7.0)], "k int, total double")
@@ -245,3 +254,14 @@ def test_graph_tables(spark):
     assert nodes.columns == ["id", "label", "key", "firstName"] and schema.repeated_ids(nodes).count() == 0
     edges = schema.materialize_edges(df, "R", "A", "a_id", "B", "b_id", spark.createDataFrame([(7,)], "k int"), "k")
     assert edges.count() == 1 and edges.first()["source_id"] == nodes.filter("key = '1'").first()["id"]
+
+
+def test_schema_files_and_snapshots(spark, tmp_path):
+    nodes = schema.schema_nodes(spark.createDataFrame([("USER", ["b", "a"])], "label string, properties array<string>"))
+    edges = schema.document_edges(spark.createDataFrame([("r", "USER", "Item")], "type string, source string, target string"))
+    store.write_graph_schema(nodes, edges, str(tmp_path / "s"))
+    assert tuple(spark.read.json(str(tmp_path / "s/nodes")).select("type", "attributes").first()) == ("user", ["a", "b"])
+    assert spark.read.json(str(tmp_path / "s/edges")).first()["source"] == "user"
+    for run in ("a", "b"):
+        store.write_snapshot(spark.createDataFrame([(run, 1)], "k string, n int"), str(tmp_path / "runs"), run, "one")
+    assert [tuple(r) for r in store.read_snapshot(spark, str(tmp_path / "runs"), "b", "one").collect()] == [("b", 1)]

@@ -143,3 +143,18 @@ def test_frequency_scan_reads_one_column_per_branch(spark, data):
 def test_facts_are_one_scan(spark, data):
     plan = stats.per_column(spark.read.parquet(f"{data}/orders.parquet"), ["o_custkey", "o_totalprice"], {"lo": "min({c})"})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_durations(spark):
+    df = spark.sql("SELECT make_dt_interval(id, 0, 0, 5) AS d FROM range(3)")
+    freq = {r["i"] for r in fq.value_freq(df).collect()}
+    assert freq == {5_000_000, 86_405_000_000, 172_805_000_000}
+    assert tuple(pf.interval_profile(df, "d").first()) == (5, 172805, 86405.0)
+    assert rows(pf.profile(df))["d"]["data_type"] == "datetime"
+
+
+def test_reduced_profiles(spark):
+    prof = pf.profile(spark.createDataFrame([(1, "a b")], "k int, v string"))
+    assert pf.compact(prof).columns == ["column_name", *pf.COMPACT]
+    assert pf.samples_only(prof).columns == ["column_name", "sampled_values"]
+    assert "mode_values" not in pf.scalars(prof).columns and "cardinality" in pf.scalars(prof).columns
