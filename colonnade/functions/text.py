@@ -37,7 +37,6 @@ DATE_TEXT = (
     "top frequency {top_value_frequency%2}. Most frequent: {first_mode}. Uniqueness ratio: {uniqueness_ratio:8}. "
     "Total events: {total_grouped} in table {table_name}. Context: {contextual_description}"
 )
-TRUE_WORDS = ["true", "1", "yes", "y", "t"]
 
 TYPE_HINTS = {
     "numeric": "Focus on distribution, range, mean, and outliers.",

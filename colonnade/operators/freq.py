@@ -128,8 +128,7 @@ def freq_facts(freq: DataFrame) -> DataFrame:
         f"sum(CASE WHEN {stats.DATE_SQL.replace('{c}', 's')} IS NOT NULL THEN n ELSE 0 END) AS n_date",
         f"sum(CASE WHEN i IS NOT NULL OR d IS NOT NULL OR s RLIKE r'{stats.NUMERIC_TOKEN}' THEN n ELSE 0 END) AS n_numeric",
         "sum(CASE WHEN i IS NOT NULL OR s RLIKE '^[0-9]+$' THEN n ELSE 0 END) AS n_digits",
-        # dates are short; long texts would only weigh on the buffers
-        "min(CASE WHEN length(s) <= 64 THEN s END) AS text_min", "max(CASE WHEN length(s) <= 64 THEN s END) AS text_max",
+        "min(s) AS text_min", "max(s) AS text_max",
     )])
 
 

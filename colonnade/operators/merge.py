@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import names
+from colonnade.session import stage
 
 
 def stem(label: Column) -> Column:
@@ -30,7 +31,7 @@ def propose_label_merges(counts: DataFrame, synonyms: DataFrame | None = None) -
 
     Input (label, n), distinct labels; a group holds the spellings of one stem.
     """
-    keyed = counts.withColumn("group_key", stem(F.col("label")))
+    keyed = stage(counts, "label_counts").withColumn("group_key", stem(F.col("label")))  # read twice below
     if synonyms is not None:
         keyed = keyed.join(synonyms.select(F.col("synonym").alias("group_key"), "canonical").distinct(), "group_key", "left").withColumn(
             "group_key", F.coalesce("canonical", "group_key")).drop("canonical")

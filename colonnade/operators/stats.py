@@ -111,6 +111,8 @@ DATE_SQL = "coalesce(" + ", ".join(
     f"CASE WHEN {{c}} RLIKE r'{shape}' THEN try_to_timestamp({{c}}, '{fmt}') END" for shape, fmt in DATE_FORMATS) + ")"
 BOOLEAN_SQL = "lower({c}) IN (" + ", ".join(f"'{w}'" for w in BOOLEAN_WORDS) + ")"
 
+DELIMITER_SQL = "CASE " + " ".join(f"WHEN contains({{c}}, '{d}') THEN '{d}'" for d in DELIMITERS) + " ELSE ',' END"
+
 COUNTS = {"total_rows": "count(1)", "nonnull": "count({c})"}
 TEXT = {
     **COUNTS, "n_delimited": f"count_if({{c}} RLIKE '{DELIMITER_CLASS}')",
@@ -149,7 +151,8 @@ def per_column(df: DataFrame, columns: list[str], exprs: dict[str, str], order_b
                 more.append(fill(TOKENS_SQL if text else "{c}", j) + f" AS k{j}")
             if "{n}" in used:
                 more.append(f"length(c{j}) AS n{j}")
-            first = f"min_by(left(c{j}, 4096), CASE WHEN c{j} IS NOT NULL THEN o END)" if order_by else f"min(left(c{j}, 4096))"
+            # the delimiter is read off each whole cell, so only one character travels
+            first = fill(f"min_by({DELIMITER_SQL}, {'CASE WHEN {c} IS NOT NULL THEN o END' if order_by else '{c}'})", j)
             aggs += [fill(t.replace("{first}", first), j) + f" AS a{j}_{key}" for key, t in exprs.items()]
             label = "'" + name.replace("'", "\\'") + "' AS column_name"
             rows.append(f"struct({label}, " + ", ".join(f"a{j}_{k} AS {k}" for k in exprs) + ")")

@@ -178,14 +178,14 @@ def brand_merges(t: Tables) -> DataFrame:
     return t.part.filter("length(p_brand) = 8").selectExpr("p_brand AS label", "left(p_brand, 7) AS merged").distinct()
 
 
-DOC_MERGES = """(SELECT doc_id AS merge_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source, CASE WHEN doc_id % 2 = 1 THEN regexp_extract_all(left(text, 60), '[A-Za-z]+') END
+DOC_MERGES = """(SELECT doc_id AS merge_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source, CASE WHEN doc_id % 2 = 1 THEN regexp_extract_all(text, '[A-Za-z]+') END
     AS from_list, CASE WHEN doc_id % 3 = 0 THEN lang END AS to_label, upper(source) AS target FROM documents)"""
 NORMALISED = f"(SELECT merge_id, coalesce(from_list, CASE WHEN source IS NOT NULL THEN [source] END) AS from_labels, coalesce(to_label, target) AS to_label FROM {DOC_MERGES})"
 
 
 def doc_merges(t: Tables) -> DataFrame:
     return t.documents.selectExpr("doc_id AS merge_id", "CASE WHEN doc_id % 2 = 0 THEN source END AS source",
-                                  "CASE WHEN doc_id % 2 = 1 THEN regexp_extract_all(left(text, 60), '([A-Za-z]+)') END AS from_list",
+                                  "CASE WHEN doc_id % 2 = 1 THEN regexp_extract_all(text, '([A-Za-z]+)') END AS from_list",
                                   "CASE WHEN doc_id % 3 = 0 THEN lang END AS to_label", "upper(source) AS target")
 
 

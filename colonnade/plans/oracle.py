@@ -95,8 +95,6 @@ def column_sql(src: str, c: str, kind: str) -> str:
     size = f"len({tokens(quoted)})" if kind == "list" else f"len({quoted})"
     sized = (lambda e: f"CAST({e} AS DOUBLE)") if listy else (lambda e: "CAST(NULL AS DOUBLE)")
     temporal = kind == "temporal"
-    order = "v" if kind not in ("list", "string") else "v COLLATE \"C\""
-    order = "v"
     return f"""SELECT '{c}' AS column_name, a.*, t.top_n, t.counted, t.distinct_n, t.modes, t.mode_count FROM (
       WITH vals AS ({values})
       SELECT {type_sql(quoted, kind)} AS data_type, CAST({total} AS BIGINT) AS total_count, count(*) AS total_rows,
@@ -117,7 +115,7 @@ def column_sql(src: str, c: str, kind: str) -> str:
         {str(listy).lower()} AS is_list
       FROM {src}) a,
       (WITH f AS (SELECT v, count(*) AS n FROM ({values}) GROUP BY v),
-            m AS (SELECT v, row_number() OVER (ORDER BY {order}) AS r FROM f WHERE n = (SELECT max(n) FROM f))
+            m AS (SELECT v, row_number() OVER (ORDER BY v) AS r FROM f WHERE n = (SELECT max(n) FROM f))
        SELECT (SELECT max(n) FROM f) AS top_n, (SELECT CAST(sum(n) AS BIGINT) FROM f) AS counted, (SELECT count(*) FROM f) AS distinct_n,
               (SELECT string_agg({shown('v', kind)}, ', ' ORDER BY r) FROM m WHERE r <= 5) AS modes,
               (SELECT least(5, count(*)) FROM m) AS mode_count) t"""

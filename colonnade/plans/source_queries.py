@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.operators import header, mapping, sampling
+from colonnade.operators import header, sampling
 from colonnade.operators import profile as pf
 from colonnade.operators import freq as fq
 from colonnade.plans import oracle
-from colonnade.plans.profile_queries import facts_columns, flat, kind_map, per_column_sql
+from colonnade.plans.profile_queries import facts_columns, kind_map
 from colonnade.plans.registry import Tables, query
 from colonnade.session import new_path
 from colonnade.sources import csv, documents, store
@@ -159,18 +159,19 @@ def apply_header(t: Tables) -> DataFrame:
     return header.apply_header(t.nation, ["nation_id", "nation_name", "region_id"], drop_first_by="n_nationkey")
 
 
-@query("header_valid", """SELECT doc_id, array_to_string(list_transform(string_split(a, ','), lambda x: trim(x, ' ')), '|') AS names, len(string_split(a, ',')) = 2 AS is_valid
-    FROM (SELECT doc_id, regexp_replace(left(text, 200), '\\s+', ' ', 'g') AS a FROM documents)""")
+@query("header_valid", """SELECT doc_id, array_to_string(list_transform(string_split(a, ','), lambda x: trim(x, ' ')), '|') AS names, len(string_split(a, ',')) = length(a) - length(replace(a, ', ', ' ')) + 1 AS is_valid
+    FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS a FROM documents)""")
 def header_valid(t: Tables) -> DataFrame:
-    answers = t.documents.selectExpr("doc_id", "regexp_replace(left(text, 200), '\\\\s+', ' ') AS answer", "2 AS n_columns")
+    answers = t.documents.selectExpr("doc_id", "regexp_replace(text, '\\\\s+', ' ') AS answer").selectExpr(
+        "*", "length(answer) - length(replace(answer, ', ', ' ')) + 1 AS n_columns")
     return header.header_valid(answers, "answer", "n_columns").select("doc_id", F.array_join("names", "|").alias("names"), "is_valid")
 
 
 @query("header_snake_case", """WITH h AS (SELECT source, doc_id, CASE WHEN s = '' THEN 'column' ELSE s END AS s FROM (SELECT source, doc_id,
-      regexp_replace(regexp_replace(lower(trim(left(text, 6))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents))
+      regexp_replace(regexp_replace(lower(trim(text, ' ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents))
     SELECT doc_id, CASE WHEN r > 1 THEN s || '_' || r ELSE s END AS header FROM (SELECT *, row_number() OVER (PARTITION BY source, s ORDER BY doc_id) AS r FROM h)""")
 def header_snake_case(t: Tables) -> DataFrame:
-    rows = t.documents.selectExpr("source AS table", "doc_id AS pos", "left(text, 6) AS name")
+    rows = t.documents.selectExpr("source AS table", "doc_id AS pos", "text AS name")
     return header.snake_headers(rows).select(F.col("pos").alias("doc_id"), "header")
 
 

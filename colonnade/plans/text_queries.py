@@ -14,16 +14,16 @@ from colonnade.plans.registry import Tables, query
 @query("name_camel", r"""SELECT doc_id, CASE WHEN j = '' THEN 'property' WHEN regexp_matches(j, '^[a-zA-Z]') THEN j ELSE 'p' || j END AS property_name FROM (
     SELECT doc_id, lower(w[1]) || array_to_string(list_transform(w[2:], lambda x: upper(x[1]) || lower(x[2:])), '') AS j FROM (
       SELECT doc_id, string_split(trim(regexp_replace(s, '[^a-zA-Z0-9]+', ' ', 'g')), ' ') AS w
-      FROM (SELECT doc_id, n_chars || '_' || source || '-' || lang || ' ' || left(text, 40) AS s FROM documents)))""")
+      FROM (SELECT doc_id, n_chars || '_' || source || '-' || lang || ' ' || text AS s FROM documents)))""")
 def name_camel(t: Tables) -> DataFrame:
-    raw = t.documents.selectExpr("doc_id", "n_chars || '_' || source || '-' || lang || ' ' || left(text, 40) AS s")
+    raw = t.documents.selectExpr("doc_id", "n_chars || '_' || source || '-' || lang || ' ' || text AS s")
     return raw.select("doc_id", names.camel_name(F.col("s")).alias("property_name"))
 
 
-@query("name_snake", """SELECT doc_id, regexp_replace(regexp_replace(lower(trim(left(text, 60))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')
+@query("name_snake", """SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text, ' ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')
     AS relation_type FROM documents""")
 def name_snake(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", names.snake_name(F.left("text", F.lit(60))).alias("relation_type"))
+    return t.documents.select("doc_id", names.snake_name(F.col("text")).alias("relation_type"))
 
 
 @query("name_norm", "SELECT page_id, translate(lower(url), '_-.', '') AS plain FROM pages")
@@ -161,11 +161,11 @@ def column_text_roundtrip(t: Tables) -> DataFrame:
 
 # ---- templates and answers --------------------------------------------------------------------------
 
-@query("render_prompts", """SELECT doc_id, 'Document ' || doc_id || ' in ' || lang || ' from ' || source || ': ' || left(text, 50) AS prompt FROM documents
-    WHERE NOT regexp_matches(left(text, 50), '\\{[\\w_]+\\}')""")
+@query("render_prompts", """SELECT doc_id, 'Document ' || doc_id || ' in ' || lang || ' from ' || source || ': ' || text AS prompt FROM documents
+    WHERE NOT regexp_matches(text, '\\{[\\w_]+\\}')""")
 def render_prompts(t: Tables) -> DataFrame:
     variables = F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"),
-                             F.lit("start"), F.left("text", F.lit(50)))
+                             F.lit("start"), F.col("text"))
     filled = t.documents.select("doc_id", render.fill_template(F.lit("Document {id} in {lang} from {source}: {start}"), variables).alias("prompt"))
     return filled.filter(~F.col("prompt").startswith("Error: unsubstituted"))
 
