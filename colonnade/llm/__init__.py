@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["simhash", "shards", "links"]
+AREAS = ["packing", "prefix_bpe", "simhash", "shards", "links"]
 
 
 def load():
