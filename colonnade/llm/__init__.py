@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["packing", "prefix_bpe", "simhash", "shards", "links"]
+AREAS = ["quality", "packing", "warc", "prefix_bpe", "simhash", "shards", "links"]
 
 
 def load():
