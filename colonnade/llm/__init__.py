@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["quality", "packing", "warc", "topk", "prefix_bpe", "simhash", "shards", "links"]
+AREAS = ["quality", "packing", "warc", "topk", "prefix_bpe", "toxicity", "simhash", "shards", "links"]
 
 
 def load():
