@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm.registry import query, table
@@ -155,6 +155,24 @@ STATISTICS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long,
               "longest_repeat long, base_failed boolean, kept boolean")
 
 
+def _parts(texts: pd.Series, limits: Limits) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Number of the first text and measures, a bounded number of words at a time."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "") // 4  # words are hardly shorter
+        if size >= TOGETHER or i + 1 == len(texts):
+            yield start, measure(texts.iloc[start:i + 1].tolist(), limits)
+            start, size = i + 1, 0
+
+
+def keeps(text: Column, limits: Limits = Limits()) -> Column:
+    """The verdict alone, as a column of a text column."""
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        return pd.concat([part["kept"] for _, part in _parts(texts, limits)], ignore_index=True) if len(texts) else pd.Series([], dtype=bool)
+    return kept(text)
+
+
 def judge(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, statistics and `kept` of every row of docs.
 
@@ -165,15 +183,9 @@ def judge(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text:
     judged by itself: nothing is shuffled."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            start, size = 0, 0
-            for i, t in enumerate(b["text"]):
-                size += len(t or "") // 4  # words are hardly shorter
-                if size >= TOGETHER or i + 1 == len(b):
-                    part = b.iloc[start:i + 1]
-                    done = measure(part["text"].tolist(), limits)
-                    done.insert(0, "doc_id", part["doc_id"].array)
-                    yield done
-                    start, size = i + 1, 0
+            for start, done in _parts(b["text"], limits):
+                done.insert(0, "doc_id", b["doc_id"].iloc[start:start + len(done)].array)
+                yield done
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInPandas(run, "doc_id long, " + STATISTICS)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -217,6 +217,28 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> tu
     return net, by_language
 
 
+def _parts(net: Network, texts: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of the first text and scores, a bounded number of words at a time."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "") // 4
+        if size >= TOGETHER or i + 1 == len(texts):
+            yield start, scores(net, texts.iloc[start:i + 1].tolist())
+            start, size = i + 1, 0
+
+
+def flags(spark: SparkSession, net: Network, by_language: dict[str, float]) -> Callable[[Column, Column], Column]:
+    """The verdict alone, as a function of a text and a language column."""
+    model = spark.sparkContext.broadcast((net, by_language))
+
+    @F.pandas_udf("boolean")
+    def flagged(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        net, limits = model.value
+        score = np.concatenate([np.zeros(0), *(part for _, part in _parts(net, texts))])
+        return pd.Series(score >= np.array([limits.get(x, 0.5) for x in langs]))
+    return flagged
+
+
 def classify(docs: DataFrame, net: Network, by_language: dict[str, float], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5) and flagged (score at least the language's threshold, 0.5 for languages without
     one) of every row. Scores come from texts alone. Null and empty texts have the network's base score; null keys are outside
@@ -228,16 +250,11 @@ def classify(docs: DataFrame, net: Network, by_language: dict[str, float], key:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net, limits = model.value
         for b in batches:
-            start, size = 0, 0
-            for i, t in enumerate(b["text"]):
-                size += len(t or "") // 4
-                if size >= TOGETHER or i + 1 == len(b):
-                    part = b.iloc[start:i + 1]
-                    score = scores(net, part["text"].tolist())
-                    limit = np.array([limits.get(x, 0.5) for x in part["lang"]])
-                    yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "score": score,
-                                        "predicted": (score >= 0.5).astype(np.int32), "flagged": score >= limit})
-                    start, size = i + 1, 0
+            for start, score in _parts(net, b["text"]):
+                part = b.iloc[start:start + len(score)]
+                limit = np.array([limits.get(x, 0.5) for x in part["lang"]])
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "score": score,
+                                    "predicted": (score >= 0.5).astype(np.int32), "flagged": score >= limit})
     column = F.col(f"`{key}`").cast("long")
     rows = docs.select(column.alias("doc_id"), F.coalesce(remainder(column) == 0, F.lit(False)).alias("held_out"),
                        F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
