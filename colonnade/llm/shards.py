@@ -16,8 +16,9 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, key: str = "do
 
     Rows are shuffled by a seeded hash within each source and ranked there; the rank, less a random phase of its source
     between 0 and 1, over the source's row count is the row's fractional rank. In the order of fractional ranks every stretch holds
-    each source in its overall proportion, so the order is cut into shards whose row counts differ by one at most and
-    whose count of any source differs from its share by two at most.
+    each source in its overall proportion, so the order is cut into shards whose row counts differ by one at most. A
+    shard's count of a source differs from the source's share of it by two rows, and by that share of the rows by which random phases move
+    a cut (about half the square root of the number of sources).
 
     No source is gathered in one task: ranks and global positions are numbered inside ranges of about sqrt(rows) rows
     and shifted by the summed counts of the ranges before. A null source is a source of its own; null keys and repeated

@@ -48,7 +48,7 @@ class Tree:
     def __init__(self, values: np.ndarray):
         """The first value of a set is its node; the others go down by their distance, each set in one step."""
         self.values, self.children = values, [{} for _ in values]
-        todo = [np.arange(len(values))]
+        todo = [np.arange(len(values))] if len(values) else []
         while todo:
             node, rest = todo[-1][0], todo.pop()[1:]
             if len(rest):
