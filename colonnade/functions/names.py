@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def camel_name(name: Column) -> Column:
     """Property name in camelCase; 'property' when nothing is left, 'p' in front of a digit."""
     words = F.split(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), "[^a-zA-Z0-9]+", " ")), " ")
-    rest = F.transform(F.slice(words, 2, 2_000_000), F.initcap)
+    rest = F.transform(F.slice(words, F.lit(2), F.size(words)), F.initcap)
     joined = F.concat(F.lower(words[0]), F.array_join(rest, ""))
     return F.when(joined == "", "property").when(joined.rlike("^[a-zA-Z]"), joined).otherwise(F.concat(F.lit("p"), joined))
 

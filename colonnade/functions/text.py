@@ -94,7 +94,16 @@ NOUN = """CASE WHEN is_effectively_categorical OR data_type IN ('integer', 'floa
 
 
 def _plain(expr: str) -> str:
-    return f"coalesce(regexp_replace(cast(try_cast({expr} AS decimal(38, 6)) AS string), '\\\\.?0+$', ''), '')"
+    """Shortest exact text of a number, in plain digits where 18 places before and after the point hold it; empty for NULL."""
+    text = f"cast(cast({expr} AS double) AS string)"
+    number = f"try_cast({text} AS decimal(38, 18))"
+    return (f"coalesce(CASE WHEN cast({number} AS double) = {expr} THEN regexp_replace(cast({number} AS string), '\\\\.?0+$', '') "
+            f"ELSE {text} END, '')")
+
+
+def _steady(expr: str) -> str:
+    """A sum or mean without the last digits, which depend on the order of rows: twelve significant digits."""
+    return f"try_cast(format_string('%.11e', {expr}) AS double)"
 
 
 def column_text(prof: DataFrame) -> DataFrame:
@@ -102,7 +111,7 @@ def column_text(prof: DataFrame) -> DataFrame:
     fields = prof.selectExpr(
         "*", "array_join(mode_values, ', ') AS modes",
         "array_join(if(data_type = 'string' AND size(sampled_values) = 0, mode_values, sampled_values), ', ') AS samples",
-        *[f"{_plain(c)} AS {n}_text" for c, n in (("min_value", "min"), ("max_value", "max"), ("avg_value", "avg"), ("q1", "q1"),
+        *[f"{_plain(c)} AS {n}_text" for c, n in (("min_value", "min"), ("max_value", "max"), (_steady("avg_value"), "avg"), ("q1", "q1"),
                                                   ("median", "median"), ("q3", "q3"))],
         f"{NOUN} AS noun")
     cases = " ".join(f"WHEN '{k}' THEN {render(v)}" for k, v in LINES.items())

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import names
 
-# Synonym lists up to this size travel as literals; longer ones are joined.
-SYNONYM_LIMIT = 5000
-
 
 def canonical_names(df: DataFrame, column: str, synonyms: DataFrame) -> DataFrame:
     """Adds ``canonical`` for a name column: the first synonym entry (by position) whose canonical name or any
@@ -17,22 +14,20 @@ def canonical_names(df: DataFrame, column: str, synonyms: DataFrame) -> DataFram
 
     synonyms: (pos, canonical, synonym). Only distinct names are compared.
     """
-    spark = df.sparkSession
     entries = synonyms.select("pos", names.plain_name(F.col("canonical")).alias("canonical"), names.plain_name(F.col("synonym")).alias("synonym"))
-    needles = entries.select("pos", "canonical", F.explode(F.array("canonical", "synonym")).alias("needle")).filter("needle IS NOT NULL").distinct()
+    needles = entries.select("pos", "canonical", F.explode(F.array("canonical", "synonym")).alias("needle")).filter("needle IS NOT NULL").groupBy(
+        "needle").agg(F.min(F.struct("pos", "canonical")).alias("entry"))
     distinct = df.select(F.col(column).alias("_name")).distinct().withColumn("_plain", names.plain_name(F.col("_name")))
-    rows = needles.orderBy("pos").limit(SYNONYM_LIMIT + 1).collect()
-    if len(rows) <= SYNONYM_LIMIT:
-        marks = F.array(*[F.struct(F.lit(r["needle"]).alias("needle"), F.lit(r["canonical"]).alias("canonical")) for r in rows])
-        hit = F.get(F.filter(marks, lambda m: F.contains(F.col("_plain"), m["needle"])), 0)["canonical"] if rows else F.lit(None).cast("string")
-        named = distinct.withColumn("canonical", F.coalesce(hit, "_plain"))
-    else:
-        # every substring of a name against the needles: an equi join, names are short
-        parts = distinct.withColumn("needle", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.length("_plain")), lambda i: F.transform(
-                F.sequence(F.lit(1), F.length("_plain") - i + 1), lambda n: F.substring(F.col("_plain"), i, n)))))))
-        hits = parts.join(needles, "needle").groupBy("_name").agg(F.min_by("canonical", "pos").alias("_c"))
-        named = distinct.join(hits, "_name", "left").withColumn("canonical", F.coalesce("_c", "_plain")).drop("_c")
+    # one row: the lengths in use, and the entry of the empty needle, which every name contains
+    known = needles.agg(F.array_sort(F.collect_set(F.nullif(F.length("needle"), F.lit(0)))).alias("_lengths"),
+                        F.min(F.when(F.col("needle") == "", F.col("entry"))).alias("_any"))
+    sized = distinct.join(F.broadcast(known), how="cross")
+    cut = F.transform("_lengths", lambda n: F.when(n <= F.length("_plain"), F.transform(
+        F.sequence(F.lit(1), F.length("_plain") - n + 1), lambda i: F.substring(F.col("_plain"), i, n))).otherwise(F.array().cast("array<string>")))
+    parts = sized.select("_name", F.explode(F.array_distinct(F.flatten(cut))).alias("needle"))
+    hits = parts.join(needles, "needle").groupBy("_name").agg(F.min("entry").alias("_hit"))
+    named = sized.join(hits, "_name", "left").withColumn(
+        "canonical", F.when(F.col("_plain").isNotNull(), F.coalesce(F.least("_hit", "_any")["canonical"], "_plain")))
     lookup = named.select("_name", "canonical")
     return df.join(lookup, F.col(column) == F.col("_name"), "left").drop("_name")
 
@@ -49,8 +44,9 @@ def edge_sets(rows: DataFrame) -> DataFrame:
     return grouped.select("run_id", "type", "source", "target", "attrs").distinct()
 
 
-def _runs(generated: DataFrame) -> DataFrame:
-    return generated.select("run_id").distinct()
+def _runs(generated: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The runs to score: those given, which may have no rows at all, or those with rows."""
+    return (generated if runs is None else runs).select("run_id").distinct()
 
 
 def node_diff(generated: DataFrame, golden: DataFrame) -> DataFrame:
@@ -70,19 +66,19 @@ def _ratio(found: Column, total: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(found / F.nullif(total, F.lit(0)))
 
 
-def node_score(generated: DataFrame, golden: DataFrame) -> DataFrame:
+def node_score(generated: DataFrame, golden: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Per run: found, missing and extra nodes and the share of golden nodes found (1 when there is none)."""
     # counts instead of the run x golden grid: found by semi join, the rest by arithmetic
     gold = golden.select("node").distinct()
     total = gold.agg(F.count(F.lit(1)).alias("golden_nodes"))
     gen = generated.select("run_id", "node").distinct().join(gold.withColumn("_hit", F.lit(1)), "node", "left")
     per_run = gen.groupBy("run_id").agg(F.count("_hit").alias("found"), F.count(F.lit(1)).alias("generated"))
-    rows = per_run.join(F.broadcast(total))  # one row
+    rows = _runs(generated, runs).join(per_run, "run_id", "left").fillna(0, ["found", "generated"]).join(F.broadcast(total))  # one row
     return rows.select("run_id", "found", (F.col("golden_nodes") - F.col("found")).alias("missing"), (F.col("generated") - F.col("found")).alias("extra"),
                        _ratio(F.col("found"), F.col("golden_nodes")).alias("node_score"))
 
 
-def property_score(generated: DataFrame, golden: DataFrame) -> DataFrame:
+def property_score(generated: DataFrame, golden: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Per run: mean over golden nodes of the share of their attributes found (1 for nodes without attributes)."""
     gold = golden.select("node", "attr").distinct()
     sizes = gold.groupBy("node").agg(F.count("attr").alias("wanted"))
@@ -90,7 +86,7 @@ def property_score(generated: DataFrame, golden: DataFrame) -> DataFrame:
     hits = generated.select("run_id", "node", "attr").distinct().join(gold.filter("attr IS NOT NULL"), ["node", "attr"])
     per_node = hits.groupBy("run_id", "node").agg(F.count(F.lit(1)).alias("found")).join(sizes, "node")
     sums = per_node.groupBy("run_id").agg(F.sum(F.col("found") / F.col("wanted")).alias("shares"))
-    rows = _runs(generated).join(sums, "run_id", "left").join(F.broadcast(total))  # one row
+    rows = _runs(generated, runs).join(sums, "run_id", "left").join(F.broadcast(total))  # one row
     score = (F.coalesce("shares", F.lit(0.0)) + F.col("empty_nodes")) / F.nullif(F.col("nodes"), F.lit(0))
     return rows.select("run_id", F.coalesce(score, F.lit(1.0)).alias("property_score"))
 
@@ -114,7 +110,7 @@ def match_edges(generated: DataFrame, golden: DataFrame) -> DataFrame:
     return plain.select("run_id", "type", "source", "target", "attrs").unionByName(met.select("run_id", "type", "source", "target", "attrs")).distinct()
 
 
-def relation_score(generated: DataFrame, golden: DataFrame) -> DataFrame:
+def relation_score(generated: DataFrame, golden: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Per run: golden edges found and missing, generated edges on unmatched pairs, and the share found."""
     met = match_edges(generated, golden)
     total = golden.select("type", "source", "target", "attrs").distinct().agg(F.count(F.lit(1)).alias("golden_edges"))
@@ -123,19 +119,25 @@ def relation_score(generated: DataFrame, golden: DataFrame) -> DataFrame:
     gen = generated.select("run_id", "type", "source", "target", "attrs").distinct().withColumns(
         {"a": F.least("source", "target"), "b": F.greatest("source", "target")})
     extra = gen.join(pairs, ["run_id", "a", "b"], "left_anti").groupBy("run_id").agg(F.count(F.lit(1)).alias("extra"))
-    rows = _runs(generated).join(found, "run_id", "left").join(extra, "run_id", "left").join(F.broadcast(total))  # one row
+    rows = _runs(generated, runs).join(found, "run_id", "left").join(extra, "run_id", "left").join(F.broadcast(total))  # one row
     rows = rows.fillna(0, ["found", "extra"])
     return rows.select("run_id", "found", (F.col("golden_edges") - F.col("found")).alias("missing"), "extra",
                        _ratio(F.col("found"), F.col("golden_edges")).alias("relation_score"))
 
 
 def overall_score(nodes: DataFrame, properties: DataFrame, relations: DataFrame) -> DataFrame:
-    """Per run: the three scores and their mean."""
-    rows = nodes.select("run_id", "node_score").join(properties, "run_id", "full_outer").join(
-        relations.select("run_id", "relation_score"), "run_id", "full_outer").fillna(0.0)
+    """Per run: the three scores and their mean. Score all three for the same runs, as ``score_runs`` does."""
+    rows = nodes.select("run_id", "node_score").join(properties, "run_id").join(relations.select("run_id", "relation_score"), "run_id")
     return rows.withColumn("overall_score", (F.col("node_score") + F.col("property_score") + F.col("relation_score")) / 3)
 
 
+def score_runs(nodes: DataFrame, gold_nodes: DataFrame, edges: DataFrame, gold_edges: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """All scores of all runs: those given, or those with a node or an edge. A run without rows is scored like any other: 0
+    where something golden is missing, 1 where nothing is."""
+    runs = nodes.select("run_id").unionByName(edges.select("run_id")).distinct() if runs is None else runs
+    return overall_score(node_score(nodes, gold_nodes, runs), property_score(nodes, gold_nodes, runs), relation_score(edges, gold_edges, runs))
+
+
 def over_runs(scores: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and standard deviation of the scores over all runs."""
     return scores.agg(F.count(F.lit(1)).alias("runs"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])

@@ -20,10 +20,13 @@ QUANTILE_GROUP_LIMIT = 1_000_000
 QUANTILES = (0.25, 0.5, 0.75)
 
 
-def num_text(value: Column, scale: int = 6) -> Column:
-    """Number as plain decimal text without trailing zeros (one rule for every text output)."""
-    plain = value.try_cast(T.DecimalType(38, scale)).cast("string")
-    return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), value.cast("string"))
+def num_text(value: Column) -> Column:
+    """Number as its shortest exact decimal text (one rule for every text output): plain digits, or the exponent form where
+    18 places before and after the point don't hold it."""
+    shortest = value.cast("double").cast("string")
+    plain = shortest.try_cast(T.DecimalType(38, 18))
+    exact = plain.cast("double") == value.cast("double")
+    return F.when(exact, F.regexp_replace(plain.cast("string"), r"\.?0+$", "")).otherwise(shortest)
 
 
 # value of column {c} in its slot, per type class
@@ -185,14 +188,16 @@ def distribution(summary: DataFrame) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, large: list[str] = (), probs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Exact quantiles with linear interpolation per column, from (column_name, x, n) rows with distinct x.
+    """Exact quantiles with linear interpolation per column, from (column_name, x, n) rows.
 
     Columns with a bounded number of distinct values are ranked by a running weight; those named in
     ``large`` are resolved by rank narrowing, which never holds a whole column in one task.
     """
+    # integers beyond 2**53 share doubles: equal x are one value
+    rows = rows.groupBy("column_name", "x").agg(F.sum("n").alias("n"))
     small = rows.filter(~F.col("column_name").isin(list(large))) if large else rows
     totals = small.groupBy("column_name").agg((F.sum("n") - 1).alias("last"))  # one row per column
-    order = Window.partitionBy("column_name").orderBy("x")
+    order = Window.partitionBy("column_name").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = small.withColumn("upto", F.sum("n").over(order)).join(F.broadcast(totals), "column_name")
     at = "max(CASE WHEN upto - n <= {r} AND {r} < upto THEN x END)"
     cuts = []

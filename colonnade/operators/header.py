@@ -16,13 +16,15 @@ PLAIN_SHAPES = r"^[A-Za-z_]([A-Za-z0-9_]*|[A-Za-z0-9_\s]*|[A-Za-z0-9_\-]*)$"
 
 
 def apply_header(df: DataFrame, header: list[str], drop_first_by: str | None = None) -> DataFrame:
-    """Renames all columns; ``drop_first_by`` also drops the row with the smallest value of that (old) column,
-    for data that holds its own header."""
+    """Renames all columns; ``drop_first_by`` also drops one row, the first one with the smallest value of that (old) column,
+    for data that holds its own header. Ties and rows without a value stay."""
     if len(header) != len(df.columns):
         raise ValueError(f"header has {len(header)} names, table has {len(df.columns)} columns")
     if drop_first_by:
-        first = df.agg(F.min(drop_first_by).alias("_first"))
-        df = df.join(F.broadcast(first), F.col(drop_first_by) > F.col("_first")).drop("_first")  # one row
+        key = stats.quoted(drop_first_by)
+        placed = df.withColumn("_ordinal", F.monotonically_increasing_id())
+        first = placed.filter(key.isNotNull()).agg(F.min(F.struct(key.alias("key"), "_ordinal"))["_ordinal"].alias("at")).first()["at"]
+        df = placed.filter(~F.col("_ordinal").eqNullSafe(F.lit(first).cast("long"))).drop("_ordinal")
     return df.toDF(*header)
 
 
@@ -37,10 +39,17 @@ def header_valid(df: DataFrame, answer: str, columns: str) -> DataFrame:
 
 
 def snake_headers(df: DataFrame) -> DataFrame:
-    """Snake-case names for (table, pos, name); repeats within a table get a running number."""
+    """Snake-case names for (table, pos, name); a name that the table has already gets the first running number that makes it new.
+    Each table's names, as many as it has columns, are gone through in order."""
     named = df.withColumn("header", F.when(names.snake_name(F.col("name")) == "", "column").otherwise(names.snake_name(F.col("name"))))
-    turn = F.row_number().over(Window.partitionBy("table", "header").orderBy("pos"))
-    return named.withColumn("turn", turn).withColumn("header", F.when(F.col("turn") > 1, F.concat_ws("_", "header", "turn")).otherwise(F.col("header"))).drop("turn")
+    listed = named.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "header"))).alias("rows"))
+
+    def new(seen: Column, header: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(2), F.size(seen) + 2), lambda k: F.concat_ws("_", header, k))
+        return F.when(F.array_contains(seen, header), F.filter(numbered, lambda h: ~F.array_contains(seen, h))[0]).otherwise(header)
+    given = F.aggregate("rows", F.array().cast("array<string>"), lambda seen, row: F.array_append(seen, new(seen, row["header"])))
+    done = listed.select("table", F.posexplode(F.arrays_zip("rows", given.alias("given"))).alias("_at", "r"))
+    return done.select("table", "r.rows.pos", "r.rows.name", F.col("r.given").alias("header"))
 
 
 def coerce(df: DataFrame, columns: list[str], share: float = 0.9) -> DataFrame:
@@ -110,10 +119,6 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), 1)
 
 
-# Models up to this many trigrams are sent to every task; larger ones are joined by shuffle.
-MODEL_LIMIT = 500_000
-
-
 def train_language_model(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     """(gram, logp): add-one smoothed trigram model; ``logp`` maps every language to a log probability."""
     grams = stats.spread(labelled.select(lang, text)).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
@@ -132,18 +137,15 @@ def detect_language(df: DataFrame, key: str, text: str, model: DataFrame) -> Dat
     """(key, detected, confidence): language of highest summed log probability; texts under three characters
     (and texts without a known trigram) count as English with 0.5.
 
-    A model of checked size is sent to the texts, so each text is scored where it lies and only its sums
-    are shuffled; a larger one meets the trigrams in a shuffle join.
+    Trigrams are counted per text first, so that one that is in every text costs a row per text; Spark joins the written model by its size.
     """
     model = stage(model, "language_model")
     langs = sorted(r["lang"] for r in model.select(F.explode(F.map_keys("logp")).alias("lang")).distinct().collect())  # one row per language
-    small = model.count() <= MODEL_LIMIT
     grams = stats.spread(df.select(key, text)).select(key, F.explode(trigrams(F.col(text))).alias("gram"))
-    if not small:
-        grams = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.lit(1) if small else F.col("n")
+    grams = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.col("n")
     table = model.select("gram", *[F.col("logp")[x].alias(f"p{i}") for i, x in enumerate(langs)])
-    scored = grams.join(F.broadcast(table) if small else table, "gram").groupBy(key).agg(
+    scored = grams.join(table, "gram").groupBy(key).agg(
         *[F.round(F.sum(weight * F.col(f"p{i}")), 6).alias(f"s{i}") for i in range(len(langs))])
     best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))["lang"]
     rows = df.select(key, F.length(F.trim(F.col(text))).alias("_len")).join(scored.select(key, best.alias("detected")), key, "left")

@@ -148,7 +148,7 @@ def associated_relation(classes: DataFrame, relation: str = "associated_relation
     by_name = entities.groupBy("table", F.lower("entity_type").alias("suffix")).agg(F.min(F.struct("pos", "entity_type")).alias("hit"))
     rows = classes.filter(F.col("type") != "entity").filter(F.coalesce(F.col(relation), F.lit("")) != "")
     suffixes = rows.select("table", "pos", "column_name", F.col(relation).alias("relationship_type"), F.explode(F.transform(
-        F.sequence(F.lit(1), F.length(relation)), lambda i: F.substring(F.lower(F.col(relation)), i, F.lit(2_000_000)))).alias("suffix"))
+        F.sequence(F.lit(1), F.length(relation)), lambda i: F.substring(F.lower(F.col(relation)), i, F.length(relation)))).alias("suffix"))
     target = suffixes.join(by_name, ["table", "suffix"]).groupBy("table", "pos", "column_name", "relationship_type").agg(
         F.min("hit")["entity_type"].alias("target_entity"))
     return target.join(primary, "table")

@@ -86,15 +86,16 @@ def merge_evidence(merges: DataFrame, mapped: DataFrame, columns: DataFrame) ->
     """Statistics behind a merge: columns mapped to one of its labels; where there is none, columns whose
     ``table.column`` key mentions a label.
 
-    The mention is found by joining on the key's substrings of label length, one entry per length in use.
+    The mention is found by joining on the key's substrings of the lengths that labels have.
     """
     labels = merges.select("merge_id", F.explode(F.array("src", "dst")).alias("label")).distinct()
     direct = labels.join(mapped.withColumnRenamed("belongs_to", "label"), "label").select("merge_id", "label", "table", "column_name", F.lit("mapped").alias("evidence"))
     rest = labels.join(direct.select("merge_id").distinct(), "merge_id", "left_anti").withColumn("_needle", F.lower("label"))
-    key = F.lower(F.concat_ws(".", "table", "column_name"))
-    pieces = columns.select("table", "column_name", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(key)), lambda i: F.transform(
-            F.sequence(F.lit(1), F.length(key) - i + 1), lambda n: F.substring(key, i, n)))))).alias("_needle"))
+    lengths = rest.agg(F.collect_set(F.length("_needle")).alias("_lengths"))  # one row
+    keyed = columns.select("table", "column_name", F.lower(F.concat_ws(".", "table", "column_name")).alias("_key")).join(F.broadcast(lengths), how="cross")
+    cut = F.transform("_lengths", lambda n: F.when((n > 0) & (n <= F.length("_key")), F.transform(
+        F.sequence(F.lit(1), F.length("_key") - n + 1), lambda i: F.substring(F.col("_key"), i, n))).otherwise(F.array().cast("array<string>")))
+    pieces = keyed.select("table", "column_name", F.explode(F.array_distinct(F.flatten(cut))).alias("_needle"))
     mentioned = rest.join(pieces, "_needle").select("merge_id", "label", "table", "column_name", F.lit("mentioned").alias("evidence"))
     return direct.unionByName(mentioned)
 
@@ -148,13 +149,23 @@ def property_counts(relations: DataFrame) -> DataFrame:
 def merge_relation_types(types: DataFrame) -> DataFrame:
     """Groups of equivalent types and the name they merge into.
 
-    Input (pair, type, richness): types of one undirected pair with equal stems form a group; its name is the
-    richest type, and a type claimed by an earlier pair is not used again.
+    Input (pair, type, richness): two or more types of one undirected pair with equal stems form a group; its name is the
+    richest type. Groups are taken in the order of their pairs, and one with a type that has been merged already is left out
+    as a whole. Types of different stems never meet, so each stem is settled by itself, from its distinct groups: a later copy of
+    a group never counts.
     """
-    order = Window.partitionBy("type").orderBy("pair")
-    claimed = types.withColumn("stem", stem(F.regexp_replace("type", "^(has|is|the)_", ""))).withColumn(
-        "turn", F.row_number().over(order)).filter("turn = 1")  # rank filter runs before the shuffle
-    rank = F.struct(F.col("richness"), F.col("type"))
-    groups = claimed.groupBy("pair", "stem").agg(F.max_by("type", rank).alias("to_type"), F.count(F.lit(1)).alias("size")).filter("size >= 2")
-    return claimed.join(groups, ["pair", "stem"]).filter(F.col("type") != F.col("to_type")).select(
-        F.col("type").alias("from_type"), "to_type", "pair", "richness")
+    rows = types.withColumn("stem", stem(F.regexp_replace("type", "^(has|is|the)_", ""))).select(
+        "pair", "stem", F.struct("richness", "type").alias("member"))
+    groups = rows.groupBy("pair", "stem").agg(F.array_sort(F.collect_set("member")).alias("members")).filter(F.size("members") >= 2)
+    first = groups.groupBy("stem", "members").agg(F.min("pair").alias("pair"))
+    listed = first.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("pair", "members"))).alias("groups"))
+
+    def sources(group: Column) -> Column:
+        return F.slice(group["members"], F.lit(1), F.size(group["members"]) - 1)  # all but the richest
+
+    def taken(kept: Column) -> Column:
+        return F.flatten(F.transform(kept, lambda g: F.transform(sources(g), lambda m: m["type"])))
+    kept = F.aggregate("groups", F.filter("groups", lambda g: F.lit(False)), lambda kept, g: F.when(
+        F.arrays_overlap(taken(kept), F.transform(sources(g), lambda m: m["type"])), kept).otherwise(F.array_append(kept, g)))
+    one = listed.select(F.explode(kept).alias("g")).select("g.pair", F.element_at("g.members", -1)["type"].alias("to_type"), F.explode(sources(F.col("g"))).alias("m"))
+    return one.select(F.col("m.type").alias("from_type"), "to_type", "pair", F.col("m.richness").alias("richness"))

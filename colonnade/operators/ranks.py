@@ -11,13 +11,14 @@ SPLITS = 64
 
 
 def values_at_ranks(rows: DataFrame, wanted: dict[str, list[int]], limit: int | None = None) -> dict[tuple[str, int], float]:
-    """Value at each 0-based rank, from rows (key, x, n) with distinct x per key and weight n.
+    """Value at each 0-based rank, from rows (key, x, n) with weight n.
 
     Each round cuts the range that holds a wanted rank into equally filled pieces and keeps the one that
     holds it, so the candidates shrink by ``SPLITS`` per round until a bounded group remains. The driver
     only sees the bounds: a few numbers per key and rank.
     """
     limit = limit or RANK_GROUP_LIMIT
+    rows = rows.groupBy("key", "x").agg(F.sum("n").alias("n"))  # distinct values, so that every round narrows
     spark = rows.sparkSession
     # open range per (key, rank): values in (low, high], `before` = weight at or below low
     ranges = {(k, r): (float("-inf"), float("inf"), 0) for k, ranks in wanted.items() for r in ranks}
@@ -37,7 +38,7 @@ def values_at_ranks(rows: DataFrame, wanted: dict[str, list[int]], limit: int |
             targets = spark.createDataFrame(
                 [(index[k, *rng], r) for (k, r), rng in ranges.items() if index[k, *rng] in small], "cell int, rank bigint")
             running = inside.filter(F.col("cell").isin(small)).withColumn(
-                "upto", F.col("before") + F.sum("n").over(Window.partitionBy("cell").orderBy("x")))
+                "upto", F.col("before") + F.sum("n").over(Window.partitionBy("cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
             hits = running.join(F.broadcast(targets), "cell").filter(
                 (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
             for r in hits.select("key", "rank", "x").collect():

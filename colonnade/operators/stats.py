@@ -93,11 +93,12 @@ def is_whole(number: Column) -> Column:
 
 
 def iso_text(value: Column) -> Column:
-    """Timestamp or date as text, the time part only where there is one."""
+    """Timestamp or date as text, the time part and the fraction of a second only where there is one."""
     stamp = value.cast("timestamp")
     return F.when(
         stamp == F.date_trunc("day", stamp), F.date_format(stamp, "yyyy-MM-dd")
-    ).otherwise(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
+    ).when(stamp == F.date_trunc("second", stamp), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")).otherwise(
+        F.date_format(stamp, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 # Statistics per type class as SQL aggregates over {c} (the cell), {v} (its number), {k} (its tokens).

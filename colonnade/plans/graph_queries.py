@@ -119,10 +119,10 @@ PLAIN_STEM = STEM.format("translate(regexp_replace(type, '^(has|is|the)_', ''),
 @query("relation_merges", f"""WITH raw AS (SELECT least(source, target) || '|' || greatest(source, target) AS pair, {SNAKE.format('v')} AS type, pname
       FROM (SELECT *, {VARIANT} AS v FROM {TRADE}) WHERE source <> target),
     rich AS (SELECT type, count(DISTINCT pname) AS richness FROM raw GROUP BY type),
-    claimed AS (SELECT type, min(pair) AS pair FROM raw GROUP BY type),
-    s AS (SELECT pair, type, richness, {PLAIN_STEM} AS stem FROM claimed JOIN rich USING (type)),
-    g AS (SELECT pair, stem, arg_max(type, (richness, type)) AS to_type, count(*) AS size FROM s GROUP BY pair, stem)
-    SELECT type AS from_type, to_type, pair, richness FROM s JOIN g USING (pair, stem) WHERE size >= 2 AND type <> to_type""")
+    s AS (SELECT DISTINCT pair, type, richness, {PLAIN_STEM} AS stem FROM raw JOIN rich USING (type)),
+    g AS (SELECT pair, stem, arg_max(type, (richness, type)) AS to_type FROM s GROUP BY pair, stem HAVING count(*) >= 2),
+    f AS (SELECT stem, min(pair) AS pair FROM g GROUP BY stem) -- every stem has two types here, so all groups of a stem are equal
+    SELECT type AS from_type, to_type, pair, richness FROM s JOIN g USING (pair, stem) JOIN f USING (pair, stem) WHERE type <> to_type""")
 def relation_merges(t: Tables) -> DataFrame:
     rows = trade(t).withColumn("type", F.expr(VARIANT))
     rich = merge.property_counts(merge.drop_self(rows).select("type", F.create_map("pname", "brand").alias("properties")))
@@ -200,18 +200,21 @@ def merge_explode(t: Tables) -> DataFrame:
 
 
 EVIDENCE = """(SELECT p_brand AS label, 'integer' AS data_type, min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part GROUP BY p_brand UNION ALL
-    SELECT p_brand, 'float', min(p_retailprice), max(p_retailprice) FROM part GROUP BY p_brand)"""
+    SELECT p_brand, 'integer', min(p_partkey)::DOUBLE, max(p_partkey)::DOUBLE FROM part GROUP BY p_brand UNION ALL
+    SELECT p_brand, 'float', min(p_retailprice), max(p_retailprice) FROM part GROUP BY p_brand HAVING count(*) % 2 = 0)"""
 
 
 @query("merge_validate", f"""SELECT * FROM (SELECT src, dst, round(avg((ta = tb)::INT), 6) AS type_share, round(avg(CASE WHEN ta = tb AND la <= hb AND lb <= ha THEN 1 ELSE 0 END), 6)
     AS overlap_share, round(avg((ta = tb)::INT) * 0.5 + avg(CASE WHEN ta = tb AND la <= hb AND lb <= ha THEN 1 ELSE 0 END) * 0.5, 6) AS confidence FROM (
       SELECT m.label AS src, m.merged AS dst, a.data_type AS ta, b.data_type AS tb, a.lo AS la, a.hi AS ha, b.lo AS lb, b.hi AS hb
-      FROM {BRANDS} m JOIN {EVIDENCE} a ON a.label = m.label JOIN {EVIDENCE} b ON b.label = m.merged) GROUP BY src, dst) WHERE confidence >= 0.5""")
+      FROM {BRANDS} m JOIN {EVIDENCE} a ON a.label = m.label JOIN {EVIDENCE} b ON b.label = m.merged) GROUP BY src, dst) WHERE confidence >= 0.6""")
 def merge_validate(t: Tables) -> DataFrame:
     ranges = t.part.groupBy("p_brand").agg(F.min("p_size").alias("a"),
-                                          F.max("p_size").alias("b"), F.min("p_retailprice").alias("c"), F.max("p_retailprice").alias("d"))
-    evidence = ranges.selectExpr("p_brand AS label", "stack(2, 'integer', cast(a AS double), cast(b AS double), 'float', c, d) AS (data_type, min_value, max_value)")
-    out = merge.validate_merges(brand_merges(t).selectExpr("label AS src", "merged AS dst"), evidence, 0.5)
+                                          F.max("p_size").alias("b"), F.min("p_partkey").alias("c"), F.max("p_partkey").alias("d"),
+                                          F.min("p_retailprice").alias("e"), F.max("p_retailprice").alias("f"), (F.count(F.lit(1)) % 2 == 0).alias("even"))
+    evidence = ranges.selectExpr("p_brand AS label", "even", "stack(3, 'integer', cast(a AS double), cast(b AS double), 'integer', cast(c AS double), cast(d AS double), "
+                                 "'float', e, f) AS (data_type, min_value, max_value)").filter("even OR data_type = 'integer'").drop("even")
+    out = merge.validate_merges(brand_merges(t).selectExpr("label AS src", "merged AS dst"), evidence)
     return out.select("src", "dst", *[F.round(c, 6).alias(c) for c in ("type_share", "overlap_share", "confidence")])
 
 
@@ -436,7 +439,7 @@ SCORES = ["node_score", "property_score", "relation_score", "overall_score"]
 def overall(t: Tables) -> DataFrame:
     rows = stage(trade(t).filter("flag <> 'N'").drop("l_orderkey", "l_linenumber", "bidirectional"), "trade")  # read by three scores
     gen, gold = gen_nodes(rows), gold_nodes(rows)
-    return ev.overall_score(ev.node_score(gen, gold), ev.property_score(gen, gold), ev.relation_score(*edge_inputs(rows)))
+    return ev.score_runs(gen, gold, *edge_inputs(rows))
 
 
 @query("eval_overall", f"SELECT run_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)} FROM {OVERALL}")

@@ -29,13 +29,15 @@ COLUMNS = {
 }
 
 
-def num_text(expr: str, scale: int = 6) -> str:
-    return f"regexp_replace(CAST(CAST({expr} AS DECIMAL(38,{scale})) AS VARCHAR), '\\.?0+$', '')"
+def num_text(expr: str) -> str:
+    """The shortest text that gives the double back, in plain digits."""
+    return f"regexp_replace(CAST(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)) AS VARCHAR), '\\.?0+$', '')"
 
 
 def time_text(expr: str) -> str:
     return (f"CASE WHEN date_trunc('day', {expr}) = {expr} THEN strftime({expr}, '%Y-%m-%d') "
-            f"ELSE strftime({expr}, '%Y-%m-%d %H:%M:%S') END")
+            f"WHEN date_trunc('second', {expr}) = {expr} THEN strftime({expr}, '%Y-%m-%d %H:%M:%S') "
+            f"ELSE strftime({expr}, '%Y-%m-%d %H:%M:%S.%f') END")
 
 
 def tokens(c: str) -> str:

@@ -84,10 +84,11 @@ def missing_total(t: Tables) -> DataFrame:
     return cells.agg(F.sum("m").alias("missing_cells"), F.count("*").alias("column_count"), (F.count("*") == 1).alias("single_column"))
 
 
-@query("duplicate_rows", """SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_row_count FROM
-    (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)""")
+@query("duplicate_rows", """WITH x AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 40)
+    SELECT (SELECT count(*) FROM x) - (SELECT count(*) FROM (SELECT DISTINCT * FROM x)) AS duplicate_row_count""")
 def duplicate_rows(t: Tables) -> DataFrame:
-    return pf.duplicate_row_count(t.lineitem.select("l_returnflag", "l_linestatus", "l_quantity"))
+    """Whole rows, some of which stand twice."""
+    return pf.duplicate_row_count(t.lineitem.unionByName(t.lineitem.filter("l_quantity > 40")))
 
 
 # ---- cardinality, distribution, modes ---------------------------------------------------------------

@@ -30,7 +30,27 @@ def csv_folder(t: Tables) -> str:
 def scan_csv_roundtrip(t: Tables) -> DataFrame:
     path = new_path(t.spark, "customer")
     csv.write_csv(t.customer, path, ";")
-    return csv.read_csv_table(t.spark, path, overrides={"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"})
+    return csv.read_csv_table(t.spark, path)
+
+
+@query("csv_text_roundtrip", """SELECT 'documents' AS table_name, doc_id AS id, md5(text) AS digest, length(text) AS chars FROM documents
+    UNION ALL SELECT 'conversations', conv_id * 1000 + turn, md5(text), length(text) FROM conversations""")
+def csv_text_roundtrip(t: Tables) -> DataFrame:
+    """Raw texts with their quotes and line breaks."""
+    parts = []
+    for table, key in (("documents", "doc_id"), ("conversations", "conv_id * 1000 + turn")):
+        path = new_path(t.spark, table)
+        csv.write_csv(getattr(t, table), path)
+        rows = csv.read_csv_table(t.spark, path, overrides={"text": "string"})
+        parts.append(rows.selectExpr(f"'{table}' AS table_name", f"cast({key} AS bigint) AS id", "md5(text) AS digest", "length(text) AS chars"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("csv_type_override", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal FROM customer""")
+def csv_type_override(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "override")
+    csv.write_csv(t.customer, path, "|")
+    return csv.read_csv_table(t.spark, path, header=None, overrides={"c_custkey": "string", "c_nationkey": "string"}).drop("c_mktsegment")
 
 
 def table_of(path: str = "path"):
@@ -53,21 +73,18 @@ def csv_delimiter_by_header(t: Tables) -> DataFrame:
     return csv.delimiter_by_header(heads).select(table_of(), "delimiter").distinct()
 
 
-@query("csv_charset_groups", """SELECT lang, CASE WHEN lang IN ('fr', 'de', 'es') THEN 'iso-8859-1' ELSE 'utf-8' END AS charset, count(*) AS rows_read
-    FROM documents GROUP BY lang""")
+@query("csv_charset_groups", """SELECT lang, CASE WHEN lang IN ('fr', 'de', 'es') THEN 'iso-8859-1' ELSE 'utf-8' END AS charset, count(*) AS rows_read,
+    CAST(sum(length(text)) + 2 * count(*) AS BIGINT) AS chars FROM documents GROUP BY lang""")
 def csv_charset_groups(t: Tables) -> DataFrame:
+    """One folder of files in two character sets, read as one table."""
     root = new_path(t.spark, "charset")
-    texts = t.documents.select("doc_id", "lang", F.concat_ws(" ", F.regexp_replace("text", r"[\s\"\\]+", " "), F.lit("é")).alias("text"))
+    texts = t.documents.select("doc_id", "lang", F.concat_ws(" ", "text", F.lit("é")).alias("text"))
     for lang, encoding in (("en", "UTF-8"), ("fr", "ISO-8859-1"), ("de", "ISO-8859-1"), ("es", "ISO-8859-1")):
         csv.write_csv(texts.filter(F.col("lang") == lang), f"{root}/{lang}", ",", encoding)
-    found = csv.file_charsets(t.spark, root).select(F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("lang"), "charset")
-    groups = found.groupBy("charset").agg(F.sort_array(F.collect_set("lang")).alias("langs")).collect()  # one row per charset
-    out = None
-    for g in groups:
-        part = csv.read_csv_table(t.spark, [f"{root}/{x}" for x in g["langs"]], ",", True, g["charset"], "doc_id bigint, lang string, text string")
-        part = part.filter("text LIKE '%é'").groupBy("lang").agg(F.count(F.lit(1)).alias("rows_read")).withColumn("charset", F.lit(g["charset"]))
-        out = part if out is None else out.unionByName(part)
-    return out.select("lang", "charset", "rows_read")
+    found = csv.file_charsets(t.spark, root).select(F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("lang"), "charset").distinct()
+    rows = csv.read_csv_table(t.spark, root, ",", schema="doc_id bigint, lang string, text string")
+    read = rows.filter("text LIKE '%é'").groupBy("lang").agg(F.count(F.lit(1)).alias("rows_read"), F.sum(F.length("text")).alias("chars"))
+    return found.join(read, "lang")
 
 
 @query("csv_drop_malformed", """SELECT count(*) FILTER (o_orderkey % 10 <> 0) AS good_rows, count(*) FILTER (o_orderkey % 10 = 0) AS bad_rows,
@@ -291,9 +308,9 @@ def header_translate(t: Tables) -> DataFrame:
 # ---- samples ----------------------------------------------------------------------------------------
 
 @query("sample_hmt", """WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
-    SELECT o_orderkey, o_custkey, o_orderstatus FROM r WHERE i < 3 OR i >= n - 3 OR (i >= n // 2 - 2 AND i < n // 2 + 2)""")
+    SELECT * EXCLUDE (i, n) FROM r WHERE i < 3 OR i >= n - 3 OR (i >= n // 2 - 2 AND i < n // 2 + 2)""")
 def sample_hmt(t: Tables) -> DataFrame:
-    return sampling.head_mid_tail(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", 10)
+    return sampling.head_mid_tail(t.orders, "o_orderkey", 10)
 
 
 @query("sample_json", """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' AS record FROM customer ORDER BY c_custkey LIMIT 5""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colonnade.operators import header as header_rules
 from colonnade.session import stage
 
 # Candidate delimiters, in order of preference.
@@ -27,11 +28,23 @@ def _hits(value: Column, mark: str) -> Column:
 
 
 def delimiter_by_width(heads: DataFrame) -> DataFrame:
-    """(path, delimiter): the delimiter with the fewest columns that still gives more than one; comma otherwise."""
-    first = heads.groupBy("path").agg(F.min_by("value", "line_no").alias("value"))
-    options = F.array(*[F.struct((_hits(F.col("value"), d) + 1).alias("width"), F.lit(i).alias("at"), F.lit(d).alias("d")) for i, d in enumerate(CANDIDATES)])
-    best = F.array_min(F.filter(options, lambda o: o["width"] > 1))
-    return first.select("path", F.coalesce(best["d"], F.lit(",")).alias("delimiter"))
+    """(path, delimiter): the delimiter with the fewest columns that still gives more than one; comma otherwise.
+
+    All head lines count, without what stands in quotes (which may go over several lines); a delimiter that gives some
+    line more columns than the first does not fit.
+    """
+    joined = heads.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    lines = joined.select("path", F.filter(F.split(F.regexp_replace("text", '"[^"]*("|$)', ""), "\n"), lambda v: v != "").alias("lines"))
+    options = []
+
+    def widths_of(mark: str) -> Column:
+        return F.transform("lines", lambda v: _hits(v, mark) + 1)
+    for i, d in enumerate(CANDIDATES):
+        widths = widths_of(d)
+        fits = (F.get(widths, 0) > 1) & (F.array_max(widths) == F.get(widths, 0))
+        options.append(F.when(fits, F.struct(F.get(widths, 0).alias("width"), F.lit(i).alias("at"), F.lit(d).alias("d"))))
+    best = F.array_min(F.array(*options))
+    return lines.select("path", F.coalesce(best["d"], F.lit(",")).alias("delimiter"))
 
 
 def delimiter_by_header(heads: DataFrame) -> DataFrame:
@@ -52,22 +65,62 @@ def file_charsets(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return checked.select("path", F.when(F.col("ok"), "utf-8").otherwise("iso-8859-1").alias("charset"))
 
 
-def read_csv_table(spark: SparkSession, path: str, sep: str | None = None, header: bool = True, encoding: str | None = None,
-                   schema: T.StructType | str | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
-    """One CSV table, given as a file or a folder of parts; delimiter and character set are detected where not
-    given (one row per file reaches the driver), columns in ``overrides`` are cast after the read."""
-    if sep is None:
-        row = delimiter_by_width(head_lines(spark, path)).orderBy("path").first()
-        sep = row["delimiter"] if row else ","
-    if encoding is None:
-        bad = file_charsets(spark, path).filter("charset <> 'utf-8'").first()
-        encoding = bad["charset"] if bad else "utf-8"
-    reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", not overrides)
-    df = reader.csv(path)
-    for name, dtype in (overrides or {}).items():
-        df = df.withColumn(name, F.col(name).cast(dtype))
-    return df
+# Cells may hold the delimiter, doubled quotes, line breaks and blanks at their ends.
+CELLS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# Types in the order in which one takes in the other; any other pair of types becomes text.
+WIDER = ["int", "bigint", "double"]
+
+
+def _wider(a: str, b: str) -> str:
+    if a == b or b == "void":
+        return a
+    if a == "void":
+        return b
+    return max(a, b, key=WIDER.index) if a in WIDER and b in WIDER else "string"
+
+
+def has_header(heads: DataFrame, sep: str) -> bool:
+    """Guess for the first file: its first line against the next four."""
+    first = heads.agg(F.min("path").alias("first"))  # one row
+    rows = heads.join(F.broadcast(first), heads["path"] == F.col("first")).select(
+        F.col("path").alias("table"), F.col("line_no").alias("pos"), F.split("value", "\\Q" + sep + "\\E").alias("cells"))
+    row = header_rules.guess_header(rows).first()
+    return bool(row and row["is_header"])
+
+
+def read_csv_table(spark: SparkSession, path: str | list[str], sep: str | None = None, header: bool | None = True, encoding: str | None = None,
+                   schema: T.StructType | str | None = None, overrides: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
+    """One CSV table, given as a file or a folder of parts. Delimiter, character sets and (for None) the header are detected
+    where not given; files of different character sets are read apart and put together. Types are inferred once; those in
+    ``overrides`` replace the inferred ones before the data are read, so that 01234 stays what it is as text.
+
+    With ``multi_line`` cells may hold line breaks and a file is read by one task; without, large files are split."""
+    if sep is None or header is None:
+        heads = head_lines(spark, path)
+        if sep is None:
+            row = delimiter_by_width(heads).orderBy("path").first()
+            sep = row["delimiter"] if row else ","
+        header = has_header(heads, sep) if header is None else header
+    groups: dict[str, str | list[str]] = {encoding: path} if encoding else {}
+    if not groups:
+        found = file_charsets(spark, path).groupBy("charset").agg(F.collect_list("path").alias("paths")).orderBy("charset").collect()  # paths, as Spark lists them
+        groups = {r["charset"]: r["paths"] for r in found} if len(found) > 1 else {found[0]["charset"] if found else "utf-8": path}
+
+    def reader(charset: str):
+        return spark.read.options(**CELLS).option("sep", sep).option("header", header).option("encoding", charset).option("multiLine", multi_line).option(
+            "recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE")
+    if schema is None:
+        types: dict[str, str] = {}
+        for charset, files in groups.items():
+            for name, kind in reader(charset).option("inferSchema", True).csv(files).dtypes:
+                types[name] = _wider(types.get(name, "void"), kind)
+        schema = ", ".join(f"`{name.replace('`', '``')}` {(overrides or {}).get(name, kind)}" for name, kind in types.items())
+        overrides = {}
+    out = None
+    for charset, files in groups.items():
+        part = reader(charset).schema(schema).csv(files)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumns({name: F.col(name).cast(kind) for name, kind in (overrides or {}).items()})
 
 
 def split_bad_lines(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -90,4 +143,4 @@ def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
-    df.write.mode("overwrite").option("sep", sep).option("header", True).option("encoding", encoding).csv(path)
+    df.write.mode("overwrite").options(**CELLS).option("sep", sep).option("header", True).option("encoding", encoding).csv(path)

@@ -43,8 +43,8 @@ def write_graph_table(rows: DataFrame, kind: str, by: str, path: str) -> None:
 
 
 def write_snapshot(rows: DataFrame, path: str, run_id: str, step: str) -> None:
-    """State of one step of a run, under run_id=/step= folders."""
-    rows.withColumns({"run_id": F.lit(run_id), "step": F.lit(step)}).write.mode("append").partitionBy("run_id", "step").parquet(path)
+    """State of one step of a run, under run_id=/step= folders; a repeated step replaces what it wrote before."""
+    rows.withColumns({"run_id": F.lit(run_id), "step": F.lit(step)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "step").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, run_id: str, step: str) -> DataFrame:

@@ -175,13 +175,15 @@ def test_evaluation_scores(spark):
     assert scores(spark, GOLD, split)[2] == pytest.approx(2 / 3)  # no single edge has both attributes
 
 
-def test_canonical_names_both_paths(spark, monkeypatch):
+def test_canonical_names(spark):
     syn = spark.createDataFrame([(0, "user", "person"), (0, "user", "client"), (1, "item", "product"), (2, "click", "person_event")], "pos int, canonical string, synonym string")
     df = spark.createDataFrame([("App_User",), ("Person-Event",), ("my.product",), ("Other_Thing",)], "name string")
     want = {"App_User": "user", "Person-Event": "user", "my.product": "item", "Other_Thing": "otherthing"}
     assert {r["name"]: r["canonical"] for r in evaluate.canonical_names(df, "name", syn).collect()} == want
-    monkeypatch.setattr(evaluate, "SYNONYM_LIMIT", 1)
-    assert {r["name"]: r["canonical"] for r in evaluate.canonical_names(df, "name", syn).collect()} == want
+    empty = syn.unionByName(spark.createDataFrame([(1, "any", "-_")], syn.schema))  # normalises to nothing, so every name contains it
+    got = {r["name"]: r["canonical"] for r in evaluate.canonical_names(df, "name", empty).collect()}
+    assert got == want | {"my.product": "any" if "any" < "item" else "item", "Other_Thing": "any"}
+    assert {r["canonical"] for r in evaluate.canonical_names(df, "name", syn.limit(0)).collect()} == {"appuser", "personevent", "myproduct", "otherthing"}
 
 
 def test_edge_alignment_and_last_relation(spark):
@@ -220,13 +222,11 @@ def test_header_detection(spark):
         header.apply_header(spark.range(3), ["a", "b"])
 
 
-def test_language_paths_agree(spark, monkeypatch):
+def test_language(spark):
     df = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "the house", "en"), (4, "la maison et le jardin", "fr"), (5, "x", "en")], "k int, t string, l string")
     model = header.train_language_model(df, "t", "l")
     want = {1: "en", 2: "fr", 3: "en", 4: "fr", 5: "en"}
     assert {r["k"]: r["detected"] for r in header.detect_language(df, "k", "t", model).collect()} == want
-    monkeypatch.setattr(header, "MODEL_LIMIT", 0)
-    assert {r["k"]: r["detected"] for r in header.detect_language(df, "k", "t", model).collect()} == want
 
 
 def test_schema_documents(spark, tmp_path):
@@ -238,7 +238,7 @@ def test_schema_documents(spark, tmp_path):
 
 def test_csv_table(spark, tmp_path):
     (tmp_path / "t.csv").write_bytes("id;name;zip\n1;Zoë, A;01234\n2;Bob;99\n".encode("latin-1"))
-    df = csv.read_csv_table(spark, str(tmp_path / "t.csv"), overrides={"id": "int"})
+    df = csv.read_csv_table(spark, str(tmp_path / "t.csv"), overrides={"zip": "string"})
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "Zoë, A", "01234"), (2, "Bob", "99")]
 
 
@@ -265,3 +265,92 @@ def test_schema_files_and_snapshots(spark, tmp_path):
     for run in ("a", "b"):
         store.write_snapshot(spark.createDataFrame([(run, 1)], "k string, n int"), str(tmp_path / "runs"), run, "one")
     assert [tuple(r) for r in store.read_snapshot(spark, str(tmp_path / "runs"), "b", "one").collect()] == [("b", 1)]
+
+
+def test_head_mid_tail_of_repeated_text_and_large_keys(spark):
+    for expr, keys in (("id % 20", 20), ("concat('k', id % 20)", 20), ("date_add(DATE '2024-01-01', cast(id AS int))", 60), ("1700000000000000000 + id", 60)):
+        df = spark.range(60).selectExpr(f"{expr} AS k", "id AS v")
+        rows = sampling.head_mid_tail(df, "k", 10).collect()
+        order = sorted(r["k"] for r in df.collect())
+        assert len(rows) == 10 and sorted(r["k"] for r in rows) == sorted(order[:3] + order[28:32] + order[-3:])
+    hot = spark.range(500).selectExpr("if(id < 300, NULL, 7) AS k", "id AS v")
+    assert [r["k"] for r in sampling.head_mid_tail(hot, "k", 6).collect()] == [None] * 4 + [7] * 2
+
+
+def test_quantiles_of_large_integers(spark):
+    import pandas as pd
+
+    from colonnade.operators import freq
+
+    ids = [1_700_000_000_000_000_000 + i for i in range(1000)]
+    rows = spark.createDataFrame([("c", float(i), 1) for i in ids], "column_name string, x double, n bigint")
+    want = pd.Series(ids).quantile([0.25, 0.5, 0.75]).tolist()
+    assert freq.quantiles(rows).first()["q"] == pytest.approx(want, rel=1e-15)
+    assert freq.quantiles(rows, ["c"]).first()["q"] == pytest.approx(want, rel=1e-15)
+
+
+def test_texts_keep_digits_and_fractions(spark):
+    from colonnade.operators import freq, stats
+
+    df = spark.createDataFrame([(4e-7, "2024-01-01 10:00:00.000250"), (3e-7, "2024-01-01 10:00:00"), (1200.0, "2024-01-01"), (-0.1, None), (1e-30, None)], "d double, t string")
+    assert [r[0] for r in df.select(freq.num_text(F.col("d"))).collect()] == ["0.0000004", "0.0000003", "1200", "-0.1", "1.0E-30"]
+    assert [r[0] for r in df.select(stats.iso_text(F.col("t").cast("timestamp"))).collect()][:3] == ["2024-01-01 10:00:00.000250", "2024-01-01 10:00:00", "2024-01-01"]
+
+
+def test_header_row_goes_alone(spark):
+    df = spark.createDataFrame([(1, "h"), (1, "a"), (None, "b"), (2, "c")], "k int, v string")
+    left = header.apply_header(df, ["x", "y"], "k").collect()
+    assert len(left) == 3 and sorted(r["y"] for r in left if r["x"] != 1 or r["x"] is None) == ["b", "c"]
+    names_of = spark.createDataFrame([("t", i, n) for i, n in enumerate(["x", "x", "x_2", "X", ""])], "table string, pos int, name string")
+    assert [r["header"] for r in header.snake_headers(names_of).orderBy("pos").collect()] == ["x", "x_2", "x_2_2", "x_3", "column"]
+
+
+def test_relation_merge_needs_a_group(spark):
+    from colonnade.operators import merge
+
+    rows = [("p1", "buy", 1), ("p2", "buy", 1), ("p2", "buys", 3), ("p3", "buy", 1), ("p3", "buys", 3), ("p3", "has_buy", 2), ("p4", "own", 1)]
+    got = merge.merge_relation_types(spark.createDataFrame(rows, "pair string, type string, richness int")).collect()
+    assert {(r["from_type"], r["to_type"], r["pair"]) for r in got} == {("buy", "buys", "p2")}  # p3's group has a type that is merged already
+
+
+def test_runs_without_rows_are_scored(spark):
+    gen = spark.createDataFrame([("a", "user", "id")], "run_id string, node string, attr string")
+    gold = gen.drop("run_id")
+    edges = spark.createDataFrame([], "run_id string, type string, source string, target string, attrs array<string>")
+    runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    got = {r["run_id"]: (r["node_score"], r["property_score"], r["relation_score"]) for r in evaluate.score_runs(gen, gold, edges, edges.drop("run_id"), runs).collect()}
+    assert got == {"a": (1.0, 1.0, 1.0), "b": (0.0, 0.0, 1.0)}
+
+
+def test_csv_cells_types_and_charsets(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text,zip\n1,"he said ""hi, you"" now",01234\n2,"two\nlines",99\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_bytes("id,text,zip\n3,café,7.5\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_text("id,text,zip\n4,Zoë,8\n", encoding="utf-8")
+    df = csv.read_csv_table(spark, str(tmp_path), overrides={"zip": "string"})
+    assert dict(df.dtypes)["id"] == "int" and dict(df.dtypes)["zip"] == "string"
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 'he said "hi, you" now', "01234"), (2, "two\nlines", "99"), (3, "café", "7.5"), (4, "Zoë", "8")]
+    assert dict(csv.read_csv_table(spark, str(tmp_path)).dtypes)["zip"] == "double"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.csv").write_text('name;"a,b,c,d"\nx;1\ny;2\n')
+    assert csv.read_csv_table(spark, str(tmp_path / "d"), header=None).count() == 2
+
+
+def test_staging_needs_a_shared_folder(spark):
+    from colonnade import session
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(type("Session", (), {"conf": Conf, "sparkContext": Context}))
+
+
+def test_repeated_snapshot_replaces(spark, tmp_path):
+    rows = spark.createDataFrame([("k", 1)], "k string, n int")
+    for _ in range(2):
+        store.write_snapshot(rows, str(tmp_path / "s"), "run", "one")
+    store.write_snapshot(rows, str(tmp_path / "s"), "run", "two")
+    assert store.read_snapshot(spark, str(tmp_path / "s"), "run", "one").count() == 1 == store.read_snapshot(spark, str(tmp_path / "s"), "run", "two").count()
