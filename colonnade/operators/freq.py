@@ -248,12 +248,30 @@ def moments(rows: DataFrame, means: dict[str, float]) -> DataFrame:
         return rows.selectExpr("column_name", "cast(NULL AS double) AS skew", "cast(NULL AS double) AS kurt",
                                "cast(NULL AS double) AS std").limit(0)
     known = rows.sparkSession.createDataFrame(list(means.items()), "column_name string, mu double")
-    sums = rows.join(F.broadcast(known), "column_name").groupBy("column_name").agg(  # one row per column
-        F.expr("cast(sum(n) AS double) AS c"), F.expr("sum(n * pow(x - mu, 2)) / sum(n) AS m2"),
-        F.expr("sum(n * pow(x - mu, 3)) / sum(n) AS m3"), F.expr("sum(n * pow(x - mu, 4)) / sum(n) AS m4"))
-    return sums.selectExpr(
-        "column_name",
-        "CASE WHEN c >= 3 THEN coalesce(m3 / nullif(pow(m2, 1.5), 0D), 0D) * sqrt(c * (c - 1)) / (c - 2) END AS skew",
-        """CASE WHEN c >= 4 THEN coalesce((c - 1) / ((c - 2) * (c - 3))
-           * ((c + 1) * (m4 / nullif(m2 * m2, 0D) - 3) + 6), 0D) END AS kurt""",
-        "CASE WHEN c > 1 THEN sqrt(m2 * c / (c - 1)) END AS std")
+    sums = rows.join(F.broadcast(known), "column_name").groupBy("column_name").agg(*[F.expr(e) for e in CENTRAL])  # one row per column
+    return sums.selectExpr("column_name", *SHAPE)
+
+
+CENTRAL = ["cast(sum(n) AS double) AS c", *[f"sum(n * pow(x - mu, {k})) / sum(n) AS m{k}" for k in (2, 3, 4)]]
+SHAPE = [
+    "CASE WHEN c >= 3 THEN coalesce(m3 / nullif(pow(m2, 1.5), 0D), 0D) * sqrt(c * (c - 1)) / (c - 2) END AS skew",
+    """CASE WHEN c >= 4 THEN coalesce((c - 1) / ((c - 2) * (c - 3))
+       * ((c + 1) * (m4 / nullif(m2 * m2, 0D) - 3) + 6), 0D) END AS kurt""",
+    "CASE WHEN c > 1 THEN sqrt(m2 * c / (c - 1)) END AS std"]
+
+
+def summary(rows: DataFrame, means: dict[str, float], large: list[str] = (), probs: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(column_name, q, skew, kurt, std) from (column_name, x, n) rows: quantiles and moments around the known means in one aggregate.
+
+    The exact percentile keeps the distinct values of a column in its task, so columns in ``large``, which have more
+    than a bounded number, get theirs by rank narrowing."""
+    known = rows.sparkSession.createDataFrame([(k, v) for k, v in means.items()], "column_name string, mu double")
+    named = rows.join(F.broadcast(known), "column_name", "left")  # one row per column
+    cuts = F.array(*[F.lit(p) for p in probs])
+    kept = F.when(~F.col("column_name").isin(list(large)), F.col("x")) if large else F.col("x")
+    sums = named.groupBy("column_name").agg(F.percentile(kept, cuts, F.col("n")).alias("q"), *[F.expr(e) for e in CENTRAL])
+    out = sums.selectExpr("column_name", "q", *SHAPE)
+    if large:
+        narrow = _large_quantiles(rows, list(large), probs).withColumnRenamed("q", "_q")
+        out = out.join(F.broadcast(narrow), "column_name", "left").withColumn("q", F.coalesce("_q", "q")).drop("_q")  # one row per column
+    return out

@@ -138,14 +138,12 @@ def assemble(df: DataFrame, facts: list[dict], freq: DataFrame, lists: list[str]
     means = {f["column_name"]: f["num_avg"] for f in facts if f["column_name"] in numeric}
     if numeric or numeric_texts:
         rows = numeric_freq(present, df, numeric, numeric_texts, lists)
-        pieces.append(fq.quantiles(rows, [c for c in large if c in numeric + numeric_texts]).selectExpr(
-            "column_name", "q[0] AS q1", "q[1] AS median", "q[2] AS q3"))
-        pieces.append(fq.moments(rows, means).select("column_name", "skew", "kurt"))
+        pieces.append(fq.summary(rows, means, [c for c in large if c in numeric + numeric_texts]).selectExpr(
+            "column_name", "q[0] AS q1", "q[1] AS median", "q[2] AS q3", "skew", "kurt"))
     lengths = present.filter(F.col("unit") == "length").selectExpr("column_name", "cast(i AS double) AS x", "n")
     length_means = {f["column_name"]: f["len_mean"] for f in facts if f["len_mean"] is not None}
     if length_means:
-        pieces.append(fq.quantiles(lengths, probs=(0.5,)).selectExpr("column_name", "q[0] AS len_median"))
-        pieces.append(fq.moments(lengths, length_means).selectExpr("column_name", "std AS len_std"))
+        pieces.append(fq.summary(lengths, length_means).selectExpr("column_name", "q[1] AS len_median", "std AS len_std"))
     fields = {"mode_values": "array<string>", "samples": "array<string>", "q1": "double", "median": "double", "q3": "double",
               "skew": "double", "kurt": "double", "len_median": "double", "len_std": "double"}
     rows = None
