@@ -28,6 +28,13 @@ def schema_edges(relations: DataFrame, mapping: DataFrame, relation_merges: Data
     return rows.select("source", "type", "target").distinct()
 
 
+def attributed_edges(relations: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(source, type, target, attributes) from relations with one row per attribute (``attr``, NULL for none), relabelled; self
+    relations go. An edge of several tables has the attributes of all of them."""
+    rows = merge.drop_self(merge.relabel(relations.select("source", "type", "target", "attr").distinct(), mapping, ["source", "target"]), ignore_case=False)
+    return rows.groupBy("source", "type", "target").agg(F.sort_array(F.collect_set("attr")).alias("attributes"))
+
+
 def last_relation(relations: DataFrame, order: Column) -> DataFrame:
     """One row per (source, type, target), the last by ``order``; bounded state per key, no sort of a group."""
     rest = [c for c in relations.columns if c not in ("source", "type", "target")]
@@ -40,7 +47,9 @@ def schema_nodes(attributes: DataFrame) -> DataFrame:
 
 
 def document_edges(edges: DataFrame) -> DataFrame:
-    return edges.select("type", *[names.lower_if_all_caps(F.col(c)).alias(c) for c in ("source", "target")])
+    """Edges as they are written: labels in capitals only are lowered; attributes stay."""
+    rest = [c for c in ("attributes",) if c in edges.columns]
+    return edges.select("type", *[names.lower_if_all_caps(F.col(c)).alias(c) for c in ("source", "target")], *rest)
 
 
 def align_edges(edges: DataFrame, golden: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions import text
-from colonnade.operators import classify, containment, mapping, merge, similar
+from colonnade.operators import classify, containment, discover, mapping, merge, similar
+from colonnade.operators import evaluate as ev
 from colonnade.operators import profile as pf
 from colonnade.plans import oracle
 from colonnade.plans.registry import Tables, query
-from colonnade.session import stage
+from colonnade.session import new_path, stage
+from colonnade.sources import store
 
 CATALOG = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events", "labels"]
 _STORED: dict[tuple[str, str], DataFrame] = {}
@@ -253,6 +255,50 @@ def entity_column_stats(t: Tables) -> DataFrame:
                                      F.max("cardinality").alias("top_cardinality"))
 
 
+# ---- the whole chain ---------------------------------------------------------------------------------
+
+def camel_sql(column: str) -> str:
+    words = f"string_split(trim(regexp_replace(regexp_replace({column}, '^[a-z]{{1,2}}_', ''), '[^a-zA-Z0-9]+', ' ', 'g')), ' ')"
+    return f"lower({words}[1]) || array_to_string(list_transform({words}[2:], lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '')"
+
+
+# no two labels of the catalog have one stem, so none merges
+FOUND_NODES = f"""(SELECT belongs_to AS type, list(DISTINCT p ORDER BY p) AS attributes FROM (SELECT belongs_to, {camel_sql('column_name')} AS p FROM {mapped_sql(False)}
+    WHERE graph_element_type = 'entity_property') GROUP BY belongs_to)"""
+FOUND_EDGES = f"""(WITH b AS (SELECT tbl, {camel_sql('column_name')} AS p FROM {mapped_sql(False)} WHERE graph_element_type = 'relationship_property')
+    SELECT row_entity AS source, label AS target, coalesce(list(DISTINCT p ORDER BY p) FILTER (p IS NOT NULL), []) AS attributes FROM {ENTITIES} JOIN {TABLES} USING (tbl) LEFT JOIN b USING (tbl)
+    WHERE entities >= 2 AND label <> row_entity GROUP BY row_entity, label)"""
+
+
+@query("discovered_schema_nodes", f"SELECT type, array_to_string(attributes, ',') AS attributes FROM {FOUND_NODES}")
+def discovered_schema_nodes(t: Tables) -> DataFrame:
+    nodes, _ = discover.discover_from_profile(catalog(t))
+    return nodes.withColumn("attributes", F.array_join("attributes", ","))
+
+
+@query("discovered_schema_edges", f"SELECT 'contains' AS type, source, target, array_to_string(attributes, ',') AS attributes FROM {FOUND_EDGES}")
+def discovered_schema_edges(t: Tables) -> DataFrame:
+    _, edges = discover.discover_from_profile(catalog(t))
+    return edges.withColumn("attributes", F.array_join("attributes", ","))
+
+
+@query("schema_write_read_eval", f"""SELECT 'found' AS run_id, 1.0::DOUBLE AS node_score, 1.0::DOUBLE AS property_score, 1.0::DOUBLE AS relation_score,
+    (SELECT count(*) FROM {FOUND_NODES}) AS nodes, (SELECT CAST(sum(len(attributes)) AS BIGINT) FROM {FOUND_EDGES}) AS edge_attributes""")
+def schema_write_read_eval(t: Tables) -> DataFrame:
+    """The discovered schema, written, read back and scored against itself."""
+    nodes, edges = discover.discover_from_profile(catalog(t))
+    path = new_path(t.spark, "schema")
+    store.write_graph_schema(nodes, edges, path)
+    rows = stage(store.read_graph_schema(t.spark, path, "found"), "schema_rows")
+    gen = rows.filter("element = 'node'").select("run_id", F.col("type").alias("node"), "attr")
+    sets = ev.edge_sets(rows.filter("element = 'edge'").select("run_id", F.col("at").alias("edge_id"), "type", "source", "target", "attr"))
+    scores = ev.score_runs(gen, nodes.select(F.col("type").alias("node"), F.explode_outer("attributes").alias("attr")),
+                           sets, edges.select("type", "source", "target", F.col("attributes").alias("attrs")))
+    sizes = rows.agg(F.count_distinct(F.when(F.col("element") == "node", F.col("type"))).alias("nodes"),
+                     F.count(F.when(F.col("element") == "edge", F.col("attr"))).alias("edge_attributes"))
+    return scores.drop("overall_score").join(F.broadcast(sizes), how="cross")  # one row
+
+
 @query("property_enriched", f"""SELECT tbl AS table_name, column_name, belongs_to AS label, data_type, cardinality, round(uniqueness_ratio, 6) AS uniqueness_ratio FROM {mapped_sql(True)} WHERE graph_element_type <> 'ignore'""")
 def property_enriched(t: Tables) -> DataFrame:
     mapped = mapping.map_columns(catalog(t), entities(t), True).filter("graph_element_type <> 'ignore'").select("table", "column_name", F.col("belongs_to").alias("label"))
@@ -338,10 +384,11 @@ def associated_relation(t: Tables) -> DataFrame:
     return mapping.associated_relation(classes(t)).select(F.col("table").alias("table_name"), "pos", "relationship_type", "source_entity", "target_entity")
 
 
-@query("annotate_rules")
+@query("annotate_rules", f"""SELECT tbl AS table_name, column_name, a AS answer, a AS json, CAST(NULL AS VARCHAR) AS error FROM (SELECT tbl, column_name,
+    '{{"classification": "' || CASE WHEN data_type IN ('integer', 'float', 'date', 'datetime') THEN 'property' ELSE 'entity' END || '", "confidence": 1.0}}' AS a FROM {CAT})""")
 def annotate_rules(t: Tables) -> DataFrame:
     """Batch annotation with a deterministic client over prompts built from the catalog."""
     from colonnade.functions import annotate, render
     variables = F.create_map(F.lit("table_name"), F.col("table"), F.lit("column_name"), F.col("column_name"), F.lit("data_type"), F.col("data_type"))
     prompts = catalog(t).select("table", "column_name", render.fill_template(F.lit("{table_name}.{column_name} is {data_type}"), variables).alias("prompt"))
-    return annotate.annotate(prompts, annotate.rule_client).drop("prompt")
+    return annotate.annotate(prompts, annotate.rule_client).drop("prompt").withColumnRenamed("table", "table_name")

@@ -152,11 +152,11 @@ def type_hint(t: Tables) -> DataFrame:
     return pf.profile(t.customer).select("column_name", text.type_hint(F.col("data_type")).alias("hint"))
 
 
-@query("column_text_roundtrip")
+@query("column_text_roundtrip", f"SELECT 'demo' AS dataset, table_name, column_name, text FROM ({long_sql('orders')})")
 def column_text_roundtrip(t: Tables) -> DataFrame:
     from colonnade.sources import store
     texts = text.long_text(prof(t, "orders")).select(F.lit("demo").alias("dataset"), F.col("table_name").alias("table"), "column_name", "text")
-    return store.roundtrip_text(texts)
+    return store.roundtrip_text(texts).withColumnRenamed("table", "table_name")
 
 
 # ---- templates and answers --------------------------------------------------------------------------

@@ -59,6 +59,20 @@ def write_graph_schema(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.orderBy("type", "source", "target").write.mode("overwrite").json(f"{path}/edges")
 
 
+SCHEMA_NODES = "type string, attributes array<string>"
+SCHEMA_EDGES = "type string, source string, target string, attributes array<string>"
+
+
+def read_graph_schema(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """A written schema as rows of ``documents.read_graph_schemas``: (run_id, element, at, type, source, target, attr), one per
+    attribute, with a NULL attribute where there is none; ``at`` tells nodes and edges apart."""
+    def rows(part: str, shape: str, at) -> DataFrame:
+        read = spark.read.schema(shape).json(f"{path}/{part}s")
+        ends = [F.col(c) if c in read.columns else F.lit(None).cast("string").alias(c) for c in ("source", "target")]
+        return read.select(F.lit(run_id).alias("run_id"), F.lit(part).alias("element"), at.alias("at"), "type", *ends, F.explode_outer("attributes").alias("attr"))
+    return rows("node", SCHEMA_NODES, F.xxhash64("type")).unionByName(rows("edge", SCHEMA_EDGES, F.xxhash64("type", "source", "target")))
+
+
 def roundtrip_text(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     path = new_path(spark, "column_text")
