@@ -31,10 +31,10 @@ def _forced() -> tuple[Column, Column, Column]:
 def classify_rule(df: DataFrame) -> DataFrame:
     """Property by type or pattern, otherwise entity; confidence 1.0 and the reason."""
     by_type, by_mail, by_number = _forced()
-    reason = (F.when(by_type, F.concat(F.lit("forced property classification due to "), "data_type", F.lit(" data type")))
-              .when(by_mail, "forced property classification due to email pattern")
-              .when(by_number, "forced property classification due to numeric pattern")
-              .otherwise("classified as entity by default (no property pattern detected)"))
+    reason = (F.when(by_type, F.concat(F.lit("property, as its data type is "), "data_type"))
+              .when(by_mail, "property, as most values are mail addresses")
+              .when(by_number, "property, as most values are numbers that name something")
+              .otherwise("entity, as nothing speaks for a property"))
     return df.withColumns({
         "classification": F.when(by_type | by_mail | by_number, "property").otherwise("entity"),
         "confidence": F.lit(1.0), "reason": reason})

@@ -129,6 +129,7 @@ def freq_facts(freq: DataFrame) -> DataFrame:
         "min(i) AS i_min", "max(i) AS i_max",
         f"sum(CASE WHEN {stats.BOOLEAN_SQL.replace('{c}', 's')} THEN n ELSE 0 END) AS n_boolean",
         f"sum(CASE WHEN {stats.DATE_SQL.replace('{c}', 's')} IS NOT NULL THEN n ELSE 0 END) AS n_date",
+        f"sum(CASE WHEN {stats.TIME_SQL.replace('{c}', 's')} IS NOT NULL THEN n ELSE 0 END) AS n_time",
         f"sum(CASE WHEN i IS NOT NULL OR d IS NOT NULL OR s RLIKE r'{stats.NUMERIC_TOKEN}' THEN n ELSE 0 END) AS n_numeric",
         "sum(CASE WHEN i IS NOT NULL OR s RLIKE '^[0-9]+$' THEN n ELSE 0 END) AS n_digits",
         "min(s) AS text_min", "max(s) AS text_max",

@@ -58,21 +58,17 @@ def coerce(df: DataFrame, columns: list[str], share: float = 0.9) -> DataFrame:
     One pass finds the shares (one row); the conversion itself is a projection.
     """
     facts = {r["column_name"]: r for r in stats.per_column(df, columns, {
-        "total": "count(1)", "numbers": "count({v})", "times": f"count({TIME_SQL})"}).collect()}
+        "total": "count(1)", "numbers": "count({v})", "times": f"count({stats.TIME_SQL})"}).collect()}
     out = {}
     for c in columns:
         f = facts[c]
         if f["total"] and f["numbers"] / f["total"] > share:
             out[c] = stats.parse_number(stats.quoted(c))
         elif f["total"] and f["times"] / f["total"] > share:
-            out[c] = F.expr(TIME_SQL.replace("{c}", f"`{c}`"))
+            out[c] = F.expr(stats.TIME_SQL.replace("{c}", f"`{c}`"))
     return df.withColumns(out) if out else df
 
 
-TIME_SQL = ("coalesce(" + stats.DATE_SQL + ", CASE WHEN {c} RLIKE '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T]' THEN "
-            "coalesce(try_to_timestamp({c}, 'yyyy-M-d HH:mm:ss'), try_to_timestamp({c}, \"yyyy-M-d'T'HH:mm:ss\")) END)")
-
-
 def detect_header(rows: DataFrame) -> DataFrame:
     """Whether the first row of each table is a header, from (table, pos, cells).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.operators.profile import compact
+
 # Endings that mark an identifier column, and the short table prefix that is not part of the name.
 ID_SUFFIXES = ["_id", "Id", "ID", "key"]
 NAME_PREFIX = "^[a-z]{1,2}_"
@@ -154,6 +156,19 @@ def associated_relation(classes: DataFrame, relation: str = "associated_relation
     return target.join(primary, "table")
 
 
+def entity_columns(mapped: DataFrame, prof: DataFrame) -> DataFrame:
+    """(label, table, column_name and the compact statistics) of the columns that belong to an entity."""
+    own = mapped.filter("graph_element_type = 'entity_property'").select("table", "column_name", F.col("belongs_to").alias("label"))
+    return own.join(compact(prof.drop("dataset")), ["table", "column_name"])
+
+
+def enrich_properties(mapped: DataFrame, prof: DataFrame) -> DataFrame:
+    """Columns that belong to an element, with what their profile says of them: type, counts, missing share and samples."""
+    kept = mapped.filter("graph_element_type <> 'ignore'").select("table", "column_name", F.col("belongs_to").alias("label"))
+    facts = prof.select("table", "column_name", "data_type", "cardinality", "uniqueness_ratio", "missing_percentage", "sampled_values")
+    return kept.join(facts, ["table", "column_name"], "left")
+
+
 def evidence_lines(prof: DataFrame, samples_only: bool = False) -> DataFrame:
     """'column | json' lines of each table, joined in column order; a table has as many lines as columns."""
     fields = ["sampled_values"] if samples_only else ["data_type", "cardinality", "uniqueness_ratio", "missing_percentage", "sampled_values"]

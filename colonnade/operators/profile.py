@@ -76,7 +76,7 @@ FACTS = [
     ("column_name", "string"), ("kind", "string"), ("is_list", "boolean"), ("total_rows", "bigint"), ("nonnull", "bigint"),
     ("cell_distinct", "bigint"), ("counted", "bigint"), ("distinct_n", "bigint"), ("top_n", "bigint"), ("n_number", "bigint"),
     ("n_number_whole", "bigint"), ("n_whole", "bigint"), ("n_encoded_date", "bigint"), ("n_boolean", "bigint"),
-    ("n_date", "bigint"), ("tokens", "bigint"), ("tokens_min", "bigint"), ("tokens_max", "bigint"),
+    ("n_date", "bigint"), ("n_time", "bigint"), ("tokens", "bigint"), ("tokens_min", "bigint"), ("tokens_max", "bigint"),
     ("tokens_numeric", "bigint"), ("tokens_digits", "bigint"), ("num_min", "double"), ("num_max", "double"),
     ("num_avg", "double"), ("i_min", "bigint"), ("i_max", "bigint"), ("text_min", "string"), ("text_max", "string"),
     ("len_min", "bigint"), ("len_max", "bigint"), ("len_mean", "double"),
@@ -97,7 +97,7 @@ def merge_facts(df: DataFrame, names: list[str], freq: DataFrame, texts: dict[st
              "counted": unit.get("nonnull") or 0, "distinct_n": unit.get("distinct_n") or 0, "top_n": unit.get("top_n"),
              "n_number_whole": cell.get("n_whole"), "tokens": unit.get("nonnull") if name in lists else None,
              "tokens_numeric": unit.get("n_numeric"), "tokens_digits": unit.get("n_digits")}
-        f |= {k: cell.get(k) for k in ("n_number", "n_whole", "n_encoded_date", "n_boolean", "n_date", "num_min", "num_max",
+        f |= {k: cell.get(k) for k in ("n_number", "n_whole", "n_encoded_date", "n_boolean", "n_date", "n_time", "num_min", "num_max",
                                        "num_avg", "i_min", "i_max", "text_min", "text_max")}
         lengths, sizes = counted.get((name, "length"), {}), counted.get((name, "size"), {})
         f |= {"first_cell": text.get("first_cell"), "tokens_min": sizes.get("i_min"), "tokens_max": sizes.get("i_max"),

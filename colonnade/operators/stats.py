@@ -111,6 +111,8 @@ NUMBER_SQL = f"CASE WHEN {{c}} RLIKE r'{NUMBER}' THEN try_cast(trim({{c}}) AS do
 DATE_SQL = "coalesce(" + ", ".join(
     f"CASE WHEN {{c}} RLIKE r'{shape}' THEN try_to_timestamp({{c}}, '{fmt}') END" for shape, fmt in DATE_FORMATS) + ")"
 BOOLEAN_SQL = "lower({c}) IN (" + ", ".join(f"'{w}'" for w in BOOLEAN_WORDS) + ")"
+TIME_SQL = ("coalesce(" + DATE_SQL + ", CASE WHEN {c} RLIKE '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T]' THEN "
+            "coalesce(try_to_timestamp({c}, 'yyyy-M-d HH:mm:ss'), try_to_timestamp({c}, \"yyyy-M-d'T'HH:mm:ss\")) END)")
 
 DELIMITER_SQL = "CASE " + " ".join(f"WHEN contains({{c}}, '{d}') THEN '{d}'" for d in DELIMITERS) + " ELSE ',' END"
 
@@ -199,6 +201,7 @@ def detected_type() -> Column:
              WHEN n_boolean = nonnull THEN 'boolean'
              WHEN cell_distinct / nonnull < 0.1 AND cell_distinct < 20 THEN 'categorical'
              WHEN n_date / nonnull > 0.8 THEN 'date'
+             WHEN n_time / nonnull > 0.8 THEN 'datetime'
              ELSE 'string' END""")
 
 

@@ -26,7 +26,7 @@ def catalog(t: Tables) -> DataFrame:
     return _STORED[key]
 
 
-CAT = "(" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, column_name, data_type, total_rows, cardinality, uniqueness_ratio, min_value, max_value FROM ({oracle.facts_sql(t)})" for t in CATALOG) + ")"
+CAT = "(" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, column_name, data_type, total_rows, cardinality, uniqueness_ratio, missing_percentage, min_value, max_value FROM ({oracle.facts_sql(t)})" for t in CATALOG) + ")"
 
 # ---- similar columns --------------------------------------------------------------------------------
 
@@ -139,8 +139,8 @@ RULE1 = f"CASE WHEN {FORCED} THEN 'property' ELSE 'entity' END"
 RULE2 = f"CASE WHEN {FORCED} THEN 'property' WHEN uniqueness_ratio > 0.9 THEN 'entity' WHEN cardinality > 1 AND cardinality < total_rows * 0.1 THEN 'entity' ELSE 'property' END"
 
 
-@query("classify_rule", f"""SELECT tbl AS table_name, column_name, {RULE1} AS classification, CASE WHEN {FORCED} THEN 'forced property classification due to ' || data_type || ' data type'
-    ELSE 'classified as entity by default (no property pattern detected)' END AS reason FROM {CAT}""")
+@query("classify_rule", f"""SELECT tbl AS table_name, column_name, {RULE1} AS classification, CASE WHEN {FORCED} THEN 'property, as its data type is ' || data_type
+    ELSE 'entity, as nothing speaks for a property' END AS reason FROM {CAT}""")
 def classify_rule(t: Tables) -> DataFrame:
     return classify.classify_rule(ruled(t)).selectExpr("`table` AS table_name", "column_name", "classification", "reason")
 
@@ -248,9 +248,7 @@ mapped_query("column_mapping_ignore", True)
 @query("entity_column_stats", f"""SELECT belongs_to AS label, count(*) AS columns, string_agg(tbl || '.' || column_name, ',' ORDER BY tbl || '.' || column_name) AS members, CAST(max(cardinality) AS BIGINT) AS top_cardinality
     FROM {mapped_sql(False)} WHERE graph_element_type = 'entity_property' GROUP BY belongs_to""")
 def entity_column_stats(t: Tables) -> DataFrame:
-    mapped = mapping.map_columns(catalog(t), entities(t)).filter("graph_element_type = 'entity_property'").select("table", "column_name", F.col("belongs_to").alias("label"))
-    stats = pf.compact(catalog(t).drop("dataset"))
-    rows = mapped.join(stats, ["table", "column_name"])
+    rows = mapping.entity_columns(mapping.map_columns(catalog(t), entities(t)), catalog(t))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("columns"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(".", "table", "column_name"))), ",").alias("members"),
                                      F.max("cardinality").alias("top_cardinality"))
 
@@ -299,11 +297,11 @@ def schema_write_read_eval(t: Tables) -> DataFrame:
     return scores.drop("overall_score").join(F.broadcast(sizes), how="cross")  # one row
 
 
-@query("property_enriched", f"""SELECT tbl AS table_name, column_name, belongs_to AS label, data_type, cardinality, round(uniqueness_ratio, 6) AS uniqueness_ratio FROM {mapped_sql(True)} WHERE graph_element_type <> 'ignore'""")
+@query("property_enriched", f"""SELECT tbl AS table_name, column_name, belongs_to AS label, m.data_type, m.cardinality, round(m.uniqueness_ratio, 6) AS uniqueness_ratio,
+    round(missing_percentage, 6) AS missing_percentage FROM {mapped_sql(True)} m JOIN (SELECT tbl, column_name, missing_percentage FROM {CAT}) USING (tbl, column_name) WHERE graph_element_type <> 'ignore'""")
 def property_enriched(t: Tables) -> DataFrame:
-    mapped = mapping.map_columns(catalog(t), entities(t), True).filter("graph_element_type <> 'ignore'").select("table", "column_name", F.col("belongs_to").alias("label"))
-    stats = catalog(t).select("table", "column_name", "data_type", "cardinality", F.round("uniqueness_ratio", 6).alias("uniqueness_ratio"))
-    return mapped.join(stats, ["table", "column_name"], "left").withColumnRenamed("table", "table_name")
+    rows = mapping.enrich_properties(mapping.map_columns(catalog(t), entities(t), True), catalog(t))
+    return rows.withColumnRenamed("table", "table_name").drop("sampled_values").withColumns({c: F.round(c, 6) for c in ("uniqueness_ratio", "missing_percentage")})
 
 
 @query("evidence_lines")

@@ -158,3 +158,10 @@ def test_reduced_profiles(spark):
     assert pf.compact(prof).columns == ["column_name", *pf.COMPACT]
     assert pf.samples_only(prof).columns == ["column_name", "sampled_values"]
     assert "mode_values" not in pf.scalars(prof).columns and "cardinality" in pf.scalars(prof).columns
+
+
+def test_text_times_without_lists(spark):
+    from colonnade.operators.profile import profile
+
+    df = spark.createDataFrame([(f"2024-01-{d:02d} 10:00:00", f"2024-01-{d:02d}") for d in range(1, 21)], "t string, d string")
+    assert {r["column_name"]: r["data_type"] for r in profile(df, detect_lists=False).collect()} == {"t": "datetime", "d": "date"}
