@@ -66,14 +66,24 @@ def similar_catalog_columns(t: Tables) -> DataFrame:
 
 # ---- containment ------------------------------------------------------------------------------------
 
-KEY_COLUMNS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
-               "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"],
-               "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
-VALUES = "(" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, {c}::BIGINT AS v, count(*) AS n FROM {t} GROUP BY {c}" for t, cs in KEY_COLUMNS.items() for c in cs) + ")"
-CONTAINED = f"""(WITH f AS MATERIALIZED (SELECT * FROM {VALUES}), k AS (SELECT tbl, col, count(*) AS d, count(*) / sum(n) AS u, min(v) AS lo, max(v) AS hi FROM f GROUP BY ALL),
-    m AS (SELECT a.tbl AS ct, a.col AS cc, b.tbl AS pt, b.col AS pc, count(*) AS matched FROM f a JOIN f b ON a.v = b.v WHERE a.tbl <> b.tbl GROUP BY ALL)
+# every column of whole numbers or plain texts, in all tables
+KEY_COLUMNS = {t: [c for c, kind in columns.items() if kind in ("integral", "string")] for t, columns in oracle.COLUMNS.items()}
+KEY_COLUMNS = {t: columns for t, columns in KEY_COLUMNS.items() if columns}
+
+
+def values_sql(t: str, c: str) -> str:
+    kind = oracle.COLUMNS[t][c]
+    slots = f"{c}::BIGINT AS i, NULL::VARCHAR AS s" if kind == "integral" else f"NULL::BIGINT AS i, {c} AS s"
+    return f"SELECT '{t}' AS tbl, '{c}' AS col, '{kind}' AS kind, {slots}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+
+
+VALUES = "(" + " UNION ALL ".join(values_sql(t, c) for t, cs in KEY_COLUMNS.items() for c in cs) + ")"
+CONTAINED = f"""(WITH f AS MATERIALIZED (SELECT *, coalesce(i::VARCHAR, s) AS v FROM {VALUES}),
+    k AS (SELECT tbl, col, kind, count(*) AS d, count(*) / sum(n) AS u, min(i) AS ilo, max(i) AS ihi, min(s) AS slo, max(s) AS shi FROM f GROUP BY ALL),
+    m AS (SELECT a.tbl AS ct, a.col AS cc, b.tbl AS pt, b.col AS pc, count(*) AS matched FROM f a JOIN f b ON a.v = b.v AND a.kind = b.kind WHERE a.tbl <> b.tbl GROUP BY ALL)
     SELECT c.tbl AS child_table, c.col AS child_column, p.tbl AS parent_table, p.col AS parent_column, c.d AS child_distinct, p.d AS parent_distinct, c.u AS child_uniqueness, p.u AS parent_uniqueness,
-      coalesce(matched, 0) AS matched, coalesce(matched, 0) / c.d AS containment FROM k c JOIN k p ON c.tbl <> p.tbl AND c.d <= p.d AND c.lo >= p.lo AND c.hi <= p.hi
+      coalesce(matched, 0) AS matched, coalesce(matched, 0) / c.d AS containment FROM k c JOIN k p ON c.tbl <> p.tbl AND c.kind = p.kind AND c.d <= p.d
+      AND (c.ilo IS NULL OR (c.ilo >= p.ilo AND c.ihi <= p.ihi)) AND (c.slo IS NULL OR (c.slo >= p.slo AND c.shi <= p.shi))
       LEFT JOIN m ON ct = c.tbl AND cc = c.col AND pt = p.tbl AND pc = p.col)"""
 PAIR_COLUMNS = ["child_table", "child_column", "parent_table", "parent_column"]
 
