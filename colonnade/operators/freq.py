@@ -189,13 +189,14 @@ def distribution(summary: DataFrame) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, large: list[str] = (), probs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Exact quantiles with linear interpolation per column, from (column_name, x, n) rows.
+    """Exact quantiles with linear interpolation per column, from (column_name, x, n) rows with distinct values.
 
     Columns with a bounded number of distinct values are ranked by a running weight; those named in
     ``large`` are resolved by rank narrowing, which never holds a whole column in one task.
     """
-    # integers beyond 2**53 share doubles: equal x are one value
-    rows = rows.groupBy("column_name", "x").agg(F.sum("n").alias("n"))
+    # x is distinct but for integers beyond 2**53, which share doubles: there, equal x are one value
+    far = F.abs("x") >= 2.0**53
+    rows = rows.filter(~far).unionByName(rows.filter(far).groupBy("column_name", "x").agg(F.sum("n").alias("n")))
     small = rows.filter(~F.col("column_name").isin(list(large))) if large else rows
     totals = small.groupBy("column_name").agg((F.sum("n") - 1).alias("last"))  # one row per column
     order = Window.partitionBy("column_name").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
@@ -241,7 +242,7 @@ def exact_quantiles(rows: DataFrame, probs: tuple[float, ...] = QUANTILES) -> Da
 
 
 def moments(rows: DataFrame, means: dict[str, float]) -> DataFrame:
-    """Bias-corrected skewness, excess kurtosis and standard deviation per column around known means, from (column_name, x, n) rows.
+    """Bias-corrected skewness, excess kurtosis and standard deviation per column around known means, from (column_name, x, n) rows with distinct values.
 
     NULL below three (four) values, 0 for a constant column.
     """

@@ -178,6 +178,12 @@ def brand_merges(t: Tables) -> DataFrame:
     return t.part.filter("length(p_brand) = 8").selectExpr("p_brand AS label", "left(p_brand, 7) AS merged").distinct()
 
 
+@query("merge_map", "SELECT source AS label, arg_min(lang, doc_id) AS merged FROM documents GROUP BY source")
+def merge_map(t: Tables) -> DataFrame:
+    """The first of a source's many targets, by document."""
+    return merge.merge_map(t.documents.select(F.col("source").alias("src"), F.col("lang").alias("dst"), F.col("doc_id").alias("pos")))
+
+
 DOC_MERGES = """(SELECT doc_id AS merge_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source, CASE WHEN doc_id % 2 = 1 THEN regexp_extract_all(text, '[A-Za-z]+') END
     AS from_list, CASE WHEN doc_id % 3 = 0 THEN lang END AS to_label, upper(source) AS target FROM documents)"""
 NORMALISED = f"(SELECT merge_id, coalesce(from_list, CASE WHEN source IS NOT NULL THEN [source] END) AS from_labels, coalesce(to_label, target) AS to_label FROM {DOC_MERGES})"

@@ -84,6 +84,14 @@ def missing_total(t: Tables) -> DataFrame:
     return cells.agg(F.sum("m").alias("missing_cells"), F.count("*").alias("column_count"), (F.count("*") == 1).alias("single_column"))
 
 
+@query("missing_nan", """SELECT count(*) FILTER (event_id % 7 <> 0) AS present, count(*) FILTER (event_id % 7 = 0) AS missing, min(value) FILTER (event_id % 7 <> 0) AS least,
+    max(value) FILTER (event_id % 7 <> 0) AS most FROM events WHERE value IS NOT NULL""")
+def missing_nan(t: Tables) -> DataFrame:
+    """NaN counts as missing."""
+    rows = stats.drop_nan(t.events.filter("value IS NOT NULL").select(F.expr("if(event_id % 7 = 0, double('NaN'), value)").alias("value")))
+    return rows.agg(F.count("value").alias("present"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
 @query("duplicate_rows", """WITH x AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 40)
     SELECT (SELECT count(*) FROM x) - (SELECT count(*) FROM (SELECT DISTINCT * FROM x)) AS duplicate_row_count""")
 def duplicate_rows(t: Tables) -> DataFrame:
