@@ -15,6 +15,7 @@ from colonnade.llm.common import kept_by_worker, uniform31
 from colonnade.llm.registry import query, table
 
 TOGETHER = 100_000  # words of texts scored at a time
+STEPS = 256  # steps of the score for one unit of log-odds; log-odds lie within 30
 
 
 @dataclass(frozen=True)
@@ -30,8 +31,9 @@ class Settings:
     batch: int = 32
     rate: float = 0.01
     seed: int = 7
-    calibration: int = 5  # every n-th training row sets thresholds instead of weights
-    precision: float = 0.9  # that a language's threshold must reach on those rows
+    calibration: int = 5  # every n-th sampled row trains nothing, so that small tables have rows for thresholds too
+    precision: float = 0.9  # that a language's threshold must reach on the labelled rows that train nothing
+    few: int = 10  # languages with fewer toxic rows among those take the threshold of all languages
 
 
 SETTINGS = Settings()
@@ -197,8 +199,8 @@ def remainder(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> tuple[Network, dict[str, float]]:
-    """Network and thresholds by language from the labelled rows outside the held-out fold. The driver gets settings.per_label rows of each
-    label at most, with their whole texts. Labels are reduced to one row per doc_id (the largest) and matched by doc_id."""
+    """Network and thresholds by language from the labelled rows outside the held-out fold: a bounded sample trains the network, all others
+    set the thresholds. The driver gets settings.per_label rows of each label at most, with their whole texts. Labels are reduced to one row per doc_id (the largest) and matched by doc_id."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     able = marked.where(remainder(F.col("doc_id")) != 0)
     order = uniform31(F.lit(settings.seed), F.col("doc_id"))
@@ -208,13 +210,48 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> tu
     rows = rows.sort_values(["doc_id", "text"], na_position="first", ignore_index=True)
     aside = np.arange(len(rows)) % settings.calibration == 0
     net = train(rows["text"][~aside].tolist(), rows["toxic"][~aside].tolist(), settings)
-    held = rows[aside]
-    score = scores(net, held["text"].tolist()) if len(held) else np.zeros(0)
+    return net, calibrate(docs, able, net, rows["doc_id"][~aside].unique().tolist(), settings)
+
+
+def calibrate(docs: DataFrame, able: DataFrame, net: Network, trained: list[int], settings: Settings = SETTINGS) -> dict[str, float]:
+    """Thresholds by language from all rows of `able` (doc_id, toxic) but the trained ones, which are a bounded list. Rows that stay are weighted
+    so that each language has the share of toxic rows that it has with the trained ones. Spark scores and counts them by language and
+    step of the score; the driver sees those counts."""
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(net)
+
+    @F.pandas_udf("int")
+    def step_of(texts: pd.Series) -> pd.Series:
+        score = np.concatenate([np.zeros(0), *(part for _, part in _parts(model.value, texts))])
+        return pd.Series(np.floor(np.log(score / (1 - score)) * STEPS).astype(np.int32))
+    rows = docs.select("doc_id", "text", "lang").join(able, "doc_id")
+    used = spark.createDataFrame([(i,) for i in trained], "doc_id long")  # at most twice settings.per_label
+    every = {(r["lang"], r["toxic"]): r["n"] for r in rows.groupBy("lang", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    steps = (rows.join(F.broadcast(used), "doc_id", "left_anti").withColumn("step", step_of("text"))
+             .groupBy("lang", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).toPandas())
+    if not len(steps):
+        return {}
+    steps["lang"] = steps["lang"].astype(object).where(steps["lang"].notna(), None)
+    left = steps.groupby(["lang", "toxic"], dropna=False)["n"].transform("sum")
+    steps["weight"] = steps["n"] * [every[x, y] for x, y in zip(steps["lang"], steps["toxic"])] / left
+    pooled = threshold_of_steps(steps, settings.precision)
     by_language = {}
-    for lang in sorted(held["lang"].dropna().unique()):
-        own = (held["lang"] == lang).to_numpy()
-        by_language[lang] = threshold(score[own], held["toxic"].to_numpy()[own], settings.precision)
-    return net, by_language
+    for lang, own in steps.dropna(subset="lang").groupby("lang"):
+        enough = own["n"][own["toxic"] == 1].sum() >= settings.few
+        by_language[lang] = threshold_of_steps(own, settings.precision) if enough else pooled
+    return by_language
+
+
+def threshold_of_steps(steps: pd.DataFrame, precision: float) -> float:
+    """`threshold` from the weights of toxic and other rows by step of the score: half way, in log-odds, to the next lower step that has rows."""
+    at = steps.assign(hits=steps["weight"] * (steps["toxic"] == 1)).groupby("step")[["hits", "weight"]].sum().sort_index(ascending=False)
+    share = at["hits"].cumsum() / at["weight"].cumsum()
+    last = np.flatnonzero((share >= precision - 1e-9) & (at["hits"] > 0))
+    if not len(last):
+        return 0.5
+    lowest = at.index[last[-1]]
+    odds = (lowest + (at.index[last[-1] + 1] + 1 if last[-1] + 1 < len(at) else lowest - STEPS)) / 2 / STEPS
+    return float(1 / (1 + np.exp(-odds)))
 
 
 def _parts(net: Network, texts: pd.Series) -> Iterator[tuple[int, np.ndarray]]:

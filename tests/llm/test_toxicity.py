@@ -68,3 +68,28 @@ def test_operator(spark, make_docs, odd_texts):
     assert toxicity.classify(docs.limit(0), net, by_language).collect() == []
     empty, none = toxicity.fit(docs, labels.limit(0), SMALL)
     assert none == {} and toxicity.classify(docs, empty, none).count() == len(texts)
+
+
+def test_thresholds_hold_at_the_share_of_toxic_rows(spark, make_docs, monkeypatch):
+    """The sample that trains is half toxic, the labelled rows are toxic in 8 of 100: flagged rows have the wanted precision among them."""
+    net = toxicity.Network(SMALL).start()
+    net.weights = {k: np.zeros_like(v) for k, v in net.weights.items()}
+    net.weights["filter1"][0, 0, 0] = net.weights["out"][0] = 1
+    net.weights["base"][0] = -6
+    words = [c * 6 for c in "abcdefghijkl"]
+    for level, w in enumerate(words):
+        net.weights["embedding"][list(toxicity.features(w.encode(), SMALL.rows)), 0] = level
+    monkeypatch.setattr(toxicity, "train", lambda *a: net)
+    r = np.random.default_rng(2)
+    toxic = (np.arange(3000) % 100 < 8).astype(int)
+    level = np.clip(np.round(r.normal(np.where(toxic, 8, 3.5), 1.5)), 0, 11).astype(int)
+    labels = spark.createDataFrame(list(zip(range(3000), toxic.tolist())), "doc_id long, toxic int")
+    langs = ["de" if i % 7 == 0 else "fr" if i in (9, 10, 11) else "en" for i in range(3000)]
+    docs = make_docs([words[x] for x in level], langs=langs)
+    sample = toxicity.Settings(per_label=40)
+    net, limits = toxicity.fit(docs, labels, sample)
+    score = toxicity.scores(net, docs.toPandas()["text"].tolist())
+    flagged = score >= np.array([limits[x] for x in langs])
+    assert toxic[flagged].mean() > 0.87 and flagged[toxic == 1].mean() > 0.3
+    # of three labelled rows a language learns nothing
+    assert set(limits) == {"de", "en", "fr"} and 0.5 < limits["fr"] < 1
