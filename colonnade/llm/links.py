@@ -101,9 +101,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
 def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, least_distrust: float = 1e-9, margin: float = 1.0) -> DataFrame:
     """Verdict of every row of `pages` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
-    The longest rule that fits decides. For other urls the host does, by links in html and between a domain and its subdomains: it is blocked if its distrust is at least `least_distrust` and
-    more than `margin` times its trust. Seeds are the hosts of pages under allow and block rules, by their number of such
-    pages. Scores are rounded to 12 digits, so that the order of sums does not matter.
+    The longest rule that fits decides. For other urls the host does, by links in html and between a domain and its subdomains: it is blocked if its distrust is at least `least_distrust` of
+    the mean score that a blocked host starts with and more than `margin` times its trust: all scores shrink as hosts are added, so both limits are shares.
+    Seeds are the hosts of pages under allow and block rules, by their number of such
+    pages. Scores are rounded to 12 digits, for the verdict in units of that mean, so that the order of sums does not matter.
 
     Null urls and urls without :// have an empty host, which takes no part in links and is allowed; null html has no links;
     repeated rows count as often as they occur; no rows give no rows; further columns are ignored. Pages are counted per host before
@@ -116,10 +117,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, least_distrust: flo
         F.sum((F.col("by_rule") == "allow").cast("long")).alias("trusted"), F.sum((F.col("by_rule") == "block").cast("long")).alias("blocked"))
         .select("host", F.coalesce("trusted", F.lit(0)).alias("trusted"), F.coalesce("blocked", F.lit(0)).alias("blocked")), "hosts")
     edges = stage(host_edges(judged).unionByName(domain_edges(seeds)).groupBy("source", "target").agg(F.sum("links").alias("links")), "edges")
-    scores = stage(propagate(seeds, edges).select("host", *[F.round(c, 12).alias(c) for c in ("trust", "distrust")]), "scores")
+    hosts = seeds.agg(F.greatest(F.sum((F.col("blocked") > 0).cast("long")), F.lit(1)).alias("hosts"))  # one row
+    trust, distrust = [F.round(F.col(c) * F.col("hosts"), 12) for c in ("trust", "distrust")]
+    suspect = (distrust >= least_distrust) & (distrust > F.lit(margin) * trust)
+    scores = stage(propagate(seeds, edges).join(F.broadcast(hosts), how="cross")
+                   .select("host", *[F.round(c, 12).alias(c) for c in ("trust", "distrust")], suspect.alias("suspect")), "scores")
     out = keyed.select("page_id", "host", "path", "rule", "by_rule").join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    by_host = F.when((distrust >= least_distrust) & (distrust > F.lit(margin) * trust), "block").otherwise("allow")
+    by_host = F.when(F.col("suspect"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 

@@ -107,3 +107,19 @@ def test_sql(spark, data, tmp_path):
 def test_plan_is_native(spark, data):
     plan = links.op10_link_propagation(spark, data)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_verdicts_do_not_depend_on_the_number_of_hosts(spark):
+    """A hub that 1,300 hosts link to, blocked, alone and beside 100,000 other blocked hosts."""
+    rows = [(0, "https://hub.net/es/1", None)] + [(i, f"https://h{i}.org/", link("hub.net")) for i in range(1, 1301)]
+    others = spark.range(2000, 102_000).selectExpr("id", "concat('https://b', id, '.net/fr/') url", "cast(null as string) html", "'clash' host", "1L rule")
+    for pages in (pages_of(spark, rows), pages_of(spark, rows).unionByName(others.toDF(*PAGES.names))):
+        got = links.filter_urls(pages).where("page_id < 2000").groupBy("verdict").count().collect()
+        assert [tuple(r) for r in got] == [("block", 1301)]
+
+
+def test_copies_of_a_graph_keep_its_verdicts(spark):
+    rename = lambda t, k: t and t.replace(".org", f"{k}.org").replace("bad.net", f"bad{k}.net").replace("good.com", f"good{k}.com")
+    copies = lambda n: [(i, rename(u, k), rename(h, k)) for k in range(n) for i, u, h in ROWS if i in (1, 5, 6, 7, 8)]
+    one, many = [{tuple(r) for r in links.filter_urls(pages_of(spark, copies(n))).select("page_id", "verdict").collect()} for n in (1, 30)]
+    assert one == many and len(one) == 5
