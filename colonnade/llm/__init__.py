@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["quality", "packing", "warc", "topk", "prefix_bpe", "toxicity", "simhash", "shards", "secrets", "links", "pipeline"]
+AREAS = ["quality", "packing", "warc", "topk", "prefix_bpe", "toxicity", "simhash", "shards", "secrets", "links", "centroids", "pipeline"]
 
 
 def load():
