@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["quality", "packing", "warc", "topk", "prefix_bpe", "toxicity", "simhash", "shards", "secrets", "links", "variants", "centroids", "pipeline"]
+AREAS = ["quality", "packing", "warc", "topk", "prefix_bpe", "toxicity", "simhash", "shards", "secrets", "links", "personal", "variants", "centroids", "pipeline"]
 
 
 def load():

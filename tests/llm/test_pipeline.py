@@ -77,4 +77,4 @@ def test_query_is_registered(spark):
     import __spark_entry__ as e
 
     names = [q for q in e.queries() if q.startswith("op") or q == "pipeline"]
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names and packing.ROOM == 2048
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names and packing.ROOM == 2048
