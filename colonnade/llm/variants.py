@@ -11,14 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colonnade.llm.registry import query, table
 from colonnade.session import stage
 
 DIMS = 32  # a to z, and six for the other letters: words one edit apart differ by two at most in any merging of letters
 LONG = 40  # words of so many letters and more share a tree
-LEAF = 32  # words in a leaf of a cell's tree
+LEAF = 64  # words in a leaf of a cell's tree
 KEPT = 400_000  # different words that a task counts before it hands them on
 ASKED = 2048  # words that ask a tree at a time
 
@@ -53,20 +52,28 @@ def occurrences(docs: DataFrame, least: int, every: int, key: str = "doc_id", te
 
 
 def vectors(words: list[bytes]) -> np.ndarray:
-    """Letter counts of words in Latin-1, 255 at most."""
+    """Letter counts of words in Latin-1, two at most, as 64 bits: bit d stands for one letter d and bit DIMS + d for a second.
+
+    The bits that differ number as many as the L1 distance of such counts, which is never more than that of the full counts."""
     place = np.array([c - 97 if 97 <= c <= 122 else 26 + c % 6 for c in range(256)])
     letters = place[np.frombuffer(b"".join(words), np.uint8)]
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return np.minimum(np.bincount(row * DIMS + letters, minlength=len(words) * DIMS), 255).reshape(-1, DIMS).astype(np.int16)
+    counts = np.bincount(row * DIMS + letters, minlength=len(words) * DIMS).reshape(-1, DIMS)
+    return np.packbits(np.hstack([counts > 0, counts > 1]), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def _ones(v: np.ndarray) -> np.ndarray:
+    """How many vectors have each bit."""
+    return np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def _outside(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """L1 distance of vectors to a box."""
-    return (np.maximum(lo - v, 0) + np.maximum(v - hi, 0)).sum(axis=1)
+def _outside(v: np.ndarray, lo: np.uint64, hi: np.uint64) -> np.ndarray:
+    """L1 distance of vectors to a box: what they lack of its least counts, and have beyond its largest."""
+    return np.bitwise_count(lo & ~v) + np.bitwise_count(v & ~hi)
 
 
 class Tree:
-    """k-d tree over vectors: a node has the box of its vectors and is cut at the median of its widest spread."""
+    """k-d tree over vectors: a node has the box of its vectors and is cut at the count that halves them best."""
 
     def __init__(self, v: np.ndarray):
         self.v, self.nodes = v, []  # box, children, and the rows of a leaf
@@ -74,14 +81,14 @@ class Tree:
         while todo:
             rows, parent = todo.pop()
             own = v[rows]
-            lo, hi = own.min(axis=0), own.max(axis=0)
+            lo, hi = np.bitwise_and.reduce(own), np.bitwise_or.reduce(own)
             if parent is not None:
                 self.nodes[parent][2].append(len(self.nodes))
             self.nodes.append((lo, hi, [], rows))
-            if len(rows) > LEAF and (lo < hi).any():
-                d = int(np.where(lo < hi, own.var(axis=0), -1).argmax())
-                cut = min(int(np.median(own[:, d])), int(hi[d]) - 1)
-                todo += [(part, len(self.nodes) - 1) for part in (rows[own[:, d] <= cut], rows[own[:, d] > cut])]
+            if len(rows) > LEAF and lo != hi:
+                bit = int(np.abs(2 * _ones(own) - len(rows)).argmin())
+                has = (own >> np.uint64(bit) & np.uint64(1)).astype(bool)
+                todo += [(part, len(self.nodes) - 1) for part in (rows[~has], rows[has])]
 
     def within(self, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (row of asked, row of the tree) within the radius, leaf by leaf; subtrees whose box is farther away are pruned."""
@@ -97,8 +104,9 @@ class Tree:
                 continue
             for i in range(0, len(rows), LEAF):  # equal vectors make leaves of any size
                 some = rows[i:i + LEAF]
-                q, m = np.nonzero(np.abs(asked[going, None, :] - self.v[None, some]).sum(axis=2) <= radius)
-                yield going[q], some[m]
+                q, m = np.nonzero(np.bitwise_count(asked[going, None] ^ self.v[None, some]) <= radius)
+                if len(q):
+                    yield going[q], some[m]
 
 
 def one_edit(a: bytes, b: bytes) -> bool:
@@ -134,19 +142,17 @@ class Cells:
     def __init__(self, sizes: dict[int, int]):
         self.root = {size: i for i, size in enumerate(sorted(sizes))}
         self.count = [sizes[s] for s in sorted(sizes)]
-        self.cut: list[tuple[int, int, int] | None] = [None] * len(sizes)  # letter, largest count of the left side, left child; the right one follows
-        self.lo = [np.zeros(DIMS, np.int16) for _ in sizes]
-        self.hi = [np.full(DIMS, 255, np.int16) for _ in sizes]
+        self.cut: list[tuple[int, int] | None] = [None] * len(sizes)  # bit, and the child without it; the other one follows
+        self.lo, self.hi = [np.uint64(0)] * len(sizes), [~np.uint64(0)] * len(sizes)
         self.whole: set[int] = set()  # leaves of equal vectors
 
-    def split(self, leaf: int, letter: int, most: int, below: int) -> None:
-        self.cut[leaf] = (letter, most, len(self.cut))
-        for n in (below, self.count[leaf] - below):
-            self.cut.append(None)
-            self.count.append(n)
-            self.lo.append(self.lo[leaf].copy())
-            self.hi.append(self.hi[leaf].copy())
-        self.hi[-2][letter], self.lo[-1][letter] = most, most + 1
+    def split(self, leaf: int, bit: int, ones: int) -> None:
+        self.cut[leaf] = (bit, len(self.cut))
+        mask = np.uint64(1 << bit)
+        self.cut += [None, None]
+        self.count += [self.count[leaf] - ones, ones]
+        self.lo += [self.lo[leaf], self.lo[leaf] | mask]
+        self.hi += [self.hi[leaf] & ~mask, self.hi[leaf]]
 
     def home(self, v: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Leaf of every word."""
@@ -158,9 +164,9 @@ class Cells:
                 if self.cut[at] is None:
                     out[rows] = at
                 elif len(rows):
-                    letter, most, child = self.cut[at]
-                    left = v[rows, letter] <= most
-                    todo += [(child, rows[left]), (child + 1, rows[~left])]
+                    bit, child = self.cut[at]
+                    has = (v[rows] >> np.uint64(bit) & np.uint64(1)).astype(bool)
+                    todo += [(child, rows[~has]), (child + 1, rows[has])]
         return out
 
     def reached(self, v: np.ndarray, rows: np.ndarray, size: int, radius: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -174,7 +180,7 @@ class Cells:
             if self.cut[at] is None:
                 yield at, rows
             else:
-                todo += [(self.cut[at][2], rows), (self.cut[at][2] + 1, rows)]
+                todo += [(self.cut[at][1], rows), (self.cut[at][1] + 1, rows)]
 
 
 def _size(word: F.Column) -> F.Column:
@@ -191,7 +197,7 @@ def cells(words: DataFrame, limit: int) -> Cells:
             return made
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = Counter()
+            held: dict[int, np.ndarray] = {}
             for b in batches:
                 own = [w.encode("latin-1") for w in b["word"]]
                 if own:
@@ -199,25 +205,23 @@ def cells(words: DataFrame, limit: int) -> Cells:
                     home = made.home(v, np.minimum([len(w) for w in own], LONG))
                     for leaf in over.intersection(home.tolist()):
                         of = v[home == leaf]
-                        for letter in range(DIMS):
-                            some = np.bincount(of[:, letter])
-                            held.update({(leaf, letter, int(x)): int(some[x]) for x in np.flatnonzero(some)})
-            yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["leaf", "letter", "most", "n"], dtype="int64")
-        counts = words.select("word").mapInPandas(count, "leaf long, letter long, most long, n long").groupBy("leaf", "letter", "most").agg(F.sum("n").alias("n"))
-        of = Window.partitionBy("leaf", "letter")
-        sums = counts.select("leaf", "letter", "most", F.sum("n").over(of.orderBy("most")).alias("below"), F.sum("n").over(of).alias("all"))
-        best = F.min(F.when(F.col("below") < F.col("all"), F.struct(F.abs(2 * F.col("below") - F.col("all")).alias("uneven"), "letter", "most", "below")))
-        for r in sums.groupBy("leaf").agg(best.alias("cut")).collect():
+                        held[leaf] = held.get(leaf, 0) + np.append(_ones(of), len(of))
+            yield pd.DataFrame([(leaf, bit, int(n[bit]), int(n[-1])) for leaf, n in held.items() for bit in range(2 * DIMS)],
+                               columns=["leaf", "bit", "ones", "rows"], dtype="int64")
+        counts = words.select("word").mapInPandas(count, "leaf long, bit long, ones long, rows long").groupBy("leaf", "bit").agg(
+            F.sum("ones").alias("ones"), F.sum("rows").alias("rows"))
+        cuts = F.when((F.col("ones") > 0) & (F.col("ones") < F.col("rows")), F.struct(F.abs(2 * F.col("ones") - F.col("rows")).alias("uneven"), "bit", "ones"))
+        for r in counts.groupBy("leaf").agg(F.min(cuts).alias("cut")).collect():
             if r["cut"] is None:
                 made.whole.add(r["leaf"])
             else:
-                made.split(r["leaf"], r["cut"]["letter"], r["cut"]["most"], r["cut"]["below"])
+                made.split(r["leaf"], r["cut"]["bit"], r["cut"]["ones"])
 
 
 def near_pairs(words: DataFrame, limit: int = 4000, most_cells: int = 1 << 14) -> DataFrame:
     """a, n_a, b, n_b for all ordered pairs of words (word, n; each word once, letters a to z and U+00C0 to U+00FF) that differ by exactly one letter.
 
-    One edit moves the letter counts by two at most in L1 if the lengths are equal, by one otherwise. So each word asks the tree of its own length
+    One edit moves the letter counts (two of a letter at most) by two at most in L1 if the lengths are equal, by one otherwise. So each word asks the tree of its own length
     with radius two and that of the next length with radius one; the upper levels send it only to the cells that its range meets,
     and each cell has its own tree. Cells hold `limit` words, more only beyond limit x most_cells words, which bounds the
     upper levels that go to the tasks. Words with equal counts cannot be cut apart: they are dealt to parts of `limit` words, and those who ask
