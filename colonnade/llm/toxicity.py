@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from colonnade.llm.common import kept_by_worker, uniform31
 from colonnade.llm.registry import query, table
+from colonnade.session import stage
 
 TOGETHER = 100_000  # words of texts scored at a time
 STEPS = 256  # steps of the score for one unit of log-odds; log-odds lie within 30
@@ -198,42 +199,44 @@ def remainder(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> tuple[Network, dict[str, float]]:
-    """Network and thresholds by language from the labelled rows outside the held-out fold: a bounded sample trains the network, all others
-    set the thresholds. The driver gets settings.per_label rows of each label at most, with their whole texts. Labels are reduced to one row per doc_id (the largest) and matched by doc_id."""
+def learn(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> tuple[Network, DataFrame, list[int]]:
+    """The network, the labelled rows outside the held-out fold (doc_id, toxic), and the ids of those that trained it: a bounded sample. The driver
+    gets settings.per_label rows of each label at most, with their whole texts. Labels are reduced to one row per doc_id (the largest) and matched by doc_id."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     able = marked.where(remainder(F.col("doc_id")) != 0)
     order = uniform31(F.lit(settings.seed), F.col("doc_id"))
     parts = [able.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(settings.per_label) for t in (1, 0)]
     wanted = parts[0].unionByName(parts[1])  # bounded by settings.per_label
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(wanted), "doc_id").orderBy("doc_id").limit(2 * settings.per_label).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").orderBy("doc_id").limit(2 * settings.per_label).toPandas()
     rows = rows.sort_values(["doc_id", "text"], na_position="first", ignore_index=True)
     aside = np.arange(len(rows)) % settings.calibration == 0
     net = train(rows["text"][~aside].tolist(), rows["toxic"][~aside].tolist(), settings)
-    return net, calibrate(docs, able, net, rows["doc_id"][~aside].unique().tolist(), settings)
+    return net, able, rows["doc_id"][~aside].unique().tolist()
 
 
-def calibrate(docs: DataFrame, able: DataFrame, net: Network, trained: list[int], settings: Settings = SETTINGS) -> dict[str, float]:
-    """Thresholds by language from all rows of `able` (doc_id, toxic) but the trained ones, which are a bounded list. Rows that stay are weighted
-    so that each language has the share of toxic rows that it has with the trained ones. Spark scores and counts them by language and
-    step of the score; the driver sees those counts."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(net)
-
-    @F.pandas_udf("int")
-    def step_of(texts: pd.Series) -> pd.Series:
-        score = np.concatenate([np.zeros(0), *(part for _, part in _parts(model.value, texts))])
-        return pd.Series(np.floor(np.log(score / (1 - score)) * STEPS).astype(np.int32))
-    rows = docs.select("doc_id", "text", "lang").join(able, "doc_id")
-    used = spark.createDataFrame([(i,) for i in trained], "doc_id long")  # at most twice settings.per_label
-    every = {(r["lang"], r["toxic"]): r["n"] for r in rows.groupBy("lang", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    steps = (rows.join(F.broadcast(used), "doc_id", "left_anti").withColumn("step", step_of("text"))
-             .groupBy("lang", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).toPandas())
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> tuple[Network, dict[str, float]]:
+    """Network and thresholds by language from the labelled rows outside the held-out fold: a bounded sample trains the network, all others
+    set the thresholds."""
+    net, able, trained = learn(docs, labels, settings)
+    return net, calibrate(scored(docs, net), able, trained, settings)
+
+
+def calibrate(rows: DataFrame, able: DataFrame, trained: list[int], settings: Settings = SETTINGS) -> dict[str, float]:
+    """Thresholds by language from the scores (doc_id, lang, score) of all rows of `able` (doc_id, toxic) but the trained ones, which are a bounded list.
+    Rows that stay are weighted so that each language has the share of toxic rows that it has with the trained ones. Scores meet
+    labels, texts do not; Spark counts by language and step of the score, and the driver sees those counts."""
+    spark = rows.sparkSession
+    met = rows.select("doc_id", "lang", "score").join(able, "doc_id")
+    used = spark.createDataFrame([(i, True) for i in trained], "doc_id long, used boolean")  # at most twice settings.per_label
+    step = F.floor(F.log(F.col("score") / (1 - F.col("score"))) * STEPS).cast("int").alias("step")
+    counts = met.join(F.broadcast(used), "doc_id", "left").groupBy("lang", "toxic", step, "used").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts["lang"] = counts["lang"].astype(object).where(counts["lang"].notna(), None)
+    every = counts.groupby(["lang", "toxic"], dropna=False)["n"].transform("sum")
+    left = counts["used"].isna()
+    steps = counts[left].assign(weight=every[left])
     if not len(steps):
         return {}
-    steps["lang"] = steps["lang"].astype(object).where(steps["lang"].notna(), None)
-    left = steps.groupby(["lang", "toxic"], dropna=False)["n"].transform("sum")
-    steps["weight"] = steps["n"] * [every[x, y] for x, y in zip(steps["lang"], steps["toxic"])] / left
+    steps["weight"] = steps["n"] * steps["weight"] / steps.groupby(["lang", "toxic"], dropna=False)["n"].transform("sum")
     pooled = threshold_of_steps(steps, settings.precision)
     by_language = {}
     for lang, own in steps.dropna(subset="lang").groupby("lang"):
@@ -264,42 +267,53 @@ def _parts(net: Network, texts: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
             start, size = i + 1, 0
 
 
-def flags(spark: SparkSession, net: Network, by_language: dict[str, float]) -> Callable[[Column, Column], Column]:
-    """The verdict alone, as a function of a text and a language column."""
-    model = spark.sparkContext.broadcast((net, by_language))
-
-    @F.pandas_udf("boolean")
-    def flagged(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        net, limits = model.value
-        score = np.concatenate([np.zeros(0), *(part for _, part in _parts(net, texts))])
-        return pd.Series(score >= np.array([limits.get(x, 0.5) for x in langs]))
-    return flagged
-
-
-def classify(docs: DataFrame, net: Network, by_language: dict[str, float], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.5) and flagged (score at least the language's threshold, 0.5 for languages without
-    one) of every row. Scores come from texts alone. Null and empty texts have the network's base score; null keys are outside
-    the held-out fold; repeated rows are ordinary rows, no rows give no rows, further columns are ignored. The network (about 2 MB whatever the
-    input) goes to the workers with the function; a row's text is scored whole, `TOGETHER` words of texts at a time."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((net, by_language))
+def scored(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, held_out, lang and score of every row. Scores come from texts alone. The network (about 2 MB whatever the input) goes to the workers with
+    the function; a row's text is scored whole, `TOGETHER` words of texts at a time."""
+    model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, limits = model.value
         for b in batches:
-            for start, score in _parts(net, b["text"]):
-                part = b.iloc[start:start + len(score)]
-                limit = np.array([limits.get(x, 0.5) for x in part["lang"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "score": score,
-                                    "predicted": (score >= 0.5).astype(np.int32), "flagged": score >= limit})
+            for start, score in _parts(model.value, b["text"]):
+                yield b.iloc[start:start + len(score)][["doc_id", "held_out", "lang"]].assign(score=score)
     column = F.col(f"`{key}`").cast("long")
     rows = docs.select(column.alias("doc_id"), F.coalesce(remainder(column) == 0, F.lit(False)).alias("held_out"),
                        F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, flagged boolean")
+    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang string, score double")
+
+
+def score_of(spark: SparkSession, net: Network) -> Callable[[Column], Column]:
+    """The score as a function of a text column."""
+    model = spark.sparkContext.broadcast(net)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.concatenate([np.zeros(0), *(part for _, part in _parts(model.value, texts))]))
+    return score
+
+
+def flagged(score: Column, lang: Column, by_language: dict[str, float]) -> Column:
+    """Whether a score reaches its language's threshold, 0.5 for languages without one."""
+    limits = F.create_map(*[F.lit(x) for item in by_language.items() for x in item]) if by_language else None
+    return score >= (F.lit(0.5) if limits is None else F.coalesce(F.try_element_at(limits, lang), F.lit(0.5)))
+
+
+def verdicts(rows: DataFrame, by_language: dict[str, float]) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.5) and flagged (score at least the language's threshold) from `scored` rows."""
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                       flagged(F.col("score"), F.col("lang"), by_language).alias("flagged"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """`verdicts` of every row of docs with a network and thresholds learned from its labelled rows. Every text is scored once, in place; the scores
+    are a table that the labels join for the thresholds, and no text is shuffled. Null and empty texts have the network's base score; null
+    keys are outside the held-out fold; repeated rows are ordinary rows, no rows give no rows, further columns are ignored."""
+    net, able, trained = learn(docs, labels, settings)
+    rows = stage(scored(docs, net), "scores")
+    return verdicts(rows, calibrate(rows, able, trained, settings))
 
 
 @query("op6_text_cnn")
 def op6_text_cnn(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents; tested by its accuracy on the held-out fold."""
-    docs = table(spark, folder, "documents")
-    return classify(docs, *fit(docs, table(spark, folder, "labels")))
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -17,6 +17,16 @@ def some(n, toxic):
     return " ".join(words)
 
 
+def brute_score(net, text):
+    """One text through the network, word by word."""
+    w, words, pooled = net.weights, (text or "").lower().encode().split(), []
+    rows = [w["embedding"][list(toxicity.features(x, net.settings.rows))].mean(axis=0) for x in words]
+    for size, number in net.settings.filters:
+        at = [sum(rows[i + s] @ w[f"filter{size}"][s] for s in range(size) if i + s < len(rows)) for i in range(len(rows))]
+        pooled += list(np.maximum((np.max(at, axis=0) if at else np.zeros(number)) + w[f"bias{size}"], 0))
+    return 1 / (1 + np.exp(-np.clip(np.array(pooled) @ w["out"] + w["base"][0], -30, 30)))
+
+
 def test_held_out_accuracy():
     labels = [i % 2 for i in range(400)]
     texts = [some(int(R.integers(5, 150)), y) for y in labels]
@@ -54,8 +64,11 @@ def test_operator(spark, make_docs, odd_texts):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(300)] + [(4, 0, "x"), (None, 1, "x"), (7, None, "x")], schema)
     net, by_language = toxicity.fit(docs, labels, SMALL)
     assert set(by_language) == {"en"}
-    rows = toxicity.classify(docs, net, by_language).collect()
+    rows = toxicity.classify(docs, labels, SMALL).collect()
     assert len(rows) == len(texts)
+    limits = {r["doc_id"]: by_language.get("en" if i % 3 else None, 0.5) for i, r in enumerate(docs.collect())}
+    assert all(r["flagged"] == (r["score"] >= limits[r["doc_id"]]) for r in rows if r["doc_id"] != 3)
+    assert np.allclose(sorted(r["score"] for r in rows), sorted(brute_score(net, t) for t in texts), atol=1e-5)
     by = {r["doc_id"]: r for r in rows if r["doc_id"] != 3}
     assert all(by[i]["held_out"] == (crc32(str(i).encode()) % 5 == 0) for i in range(300) if i != 3) and by[None]["held_out"] is False
     held = [i for i in range(300) if i != 3 and by[i]["held_out"]]
@@ -65,9 +78,9 @@ def test_operator(spark, make_docs, odd_texts):
     other = spark.createDataFrame([(i, i % 2 if crc32(str(i).encode()) % 5 else 1 - i % 2, "x") for i in range(300)], schema)
     again, _ = toxicity.fit(docs, other, SMALL)
     assert all(np.array_equal(again.weights[k], net.weights[k]) for k in net.weights)
-    assert toxicity.classify(docs.limit(0), net, by_language).collect() == []
-    empty, none = toxicity.fit(docs, labels.limit(0), SMALL)
-    assert none == {} and toxicity.classify(docs, empty, none).count() == len(texts)
+    assert toxicity.classify(docs.limit(0), labels, SMALL).collect() == []
+    _, none = toxicity.fit(docs, labels.limit(0), SMALL)
+    assert none == {} and toxicity.classify(docs, labels.limit(0), SMALL).count() == len(texts)
 
 
 def test_thresholds_hold_at_the_share_of_toxic_rows(spark, make_docs, monkeypatch):
