@@ -5,7 +5,7 @@ import corpus_pipeline
 from compare import connect
 from test_packing import reference
 from test_quality import brute
-from test_simhash import brute_components, brute_fingerprint
+from test_shingles import brute_components
 
 from colonnade.llm import packing, quality, secrets, toxicity
 
@@ -20,7 +20,7 @@ def brute_pipeline(spark, rows, folder):
     rows = [r for r in rows if toxicity.scores(net, [r["text"]])[0] < limits.get(r["lang"], 0.5)]
     after["toxicity"] = rows
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    roots = brute_components([brute_fingerprint(r["text"]) for r in rows])
+    roots = brute_components([r["text"] for r in rows])
     rows = [r for i, r in enumerate(rows) if roots[i] == i]
     after["near_duplicates"] = rows
     forest, rows = secrets.default_forest(), [dict(r) for r in rows]
