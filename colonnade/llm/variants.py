@@ -122,18 +122,25 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a[first:] == b[first + 1:]
 
 
-def edits(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+class Spelled:
+    """Words in Latin-1, with their letters as a matrix where all have the same length."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, sizes = words, {len(w) for w in words}
+        self.letters = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1) if len(sizes) == 1 else None
+
+
+def edits(a: Spelled, b: Spelled, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs (a[i], b[j]) are one edit apart; the order of letters is compared for all pairs of the same lengths at once."""
-    lengths = {len(w) for w in a}, {len(w) for w in b}
-    if any(len(x) != 1 for x in lengths):
-        return np.fromiter((one_edit(a[x], b[y]) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
-    la, lb = lengths[0].pop(), lengths[1].pop()
-    x, y = np.frombuffer(b"".join(a), np.uint8).reshape(-1, la)[i], np.frombuffer(b"".join(b), np.uint8).reshape(-1, lb)[j]
-    if la == lb:
+    if a.letters is None or b.letters is None:
+        return np.fromiter((one_edit(a.words[x], b.words[y]) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+    x, y = a.letters[i], b.letters[j]
+    size = x.shape[1]
+    if size == y.shape[1]:
         return (x != y).sum(axis=1) == 1
-    front = np.logical_and.accumulate(x == y[:, :la], axis=1).sum(axis=1)
+    front = np.logical_and.accumulate(x == y[:, :size], axis=1).sum(axis=1)
     back = np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-    return front + back >= la
+    return front + back >= size
 
 
 class Cells:
@@ -249,10 +256,11 @@ def near_pairs(words: DataFrame, limit: int = 4000, most_cells: int = 1 << 14) -
             yield pd.DataFrame({"cell": cell, "asks": asks, "word": b["word"].to_numpy()[row], "n": b["n"].to_numpy()[row]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, counts, tree, members = None, [], [], None, []
+        at, held, counts, tree, members, spelled = None, [], [], None, [], None
         for b in batches:
             cell, asks, names, n = (b[c].to_numpy() for c in ("cell", "asks", "word", "n"))
             cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(b)]
+            found = []
             for i, j in zip(cuts, cuts[1:]):
                 if i == j:
                     continue
@@ -263,18 +271,19 @@ def near_pairs(words: DataFrame, limit: int = 4000, most_cells: int = 1 << 14) -
                     counts.append(n[i:j])
                     continue
                 if tree is None and held:
-                    tree, members = Tree(vectors(held)), np.concatenate(counts)
+                    tree, members, spelled = Tree(vectors(held)), np.concatenate(counts), Spelled(held)
                 for k in range(i, j if held else i, ASKED):
-                    own = [w.encode("latin-1") for w in names[k:min(j, k + ASKED)]]
-                    for q, m in tree.within(vectors(own), 3 - int(asks[i])):
-                        near = edits(own, held, q, m) if len(q) else np.zeros(0, bool)
+                    own = Spelled([w.encode("latin-1") for w in names[k:min(j, k + ASKED)]])
+                    for q, m in tree.within(vectors(own.words), 3 - int(asks[i])):
+                        near = edits(own, spelled, q, m)
                         if near.any():
                             q, m = q[near], m[near]
-                            a, n_a = names[k + q], n[k + q]
-                            b_, n_b = np.array([held[x].decode("latin-1") for x in m.tolist()], object), members[m]
-                            yield pd.DataFrame({"a": a, "n_a": n_a, "b": b_, "n_b": n_b})
+                            found.append((names[k + q], n[k + q], [held[x].decode("latin-1") for x in m.tolist()], members[m]))
                             if asks[i] == 2:
-                                yield pd.DataFrame({"a": b_, "n_a": n_b, "b": a, "n_b": n_a})
+                                found.append((found[-1][2], found[-1][3], found[-1][0], found[-1][1]))
+            if found:
+                yield pd.DataFrame({c: np.concatenate([np.asarray(f[x], kind) for f in found]) for x, (c, kind) in enumerate(
+                    (("a", object), ("n_a", np.int64), ("b", object), ("n_b", np.int64)))})
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(c is None for c in top.cut) // 8)
     dealt = words.select("word", "n").mapInPandas(deal, "cell long, asks long, word string, n long")
     return dealt.repartition(tasks, "cell").sortWithinPartitions("cell", "asks").mapInPandas(search, "a string, n_a long, b string, n_b long")
