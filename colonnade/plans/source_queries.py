@@ -46,11 +46,23 @@ def csv_text_roundtrip(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("csv_type_override", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal FROM customer""")
+@query("csv_type_override", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def csv_type_override(t: Tables) -> DataFrame:
     path = new_path(t.spark, "override")
     csv.write_csv(t.customer, path, "|")
-    return csv.read_csv_table(t.spark, path, header=None, overrides={"c_custkey": "string", "c_nationkey": "string"}).drop("c_mktsegment")
+    return csv.read_csv_table(t.spark, path, header=None, overrides={"c_custkey": "string", "c_nationkey": "string"})
+
+
+@query("csv_parts_by_name", """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice,
+    CASE WHEN o_orderkey % 3 = 2 THEN 'a "' || o_orderkey || '",' || chr(10) || 'b' END AS note FROM orders""")
+def csv_parts_by_name(t: Tables) -> DataFrame:
+    """One folder of parts whose columns stand in other orders, are missing, or hold quotes, delimiters and line breaks."""
+    root = new_path(t.spark, "parts")
+    note = F.concat(F.lit('a "'), "o_orderkey", F.lit('",\nb')).alias("note")
+    parts = [["o_orderkey", "o_custkey", "o_totalprice"], ["o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"], ["o_custkey", note, "o_orderkey", "o_orderstatus", "o_totalprice"]]
+    for i, columns in enumerate(parts):
+        csv.write_csv(t.orders.filter(F.col("o_orderkey") % 3 == i).select(*columns), f"{root}/part{i}")
+    return csv.read_csv_table(t.spark, root, ",").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "note")
 
 
 def table_of(path: str = "path"):
