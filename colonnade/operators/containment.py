@@ -2,72 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.operators import freq as fq
 from colonnade.operators import stats
+from colonnade.session import stage
 
 UNIQUE_FROM = 0.9
-# Child columns per slice when column pairs are matched.
-SLICE = 1000
+# Hashes kept of every column, the smallest ones.
+SKETCH = 64
+# Texts from this length on are compared by their digests, which are longer than any text that is compared as it is.
+DIGEST_FROM = 61
+SIDES = ["child_table", "child_column", "parent_table", "parent_column"]
 
 
-def catalog_values(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """(table, column_name, kind, i, d, s, n): value frequencies of chosen columns of many tables."""
+def catalog_values(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table, column_name, kind, i, d, s, n): value frequencies of the chosen columns (all by default) of many tables."""
     out = None
-    for name, wanted in columns.items():
-        df = tables[name]
-        kinds = F.create_map(*[F.lit(v) for c in wanted for v in (c, stats.kinds_of(df)[c])])
-        part = fq.value_freq(df, wanted).select(F.lit(name).alias("table"), "column_name", kinds[F.col("column_name")].alias("kind"),
-                                               "i", "d", "s", "n")
+    for name, df in tables.items():
+        wanted = df.columns if columns is None else columns.get(name, [])
+        if not wanted:
+            continue
+        kinds = stats.kinds_of(df)
+        texts = {c: F.when(F.length(stats.quoted(c)) >= DIGEST_FROM, F.sha2(stats.quoted(c), 256)).otherwise(stats.quoted(c)) for c in wanted if kinds[c] == "string"}
+        named = F.create_map(*[F.lit(v) for c in wanted for v in (c, kinds[c])])
+        part = fq.value_freq(df.withColumns(texts) if texts else df, wanted).select(
+            F.lit(name).alias("table"), "column_name", named[F.col("column_name")].alias("kind"), "i", "d", "s", "n")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def column_keys(values: DataFrame) -> DataFrame:
-    """One row per column: distinct values, counted values, uniqueness, range. Bounded by the catalog."""
-    return values.groupBy("table", "column_name", "kind").agg(
-        F.count(F.lit(1)).alias("distinct_n"), F.sum("n").alias("counted"),
-        *[f(c).alias(f"{c}_{n}") for c in ("i", "d", "s") for n, f in (("lo", F.min), ("hi", F.max))],
-    ).withColumn("uniqueness", F.col("distinct_n") / F.col("counted"))
-
-
-def candidates(keys: DataFrame, parent_uniqueness: float = 0.0, same_table: bool = False) -> DataFrame:
-    """Column pairs that can be contained: same type class, child range inside the parent's, no more distinct
-    values than the parent. Works on the catalog, one row per column."""
-    # a type class can hold most of a catalog: its columns are spread over slices of bounded size
-    slices = max(1, -(-keys.count() // SLICE))
-    child = keys.select(*[F.col(c).alias(f"c_{c}") for c in keys.columns],
-                        F.pmod(F.xxhash64("table", "column_name"), F.lit(slices)).cast("int").alias("c_slice"))
-    parent = keys.select(*[F.col(c).alias(f"p_{c}") for c in keys.columns], F.explode(F.array(*[F.lit(i) for i in range(slices)])).alias("p_slice"))
-    rule = (F.col("c_kind") == F.col("p_kind")) & (F.col("c_slice") == F.col("p_slice")) & (F.col("c_distinct_n") <= F.col("p_distinct_n")) & (
-        F.col("p_uniqueness") >= parent_uniqueness)
-    rule &= (F.col("c_table") != F.col("p_table")) | (F.lit(same_table) & (F.col("c_column_name") != F.col("p_column_name")))
-    for c in ("i", "d", "s"):
-        inside = (F.col(f"c_{c}_lo") >= F.col(f"p_{c}_lo")) & (F.col(f"c_{c}_hi") <= F.col(f"p_{c}_hi"))
-        rule &= F.col(f"c_{c}_lo").isNull() | F.coalesce(inside, F.lit(False))
-    return child.join(parent, rule).select(
-        F.col("c_table").alias("child_table"), F.col("c_column_name").alias("child_column"),
-        F.col("p_table").alias("parent_table"), F.col("p_column_name").alias("parent_column"),
-        F.col("c_distinct_n").alias("child_distinct"), F.col("p_distinct_n").alias("parent_distinct"),
-        F.col("c_uniqueness").alias("child_uniqueness"), F.col("p_uniqueness").alias("parent_uniqueness"))
-
-
-def containment(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds how many of the child's distinct values occur in the parent.
-
-    Values are distinct per column, so the join on (column, value) has no hot keys; the pair list is one
-    row per candidate and is broadcast by size only.
-    """
-    key = F.struct("i", "d", "s")
-    left = values.select(F.col("table").alias("child_table"), F.col("column_name").alias("child_column"), F.xxhash64("kind", "i", "d", "s").alias("h"), key.alias("v"))
-    right = values.select(F.col("table").alias("parent_table"), F.col("column_name").alias("parent_column"), F.xxhash64("kind", "i", "d", "s").alias("h"), key.alias("w"))
-    names = ["child_table", "child_column", "parent_table", "parent_column"]
-    matched = left.join(pairs.select(*names), ["child_table", "child_column"]).join(right, ["parent_table", "parent_column", "h"]).filter(
-        F.col("v").eqNullSafe(F.col("w"))).groupBy(*names).agg(F.count(F.lit(1)).alias("matched"))
-    return pairs.join(matched, names, "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("bigint"))).withColumn(
-        "containment", F.col("matched") / F.col("child_distinct"))
+    """One row per column: distinct values, counted values, uniqueness. Bounded by the catalog."""
+    return values.groupBy("table", "column_name", "kind").agg(F.count(F.lit(1)).alias("distinct_n"), F.sum("n").alias("counted")).withColumn(
+        "uniqueness", F.col("distinct_n") / F.col("counted"))
+
+
+def inverted_sets(values: DataFrame) -> DataFrame:
+    """(kind, columns, n): how many values are held by exactly these columns, two at least.
+
+    One aggregate by value: a column of any size spreads over all tasks, and a value meets each column once, however often it occurs.
+    Most values of a catalog share few different sets, which is all that goes on."""
+    held = values.groupBy("kind", "i", "d", "s").agg(F.sort_array(F.collect_set(F.struct("table", "column_name"))).alias("columns"))
+    return held.filter(F.size("columns") > 1).groupBy("kind", "columns").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_values(sets: DataFrame, same_table: bool = False) -> DataFrame:
+    """(child_table, child_column, parent_table, parent_column, matched): both directions of all column pairs that share values, read off the
+    inverted sets. Column pairs that share none are never made."""
+    pairs = sets.select("columns", "n", F.explode("columns").alias("c")).select("c", "n", F.explode("columns").alias("p"))
+    other = (F.col("c.table") != F.col("p.table")) | (F.lit(same_table) & (F.col("c.column_name") != F.col("p.column_name")))
+    return pairs.filter(other).groupBy(F.col("c.table").alias("child_table"), F.col("c.column_name").alias("child_column"), F.col("p.table").alias("parent_table"),
+                                       F.col("p.column_name").alias("parent_column")).agg(F.sum("n").alias("matched"))
+
+
+def _side(keys: DataFrame, side: str) -> DataFrame:
+    return keys.select(F.col("table").alias(f"{side}_table"), F.col("column_name").alias(f"{side}_column"), F.col("distinct_n").alias(f"{side}_distinct"),
+                       F.col("uniqueness").alias(f"{side}_uniqueness"))
+
+
+def containment(values: DataFrame, keys: DataFrame, parent_uniqueness: float = 0.0, same_table: bool = False) -> DataFrame:
+    """Column pairs that share values, the child with no more distinct values than the parent, and the share of the child's values that the
+    parent holds."""
+    pairs = shared_values(inverted_sets(values), same_table)
+    sides = [[f"{s}_table", f"{s}_column"] for s in ("child", "parent")]
+    rows = pairs.join(_side(keys, "child"), sides[0]).join(_side(keys, "parent"), sides[1])
+    fits = (F.col("child_distinct") <= F.col("parent_distinct")) & (F.col("parent_uniqueness") >= parent_uniqueness)
+    return rows.filter(fits).select(*SIDES, "child_distinct", "parent_distinct", "child_uniqueness", "parent_uniqueness", "matched",
+                                    (F.col("matched") / F.col("child_distinct")).alias("containment"))
+
+
+def sketches(values: DataFrame, size: int = SKETCH) -> DataFrame:
+    """(table, column_name, h): the smallest value hashes of each column. A rank filter that Spark applies in every map task first, so no
+    column meets in one task with more than `size` rows a task; the sketch of a union is that of the sketches."""
+    hashed = values.select("table", "column_name", F.xxhash64("kind", "i", "d", "s").alias("h"))
+    order = Window.partitionBy("table", "column_name").orderBy("h")
+    return hashed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).drop("rank")
+
+
+def candidates(values: DataFrame, keys: DataFrame, parent_uniqueness: float = 0.0, size: int = SKETCH, same_table: bool = False) -> DataFrame:
+    """Column pairs of which the parent holds every value of the child's sketch, and can be unique enough and large enough.
+
+    Exact as a filter: a value of the child that the parent lacks disproves containment, so no contained column is lost. Sketches meet
+    the values by hash; columns that cannot be parents are left out before."""
+    able = keys.filter(F.col("uniqueness") >= parent_uniqueness).select("table", "column_name")
+    parents = values.join(F.broadcast(able), ["table", "column_name"], "left_semi")  # one row per column
+    held = parents.select(F.xxhash64("kind", "i", "d", "s").alias("h"), F.col("table").alias("parent_table"), F.col("column_name").alias("parent_column")).distinct()
+    asked = sketches(values, size).select("h", F.col("table").alias("child_table"), F.col("column_name").alias("child_column")).distinct()
+    other = (F.col("child_table") != F.col("parent_table")) | (F.lit(same_table) & (F.col("child_column") != F.col("parent_column")))
+    hits = asked.join(held, "h").filter(other).groupBy(*SIDES).agg(F.count(F.lit(1)).alias("hits"))
+    full = asked.groupBy("child_table", "child_column").agg(F.count(F.lit(1)).alias("probes"))
+    rows = hits.join(full, ["child_table", "child_column"]).filter("hits = probes")
+    rows = rows.join(_side(keys, "child"), SIDES[:2]).join(_side(keys, "parent"), SIDES[2:])
+    return rows.filter("child_distinct <= parent_distinct").select(*SIDES)
+
+
+def contained(values: DataFrame, keys: DataFrame, parent_uniqueness: float = 0.0, size: int = SKETCH, same_table: bool = False) -> DataFrame:
+    """`containment` of the pairs with all values of the child in the parent: sketches choose the columns, and only their values are compared."""
+    pairs = stage(candidates(values, keys, parent_uniqueness, size, same_table), "candidates")
+    columns = pairs.select("child_table", "child_column").union(pairs.select("parent_table", "parent_column")).toDF("table", "column_name").distinct()
+    chosen = values.join(F.broadcast(columns), ["table", "column_name"], "left_semi")  # one row per column
+    return containment(chosen, keys, parent_uniqueness, same_table).filter("matched = child_distinct")
 
 
 def foreign_keys(contained: DataFrame, unique_from: float = UNIQUE_FROM) -> DataFrame:

@@ -67,21 +67,25 @@ def map_columns(prof: DataFrame, entities: DataFrame, with_ignore: bool = False)
 
 
 def dependency_scores(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    """(left, right, left_distinct, pair_distinct, score): how far each left value has a single right value.
-
-    Each pair is a narrow scan of two columns, pre-aggregated on the map side; missing cells do not count.
-    """
-    out = None
-    for a in left:
-        for b in right:
-            if a == b:
-                continue
-            pairs = df.select(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").cast("string").alias("b")).dropna().distinct()
-            per_value = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-            part = per_value.agg(F.count(F.lit(1)).alias("left_distinct"), F.coalesce(F.sum("m"), F.lit(0)).alias("pair_distinct")).select(
-                F.lit(a).alias("left"), F.lit(b).alias("right"), "left_distinct", "pair_distinct")
-            out = part if out is None else out.unionByName(part)
-    return out.withColumn("score", F.coalesce(F.col("left_distinct") / F.nullif(F.col("pair_distinct"), F.lit(0)), F.lit(0.0)))
+    """(left, right, left_distinct, pair_distinct, score): how far each left value has a single right value; missing cells do not count.
+
+    All pairs come from one scan: a row gives one entry per pair, entries are made distinct with partial results in every map task, and two
+    counts follow. The left value is part of every key, so neither a column nor a pair gathers in one task. No pairs give no rows."""
+    pairs = [(a, b) for a in left for b in right if a != b]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, left_distinct bigint, pair_distinct bigint, score double")
+
+    def cell(name: str) -> Column:
+        value = F.col(f"`{name}`").cast("string")
+        return F.when(F.length(value) > 60, F.sha2(value, 256)).otherwise(value)  # a digest is longer than any plain value
+    entries = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), cell(a).alias("a"), cell(b).alias("b")) for a, b in pairs])
+    distinct = df.select(F.inline(entries)).filter("a IS NOT NULL AND b IS NOT NULL").groupBy("left", "right", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    per_value = distinct.groupBy("left", "right", "a").agg(F.count(F.lit(1)).alias("m"))
+    counts = per_value.groupBy("left", "right").agg(F.count(F.lit(1)).alias("left_distinct"), F.sum("m").alias("pair_distinct"))
+    every = df.sparkSession.createDataFrame(pairs, "left string, right string")  # pairs without rows keep their place
+    return every.join(counts, ["left", "right"], "left").select(
+        "left", "right", F.coalesce("left_distinct", F.lit(0).cast("bigint")).alias("left_distinct"), F.coalesce("pair_distinct", F.lit(0).cast("bigint")).alias("pair_distinct"),
+        F.coalesce(F.col("left_distinct") / F.nullif(F.col("pair_distinct"), F.lit(0)), F.lit(0.0)).alias("score"))
 
 
 def map_properties(scores: DataFrame) -> DataFrame:

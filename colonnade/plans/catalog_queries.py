@@ -66,37 +66,43 @@ def similar_catalog_columns(t: Tables) -> DataFrame:
 
 # ---- containment ------------------------------------------------------------------------------------
 
-# every column of whole numbers or plain texts, in all tables
-KEY_COLUMNS = {t: [c for c, kind in columns.items() if kind in ("integral", "string")] for t, columns in oracle.COLUMNS.items()}
-KEY_COLUMNS = {t: columns for t, columns in KEY_COLUMNS.items() if columns}
+SLOTS = {"integral": "{c}::BIGINT AS i, NULL::DOUBLE AS d, NULL::VARCHAR AS s", "fractional": "NULL::BIGINT AS i, {c}::DOUBLE AS d, NULL::VARCHAR AS s",
+         "temporal": "epoch_us({c}::TIMESTAMP) AS i, NULL::DOUBLE AS d, NULL::VARCHAR AS s", "array": "NULL::BIGINT AS i, NULL::DOUBLE AS d, {c}::VARCHAR AS s"}
 
 
 def values_sql(t: str, c: str) -> str:
     kind = oracle.COLUMNS[t][c]
-    slots = f"{c}::BIGINT AS i, NULL::VARCHAR AS s" if kind == "integral" else f"NULL::BIGINT AS i, {c} AS s"
+    kind, slots = ("string" if kind == "list" else kind), SLOTS.get(kind, "NULL::BIGINT AS i, NULL::DOUBLE AS d, {c} AS s").replace("{c}", c)
     return f"SELECT '{t}' AS tbl, '{c}' AS col, '{kind}' AS kind, {slots}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
 
 
-VALUES = "(" + " UNION ALL ".join(values_sql(t, c) for t, cs in KEY_COLUMNS.items() for c in cs) + ")"
-CONTAINED = f"""(WITH f AS MATERIALIZED (SELECT *, coalesce(i::VARCHAR, s) AS v FROM {VALUES}),
-    k AS (SELECT tbl, col, kind, count(*) AS d, count(*) / sum(n) AS u, min(i) AS ilo, max(i) AS ihi, min(s) AS slo, max(s) AS shi FROM f GROUP BY ALL),
+# every column of all tables; a pair without a shared value is no row
+VALUES = "(" + " UNION ALL ".join(values_sql(t, c) for t, cs in oracle.COLUMNS.items() for c in cs) + ")"
+CONTAINED = f"""(WITH f AS MATERIALIZED (SELECT tbl, col, kind, n, coalesce(i::VARCHAR, d::VARCHAR, s) AS v FROM {VALUES}),
+    k AS (SELECT tbl, col, kind, count(*) AS d, count(*) / sum(n) AS u FROM f GROUP BY ALL),
     m AS (SELECT a.tbl AS ct, a.col AS cc, b.tbl AS pt, b.col AS pc, count(*) AS matched FROM f a JOIN f b ON a.v = b.v AND a.kind = b.kind WHERE a.tbl <> b.tbl GROUP BY ALL)
     SELECT c.tbl AS child_table, c.col AS child_column, p.tbl AS parent_table, p.col AS parent_column, c.d AS child_distinct, p.d AS parent_distinct, c.u AS child_uniqueness, p.u AS parent_uniqueness,
-      coalesce(matched, 0) AS matched, coalesce(matched, 0) / c.d AS containment FROM k c JOIN k p ON c.tbl <> p.tbl AND c.kind = p.kind AND c.d <= p.d
-      AND (c.ilo IS NULL OR (c.ilo >= p.ilo AND c.ihi <= p.ihi)) AND (c.slo IS NULL OR (c.slo >= p.slo AND c.shi <= p.shi))
-      LEFT JOIN m ON ct = c.tbl AND cc = c.col AND pt = p.tbl AND pc = p.col)"""
-PAIR_COLUMNS = ["child_table", "child_column", "parent_table", "parent_column"]
+      matched, matched / c.d AS containment FROM m JOIN k c ON ct = c.tbl AND cc = c.col JOIN k p ON pt = p.tbl AND pc = p.col WHERE c.d <= p.d)"""
+PAIR_COLUMNS = containment.SIDES
+
+
+def catalog_values(t: Tables) -> DataFrame:
+    return stage(containment.catalog_values({n: getattr(t, n) for n in oracle.COLUMNS}), "key_values")
+
+
+def overlapping(t: Tables) -> DataFrame:
+    values = catalog_values(t)
+    return containment.containment(values, containment.column_keys(values))
 
 
 def contained(t: Tables, parent_uniqueness: float = 0.0) -> DataFrame:
-    values = stage(containment.catalog_values({n: getattr(t, n) for n in KEY_COLUMNS}, KEY_COLUMNS), "key_values")
-    keys = containment.column_keys(values)
-    return containment.containment(values, containment.candidates(keys, parent_uniqueness))
+    values = catalog_values(t)
+    return containment.contained(values, containment.column_keys(values), parent_uniqueness)
 
 
 @query("inclusion_dependency", f"SELECT {', '.join(PAIR_COLUMNS)}, child_distinct, matched, round(containment, 6) AS containment FROM {CONTAINED}")
 def inclusion_dependency(t: Tables) -> DataFrame:
-    return contained(t).select(*PAIR_COLUMNS, "child_distinct", "matched", F.round("containment", 6).alias("containment"))
+    return overlapping(t).select(*PAIR_COLUMNS, "child_distinct", "matched", F.round("containment", 6).alias("containment"))
 
 
 @query("fk_discovery", f"SELECT {', '.join(PAIR_COLUMNS)} FROM {CONTAINED} WHERE containment = 1 AND parent_uniqueness >= 0.9")
@@ -104,12 +110,31 @@ def fk_discovery(t: Tables) -> DataFrame:
     return containment.foreign_keys(contained(t, containment.UNIQUE_FROM)).select(*PAIR_COLUMNS)
 
 
+@query("inverted_column_sets", f"""SELECT kind, array_to_string(columns, ',') AS columns, count(*) AS n FROM (
+    SELECT kind, v, list_sort(list(tbl || '.' || col)) AS columns FROM (SELECT tbl, col, kind, coalesce(i::VARCHAR, d::VARCHAR, s) AS v FROM {VALUES}) GROUP BY kind, v HAVING count(*) > 1) GROUP BY ALL""")
+def inverted_column_sets(t: Tables) -> DataFrame:
+    names = F.array_sort(F.transform("columns", lambda c: F.concat_ws(".", c["table"], c["column_name"])))
+    return containment.inverted_sets(catalog_values(t)).select("kind", F.array_join(names, ",").alias("columns"), "n")
+
+
+@query("sketch_pruning")
+def sketch_pruning(t: Tables) -> DataFrame:
+    """Column pairs left to verify by size of the sketches, and the pairs that are contained. Hashes have no SQL; tested against plain sets."""
+    values = catalog_values(t)
+    keys = stage(containment.column_keys(values), "keys")
+    out = contained(t).agg(F.count(F.lit(1)).alias("pairs")).withColumn("step", F.lit("contained"))
+    for size in (1, 4, 16, containment.SKETCH):
+        pairs = containment.candidates(values, keys, size=size).agg(F.count(F.lit(1)).alias("pairs"))
+        out = out.unionByName(pairs.withColumn("step", F.lit(f"sketch of {size}")))
+    return out.select("step", "pairs")
+
+
 CARD = "CASE WHEN parent_uniqueness >= 0.9 AND child_uniqueness >= 0.9 THEN '1:1' WHEN parent_uniqueness >= 0.9 THEN '1:N' ELSE 'M:N' END"
 
 
 @query("relation_cardinality", f"SELECT {', '.join(PAIR_COLUMNS)}, {CARD} AS cardinality FROM {CONTAINED} WHERE containment = 1")
 def relation_cardinality(t: Tables) -> DataFrame:
-    return containment.relation_cardinality(contained(t).filter("containment = 1")).select(*PAIR_COLUMNS, "cardinality")
+    return containment.relation_cardinality(contained(t)).select(*PAIR_COLUMNS, "cardinality")
 
 
 @query("column_relation", f"""SELECT {', '.join(PAIR_COLUMNS)}, {CARD} AS cardinality, kind AS relation_type, kind IS NOT NULL AS has_relationship,
@@ -117,7 +142,7 @@ def relation_cardinality(t: Tables) -> DataFrame:
       SELECT *, CASE WHEN containment = 1 AND parent_uniqueness >= 0.9 THEN 'foreign_key' WHEN containment = 1 AND child_distinct = parent_distinct THEN 'attribute_synonym'
         WHEN matched > 0 THEN 'shared_attribute' END AS kind FROM {CONTAINED})""")
 def column_relation(t: Tables) -> DataFrame:
-    return containment.column_relation(contained(t)).select(*PAIR_COLUMNS, "cardinality", "relation_type", "has_relationship", "direction")
+    return containment.column_relation(overlapping(t)).select(*PAIR_COLUMNS, "cardinality", "relation_type", "has_relationship", "direction")
 
 
 @query("derived_value", """SELECT count(*) AS compared, count(*) FILTER (abs(n_chars - s) <= 0.01) AS equal_rows, count(*) FILTER (abs(n_chars - s) <= 0.01) / count(*) AS share FROM (

@@ -90,20 +90,51 @@ def test_embedders(spark):
 def test_foreign_keys(spark):
     tables = {"customers": spark.createDataFrame([("a@x", 1), ("b@x", 2), ("c@x", 3)], "email string, n int"),
               "orders": spark.createDataFrame([("a@x", 1), ("a@x", 2), ("b@x", 9)], "customer_email string, q int")}
-    values = containment.catalog_values(tables, {k: v.columns for k, v in tables.items()})
-    pairs = containment.containment(values, containment.candidates(containment.column_keys(values)))
+    values = containment.catalog_values(tables)
+    pairs = containment.containment(values, containment.column_keys(values))
     fks = {(r["child_column"], r["parent_column"]) for r in containment.foreign_keys(pairs).collect()}
     assert fks == {("customer_email", "email")}
     assert containment.relation_cardinality(containment.foreign_keys(pairs)).first()["cardinality"] == "1:N"
 
 
-def test_candidate_slices_do_not_change_the_result(spark, monkeypatch):
-    tables = {f"t{i}": spark.range(i + 1).selectExpr("id AS k") for i in range(5)}
-    values = containment.catalog_values(tables, {k: ["k"] for k in tables})
-    keys = containment.column_keys(values).cache()
-    want = sorted(map(tuple, containment.candidates(keys).collect()))
-    monkeypatch.setattr(containment, "SLICE", 2)
-    assert sorted(map(tuple, containment.candidates(keys).collect())) == want and len(want) == 10
+def test_containment_equals_plain_sets(spark):
+    r = np.random.default_rng(3)
+    pool = {"i": [int(x) for x in range(300)], "s": [f"w{x}" * (1 + 30 * (x % 2)) for x in range(300)], "d": [x / 8 for x in range(300)]}
+    plain, tables = {}, {}
+    for t in range(5):
+        n = 120 * (t + 1)
+        part = {f"{k}{j}": [None if r.random() < 0.1 else v[int(x)] for x in r.integers(0, 1 + 290 * (j + 1) // 2 // (5 - t), n)] for k, v in pool.items() for j in range(2)}
+        plain |= {(f"t{t}", c): set(v) - {None} for c, v in part.items()}
+        kinds = {"i": "bigint", "s": "string", "d": "double"}
+        tables[f"t{t}"] = spark.createDataFrame(list(zip(*part.values())), ", ".join(f"{c} {kinds[c[0]]}" for c in part))
+    values = containment.catalog_values(tables)
+    keys = containment.column_keys(values)
+    want = {(*a, *b): len(x & y) for a, x in plain.items() for b, y in plain.items() if a[0] != b[0] and a[1][0] == b[1][0] and len(x) <= len(y) and x & y}
+    got = {tuple(p[c] for c in containment.SIDES): p["matched"] for p in containment.containment(values, keys).collect()}
+    assert got == want
+    full = {p for p, m in want.items() if m == len(plain[p[:2]])}
+    assert {tuple(p[c] for c in containment.SIDES) for p in containment.contained(values, keys, size=4).collect()} == full and full
+    left = [containment.candidates(values, keys, size=k).count() for k in (1, 4, 64)]
+    assert left[0] > left[1] >= left[2] >= len(full)
+
+
+def test_containment_plan_has_no_pair_join(spark):
+    """Columns meet through values only: no join on (table, column) before the counts, and no nested loops."""
+    values = containment.catalog_values({"a": spark.range(5).toDF("x"), "b": spark.range(9).toDF("y")})
+    plan = containment.shared_values(containment.inverted_sets(values))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "NestedLoop" not in plan
+    assert containment.shared_values(containment.inverted_sets(values)).count() == 2
+
+
+def test_dependencies_of_all_pairs(spark):
+    rows = [(1, "a", 1.5, None), (1, "a", 2.5, "z"), (2, "b", 2.5, None), (3, None, 1.5, None), (None, "b", 1.5, None)]
+    df = spark.createDataFrame(rows, "k int, t string, v double, n string")
+    got = {(r["left"], r["right"]): (r["left_distinct"], r["pair_distinct"]) for r in mapping.dependency_scores(df, df.columns, df.columns).collect()}
+    for i, a in enumerate(df.columns):
+        for j, b in enumerate(df.columns):
+            pairs = {(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None}
+            assert i == j or got[a, b] == (len({p[0] for p in pairs}), len(pairs))
+    assert mapping.dependency_scores(df, [], ["k"]).count() == 0 == mapping.dependency_scores(df, ["k"], ["k"]).count()
 
 
 def test_derived_value(spark):
