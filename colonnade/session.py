@@ -55,10 +55,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 class Workspace:
     """Staged tables of one computation, in a folder of their own, that can be dropped as soon as nothing reads them any more.
 
-    A table may go once everything made from it is itself written: lost executors then find all they need in later tables."""
+    A table may go once everything made from it is itself written: lost executors then find all they need in later tables. Within
+    ``with`` Spark also removes the shuffle files of every job that is over."""
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths = spark, new_path(spark, name), {}
+        self.spark, self.root, self.paths, self.before = spark, new_path(spark, name), {}, None
+
+    def __enter__(self) -> Workspace:
+        self.before = self.spark.conf.get(self.CLEANUP)
+        self.spark.conf.set(self.CLEANUP, "true")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.CLEANUP, self.before)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
