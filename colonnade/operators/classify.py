@@ -89,7 +89,7 @@ def classify(prof: DataFrame, answers: DataFrame, rules: DataFrame) -> DataFrame
 
 
 def reconcile(header: DataFrame, answered: DataFrame, rules: DataFrame) -> DataFrame:
-    """One consensus per header column: equal classes keep the answered row, unequal ones take the surer side
+    """One consensus per header column: equal classes keep the answered row with its confidence, unequal ones take the surer side
     (the rule on a tie), missing ones stay empty. Entities carry their uniqueness."""
     keys = ["table", "column_name"]
     a = answered.select(*keys, F.col("classification").alias("a"), F.col("confidence").alias("ac"))
@@ -99,6 +99,6 @@ def reconcile(header: DataFrame, answered: DataFrame, rules: DataFrame) -> DataF
     label = F.when(F.col("a") == F.col("r"), F.col("a")).when(F.col("a").isNull() | F.col("r").isNull(), F.coalesce("a", "r")).otherwise(surer)
     out = rows.withColumn("classification", F.coalesce(label, F.lit("")))
     return out.select(*header.columns, "classification",
-                      F.coalesce(F.greatest("ac", "rc"), F.lit(0.0)).alias("confidence"),
+                      F.coalesce(F.when(F.col("a") == F.col("r"), F.col("ac")), F.greatest("ac", "rc"), F.lit(0.0)).alias("confidence"),
                       F.when(F.col("a") != F.col("r"), True).otherwise(False).alias("was_conflict"),
                       F.when(F.col("classification") == "entity", F.col("uniqueness_ratio")).alias("entity_uniqueness"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +51,14 @@ def _runs(generated: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     return (generated if runs is None else runs).select("run_id").distinct()
 
 
-def node_diff(generated: DataFrame, golden: DataFrame) -> DataFrame:
-    """(run_id, node, status): found, missing or extra. The golden schema is one document: its nodes travel as
-    one array, compared with each run's array."""
-    gold = golden.agg(F.collect_set("node").alias("gold"))  # one row
-    gen = generated.groupBy("run_id").agg(F.collect_set("node").alias("gen"))
-    rows = gen.join(F.broadcast(gold))
-    lists = {"found": F.array_intersect("gen", "gold"), "missing": F.array_except("gold", "gen"), "extra": F.array_except("gen", "gold")}
-
-    def tag(status: str):
-        return lambda n: F.struct(n.alias("node"), F.lit(status).alias("status"))
-    return rows.select("run_id", F.inline(F.concat(*[F.transform(v, tag(k)) for k, v in lists.items()])))
+def node_diff(generated: DataFrame, golden: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(run_id, node, status): found, missing or extra. Every golden node is a row of every run, also of runs without any node (`runs` lists
+    them), so runs and golden nodes are multiplied on purpose; all else is a join."""
+    gold = golden.select("node").distinct().withColumn("_gold", F.lit(True))
+    gen = generated.select("run_id", "node").distinct().withColumn("_gen", F.lit(True))
+    wanted = _runs(generated, runs).crossJoin(gold)
+    status = F.when(F.col("_gold").isNull(), "extra").when(F.col("_gen").isNull(), "missing").otherwise("found")
+    return wanted.join(gen, ["run_id", "node"], "full_outer").select("run_id", "node", status.alias("status"))
 
 
 def _ratio(found: Column, total: Column) -> Column:
@@ -144,11 +143,12 @@ def over_runs(scores: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that are new, gone or changed between two snapshots, with the names of the changed fields."""
+    """Rows that are new, gone or changed between two snapshots, with the names of the changed fields. A missing key is a key like others."""
     fields = [c for c in new.columns if c not in keys]
-    o = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in fields], F.lit(True).alias("_in_old"))
+    o = old.select(*[F.col(c).alias(f"_old_{c}") for c in [*keys, *fields]], F.lit(True).alias("_in_old"))
     n = new.select(*keys, *fields, F.lit(True).alias("_in_new"))
-    both = n.join(o, keys, "full_outer")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys])
+    both = n.join(o, same, "full_outer").withColumns({k: F.when(F.col("_in_new").isNull(), F.col(f"_old_{k}")).otherwise(F.col(k)) for k in keys})
     changed = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_old_{c}")), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
     status = F.when(F.col("_in_old").isNull(), "new").when(F.col("_in_new").isNull(), "gone").when(F.size(changed) > 0, "changed")
     return both.select(*keys, status.alias("status"), F.when(status == "changed", F.array_join(changed, ",")).alias("changed_fields")).filter("status IS NOT NULL")

@@ -21,10 +21,13 @@ def apply_header(df: DataFrame, header: list[str], drop_first_by: str | None = N
     if len(header) != len(df.columns):
         raise ValueError(f"header has {len(header)} names, table has {len(df.columns)} columns")
     if drop_first_by:
+        # the row is told by its content, which no other partitioning changes; of rows that are equal in all cells one goes
         key = stats.quoted(drop_first_by)
-        placed = df.withColumn("_ordinal", F.monotonically_increasing_id())
-        first = placed.filter(key.isNotNull()).agg(F.min(F.struct(key.alias("key"), "_ordinal"))["_ordinal"].alias("at")).first()["at"]
-        df = placed.filter(~F.col("_ordinal").eqNullSafe(F.lit(first).cast("long"))).drop("_ordinal")
+        placed = df.withColumn("_content", F.xxhash64(*[stats.quoted(c) for c in df.columns]))
+        first = placed.filter(key.isNotNull()).agg(F.min(F.struct(key.alias("key"), "_content")).alias("at"))  # one row
+        marked = placed.join(F.broadcast(first)).withColumn("_same", F.coalesce((key == F.col("at.key")) & (F.col("_content") == F.col("at._content")), F.lit(False)))
+        again = marked.filter("_same").withColumn("_turn", F.row_number().over(Window.partitionBy("_content").orderBy("_content"))).filter("_turn > 1")
+        df = marked.filter("NOT _same").select(*map(stats.quoted, df.columns)).unionByName(again.select(*map(stats.quoted, df.columns)))
     return df.toDF(*header)
 
 

@@ -14,13 +14,24 @@ from colonnade.plans.registry import Tables, query
 from colonnade.session import new_path, stage
 from colonnade.sources import store
 
-CATALOG = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events", "labels"]
-_STORED: dict[tuple[str, str], DataFrame] = {}
+CATALOG = list(oracle.COLUMNS)
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def _state(t: Tables) -> tuple:
+    """Name, size and time of every file of the catalog's tables."""
+    conf, out = t.spark._jsc.hadoopConfiguration(), []
+    for name in CATALOG:
+        for file in sorted(getattr(t, name).inputFiles()):
+            path = t.spark._jvm.org.apache.hadoop.fs.Path(file)
+            status = path.getFileSystem(conf).getFileStatus(path)
+            out.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(out)
 
 
 def catalog(t: Tables) -> DataFrame:
-    """Stored profile of the catalog tables: computed once per session and folder, then read back."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """Stored profile of all tables: computed once for the state that their files are in, then read back."""
+    key = (t.spark.sparkContext.applicationId, _state(t))
     if key not in _STORED:
         _STORED[key] = stage(pf.profile_catalog({n: getattr(t, n) for n in CATALOG}, "demo"), "catalog")
     return _STORED[key]
@@ -221,7 +232,7 @@ def classify_columns(t: Tables) -> DataFrame:
 
 
 @query("reconcile_classes", f"""SELECT tbl AS table_name, column_name, c AS classification, conf AS confidence, conflict AS was_conflict, CASE WHEN c = 'entity' AND r IS NOT NULL THEN round(uniqueness_ratio, 6) END AS entity_uniqueness FROM (
-    SELECT *, CASE WHEN r IS NULL OR classification = r THEN classification WHEN confidence > 1.0 THEN classification ELSE r END AS c, greatest(confidence, CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE END) AS conf,
+    SELECT *, CASE WHEN r IS NULL OR classification = r THEN classification WHEN confidence > 1.0 THEN classification ELSE r END AS c, CASE WHEN classification = r THEN confidence ELSE greatest(confidence, CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE END) END AS conf,
     coalesce(classification <> r, false) AS conflict FROM {ANSWERED})""")
 def reconcile_classes(t: Tables) -> DataFrame:
     answered = classify.classify(catalog(t), answers(t), rules(t))

@@ -385,3 +385,32 @@ def test_repeated_snapshot_replaces(spark, tmp_path):
         store.write_snapshot(rows, str(tmp_path / "s"), "run", "one")
     store.write_snapshot(rows, str(tmp_path / "s"), "run", "two")
     assert store.read_snapshot(spark, str(tmp_path / "s"), "run", "one").count() == 1 == store.read_snapshot(spark, str(tmp_path / "s"), "run", "two").count()
+
+
+def test_runs_without_nodes_miss_all_golden_nodes(spark):
+    gen = spark.createDataFrame([("a", "X"), ("a", "Y")], "run_id string, node string")
+    gold = spark.createDataFrame([("X",), ("Z",)], "node string")
+    runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    got = {(r["run_id"], r["node"]): r["status"] for r in evaluate.node_diff(gen, gold, runs).collect()}
+    assert got == {("a", "X"): "found", ("a", "Y"): "extra", ("a", "Z"): "missing", ("b", "X"): "missing", ("b", "Z"): "missing"}
+
+
+def test_snapshots_match_missing_keys(spark):
+    old = spark.createDataFrame([(None, 1), ("x", 1), ("y", 1)], "k string, v int")
+    new = spark.createDataFrame([(None, 1), ("x", 2), ("z", 1)], "k string, v int")
+    got = {r["k"]: (r["status"], r["changed_fields"]) for r in evaluate.snapshot_diff(old, new, ["k"]).collect()}
+    assert got == {"x": ("changed", "v"), "y": ("gone", None), "z": ("new", None)}
+
+
+def test_header_row_goes_whatever_the_partitions(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1), (None, 3), ("a", 1)], "k string, v int")
+    got = [sorted(map(tuple, header.apply_header(df.repartition(n), ["x", "y"], drop_first_by="k").collect()), key=str) for n in (1, 2, 5)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4 and (None, 3) in got[0]
+
+
+def test_equal_classes_keep_the_answers_confidence(spark):
+    head = spark.createDataFrame([("t", "c"), ("t", "d")], "table string, column_name string")
+    answered = spark.createDataFrame([("t", "c", "entity", 0.7), ("t", "d", "entity", 0.7)], "table string, column_name string, classification string, confidence double")
+    rules = spark.createDataFrame([("t", "c", "entity", 1.0, 0.5), ("t", "d", "property", 0.6, 0.5)], "table string, column_name string, classification string, confidence double, uniqueness_ratio double")
+    got = {r["column_name"]: (r["classification"], r["confidence"], r["was_conflict"]) for r in classify.reconcile(head, answered, rules).collect()}
+    assert got == {"c": ("entity", 0.7, False), "d": ("entity", 0.7, True)}
