@@ -38,14 +38,15 @@ class _Kept(dict):
 
 class Coder:
     """Ids of whole texts by the tokenizer of a file, as little-endian unsigned 32-bit integers in bytes. The tokenizer drops white space
-    and never looks across it, so a text is encoded word by word and each word once."""
+    and never looks across it, so a text is encoded word by word and each word once. The strings of special tokens give their ids, as in the
+    tokenizer as it is loaded, or with `marks_as_text` those of plain text."""
 
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, path: str = VOCABULARY, marks_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = marks_as_text
         self.model, self.parts = self.tokenizer.model, regex.compile(PARTS)
         # letters of which lower-casing and normalization are known: printable ASCII and the letters of Latin-1
         self.plain = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -69,11 +70,12 @@ class Coder:
         return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
 
 
-def coder(path: str = VOCABULARY) -> Coder:
-    return kept_by_worker(f"word_bpe {path}", lambda: Coder(path))
+def coder(path: str = VOCABULARY, marks_as_text: bool = False) -> Coder:
+    return kept_by_worker(f"word_bpe {path} {marks_as_text}", lambda: Coder(path, marks_as_text))
 
 
-def pieces(docs: DataFrame, path: str = VOCABULARY, room: int = ROOM, ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str = VOCABULARY, room: int = ROOM, ids: bool = True, key: str = "doc_id", text: str = "text",
+           marks_as_text: bool = False) -> DataFrame:
     """Every document as pieces of at most `room` ids: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (array of int).
 
     A document is its ids and END; null and empty texts are END alone. It is cut after every `room` ids, so all pieces but
@@ -83,7 +85,7 @@ def pieces(docs: DataFrame, path: str = VOCABULARY, room: int = ROOM, ids: bool
         for b in batches:
             out = []
             for doc, t in zip(b["doc_id"], b["text"]):
-                data = coder(path).encode(t) + end
+                data = coder(path, marks_as_text).encode(t) + end
                 for at in range(0, len(data), 4 * room):
                     part = data[at:at + 4 * room]
                     out.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4) + ((array("I", part).tolist(),) if ids else ()))
@@ -104,9 +106,13 @@ def patterns(histogram: dict[int, int], room: int = ROOM) -> list[tuple[list[tup
         while left:
             while most and not packs[most]:
                 most -= 1
-            if most < length:  # new packs
-                packs[room - length].append([[(length, 1)], left])
-                most, left = max(most, room - length), 0
+            if most < length:  # new packs, each filled before the next is opened
+                fit = room // length
+                for times, count in ((fit, left // fit), (left % fit, 1)):
+                    if times and count:
+                        packs[room - times * length].append([[(length, times)], count])
+                        most = max(most, room - times * length)
+                left = 0
                 continue
             made, count = packs[most][-1]
             if most >= 2 * length and left >= 2 * count and len(packs[most]) == 1:  # several rounds over the same packs at once
@@ -149,12 +155,12 @@ def pack(cut: DataFrame, room: int = ROOM, seed: int = 17) -> DataFrame:
     held = stage(cut.withColumn("__hash", uniform31(F.lit(seed), F.col("doc_id"), F.col("start"), F.col("ids_crc32"))), "pieces")
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = held.sparkSession
-    places = spark.createDataFrame(slots(patterns(histogram, room)), "length long, first long, end long, sequence long, sequences long, at long")
+    places = spark.createDataFrame(slots(patterns(histogram, room)), "length long, __first long, __end long, __sequence long, __sequences long, __at long")
     ranked = rank_within(held, "length", "__hash", ["doc_id", "start", "ids_crc32", "doc_tokens"], sum(histogram.values()))
-    turn = F.col("rank") - 1 - F.col("first")
-    found = ranked.join(F.broadcast(places), "length").where((F.col("rank") > F.col("first")) & (F.col("rank") <= F.col("end")))
-    return found.select(*cut.columns, (F.col("sequence") + turn % F.col("sequences")).alias("sequence_id"),
-                        (F.col("at") + F.floor(turn / F.col("sequences")) * F.col("length")).alias("offset"))
+    turn = F.col("rank") - 1 - F.col("__first")
+    found = ranked.join(F.broadcast(places), "length").where((F.col("rank") > F.col("__first")) & (F.col("rank") <= F.col("__end")))
+    return found.select(*cut.columns, (F.col("__sequence") + turn % F.col("__sequences")).alias("sequence_id"),
+                        (F.col("__at") + F.floor(turn / F.col("__sequences")) * F.col("length")).alias("offset"))
 
 
 @query("op2_shortest_pack_first")

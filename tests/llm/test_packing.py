@@ -10,9 +10,9 @@ from tokenizers import Tokenizer
 from colonnade.llm import packing
 
 
-def reference():
+def reference(marks_as_text=False):
     t = Tokenizer.from_file(packing.VOCABULARY)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = marks_as_text
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -24,6 +24,42 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(packing.coder().encode(text), "<u4").tolist() == want(text)
 
 
+def test_marks_are_special_unless_asked_otherwise():
+    for text in ("a <|endoftext|> b", "a<|endoftext|>b <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext |>"):
+        assert np.frombuffer(packing.Coder().encode(text), "<u4").tolist() == reference()(text)
+        assert np.frombuffer(packing.Coder(marks_as_text=True).encode(text), "<u4").tolist() == reference(True)(text)
+
+
+def brute_packs(lengths, room):
+    """Every piece on its own, longest first, into a pack with the most room left."""
+    left = []
+    for length in sorted(lengths, reverse=True):
+        most = max(left, default=-1)
+        if most < length:
+            left.append(room - length)
+        else:
+            left[left.index(most)] = most - length
+    return Counter(left)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=150))
+def test_patterns_equal_one_by_one(lengths):
+    packed = packing.patterns(Counter(lengths), 32)
+    got = Counter()
+    for made, count in packed:
+        got[32 - sum(length * times for length, times in made)] += count
+    assert got == brute_packs(lengths, 32)
+
+
+def test_columns_of_any_name_go_along(spark):
+    names = ["first", "end", "sequence", "sequences", "at", "rank", "offsets"]
+    rows = [(i, 0, 5 + i % 3, i, 5 + i % 3, *[f"{n}{i}" for n in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, " + ", ".join(f"`{n}` string" for n in names if n != "rank").replace("sequence` string", "sequence` string") + ", `rank_` string")
+    out = packing.pack(df, 16)
+    assert out.columns == [*df.columns, "sequence_id", "offset"] and out.count() == 40
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=20))
 def test_patterns_place_everything_once(histogram):
