@@ -156,10 +156,11 @@ def oracle(rules: list[Rule] = RULES, rounds: int = 10, damping: float = 0.85, l
         FROM keyed WHERE host <> '') WHERE kind IS NOT NULL GROUP BY ALL),
     s0 AS (SELECT host, kind, n / sum(n) OVER (PARTITION BY kind) AS score FROM seeds),{steps}
     last AS (SELECT * FROM s{rounds} WHERE EXISTS (FROM shares) UNION ALL SELECT * FROM s0 WHERE NOT EXISTS (FROM shares)),
-    scores AS (SELECT host, round(coalesce(sum(score) FILTER (kind = 'trusted'), 0), 12) AS trust,
-        round(coalesce(sum(score) FILTER (kind = 'blocked'), 0), 12) AS distrust FROM last GROUP BY host)
-    SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) >= {least}
-        AND coalesce(distrust, 0) > {margin} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+    hosts AS (SELECT greatest(count(*), 1) AS hosts FROM seeds WHERE kind = 'blocked'),
+    sums AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trusted'), 0) AS t, coalesce(sum(score) FILTER (kind = 'blocked'), 0) AS d FROM last GROUP BY host),
+    scores AS (SELECT host, round(t, 12) AS trust, round(d, 12) AS distrust,
+        round(d * hosts, 12) >= {least} AND round(d * hosts, 12) > {margin} * round(t * hosts, 12) AS suspect FROM sums, hosts)
+    SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN suspect THEN 'block' ELSE 'allow' END) AS verdict,
         coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM keyed LEFT JOIN scores USING (host)"""
 
 

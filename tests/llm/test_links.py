@@ -73,8 +73,8 @@ def brute(rows):
         return score
     trust, distrust = walk(seeds["allow"], edges), walk(seeds["block"], {(b, a): n for (a, b), n in edges.items()})
     for page, host, path, rule in judged:
-        d = distrust.get(host, 0)
-        yield page, host, path, rule.text if rule else None, rule.verdict if rule else "block" if d >= 1e-9 and d > trust.get(host, 0) else "allow"
+        d = distrust.get(host, 0) * max(1, len(seeds["block"]))  # in shares of a blocked host's mean score
+        yield page, host, path, rule.text if rule else None, rule.verdict if rule else "block" if d >= 1e-9 and d > trust.get(host, 0) * max(1, len(seeds["block"])) else "allow"
 
 
 def test_equals_brute_force(spark):
