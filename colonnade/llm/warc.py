@@ -18,7 +18,7 @@ from colonnade.session import new_path, stage
 MAGIC, CHUNK = b"\x1f\x8b\x08", 1 << 16
 SPLIT = 8 << 20  # bytes of an archive that one task owns
 LEAST_REVISIT = 1000  # bytes of a payload from which copies are revisit records
-RECORDS = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, record_id string, refers_to_id string, damaged boolean"
 
 
 def _files(path: str):
@@ -137,21 +137,46 @@ class Window:
         return (b"".join(out), end) if follows in (b"", MAGIC) else None
 
 
+def _digest(value: str) -> str | None:
+    """Hex of a SHA-1 written as sha1:BASE32 or sha1:hex; None for other algorithms and malformed ones."""
+    kind, _, text = value.strip().partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return (bytes.fromhex(text) if len(text) == 40 else base64.b32decode(text.upper())).hex()
+    except ValueError:
+        return None
+
+
+def _page(name: str) -> str | None:
+    """Page number of an id that `record` wrote."""
+    number = name.removeprefix("<urn:page:").removesuffix(">")
+    return number if name.startswith("<urn:page:") and number.lstrip("-").isdigit() else None
+
+
 def parse(data: bytes) -> tuple | None:
-    """A record's row of RECORDS, or None if its header is no WARC header of a page's response or revisit."""
+    """A record's row of RECORDS, or None if it is no response or revisit, or its header cannot be read.
+
+    Records of other writers keep their ids as text and have no page_id; digest and size that a header lacks are those of the payload (null for
+    revisits, which have none). A response whose payload is cut short or differs from its SHA-1 is `damaged`."""
     head, split, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, found, v in (line.partition(":") for line in lines[1:]) if found}
-    if not split or not lines[0].startswith("WARC/") or fields.get("warc-type") not in ("response", "revisit"):
+    kind, length = fields.get("warc-type", "").lower(), fields.get("content-length", "")
+    if not split or not lines[0].startswith("WARC/") or kind not in ("response", "revisit") or not (length.isascii() and length.isdigit()):
         return None
-    block = rest[:int(fields["content-length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    name = lambda field: fields.get(field, "").removeprefix("<urn:page:").removesuffix(">") or None
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    size, revisit = int(fields["x-payload-length"]), fields["warc-type"] == "revisit"
-    if not revisit and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
-        raise ValueError(f"payload of record {fields.get('warc-record-id')} is damaged")
-    return name("warc-record-id"), fields["warc-type"], name("warc-refers-to"), fields.get("warc-target-uri"), size, digest, None if revisit else payload
+    block = rest[:int(length)]
+    payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+    written, size = _digest(fields.get("warc-payload-digest", "")), fields.get("x-payload-length", "")
+    size = int(size) if size.isascii() and size.isdigit() else None
+    if kind == "revisit":
+        damaged, own, payload = len(block) < int(length), written, None
+    else:
+        own = hashlib.sha1(payload).hexdigest()
+        damaged = len(block) < int(length) or written not in (None, own) or size not in (None, len(payload))
+        size = len(payload)
+    names = [fields.get(f, "") for f in ("warc-record-id", "warc-refers-to")]
+    return _page(names[0]), kind, _page(names[1]), fields.get("warc-target-uri"), size, own, payload, names[0] or None, names[1] or None, damaged
 
 
 def records_in(source, start: int, end: int) -> Iterator[tuple]:
@@ -169,8 +194,8 @@ def records_in(source, start: int, end: int) -> Iterator[tuple]:
 
 
 def read(archives: DataFrame, split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """Records of the files of a table (file, bytes): page_id, record_type, refers_to, url, payload_bytes, payload_digest and payload (null for
-    revisits). Files are cut into ranges of `split` bytes, so one large archive is read by many tasks. A range
+    """Records of the files of a table (file, bytes): page_id, record_type, refers_to, url, payload_bytes, payload_digest, payload (null for
+    revisits), the ids as they are written, and whether the record is damaged. Records of other kinds, and members that are no readable record, are left out. Files are cut into ranges of `split` bytes, so one large archive is read by many tasks. A range
     owns the records that start in it and finds the first by the gzip magic; a task holds one record at a time."""
     ranges = archives.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("start"))
     tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1  # one number
@@ -183,8 +208,8 @@ def read(archives: DataFrame, split: int = SPLIT, payloads: bool = True) -> Data
                 with files.open_input_file(place) as source:
                     out, size = [], 0
                     for row in records_in(source, int(start), int(start) + split):
-                        out.append(row if payloads else row[:-1] + (None,))
-                        size += row[4] if payloads else 100
+                        out.append(row if payloads else (*row[:6], None, *row[7:]))
+                        size += len(row[6] or b"") + 100 if payloads else 100
                         if size > 4 << 20:
                             yield pd.DataFrame(out, columns=columns)
                             out, size = [], 0

@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import io
 import random
@@ -51,3 +53,35 @@ def test_operator(spark):
         assert bytes(texts[3]).decode() == long and bytes(texts[6]) == b"" and next(r["url"] for r in got if r["page_id"] == 3) == "http://b/%0A"
     empty = warc.write(pages.limit(0), new_path(spark, "warc"))
     assert warc.read(empty).collect() == []
+
+
+def foreign(version, fields, block, ends=b"\r\n\r\n"):
+    head = f"{version}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
+    return gzip.compress(head.encode() + block + ends)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body = b"<html>hello</html>"
+    sha = hashlib.sha1(body)
+    plain = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://x/")]
+    length = ("Content-Length", len(http + body))
+    members = [
+        foreign("WARC/1.0", [("WARC-Type", "warcinfo"), ("Content-Length", 4)], b"a: b"),
+        foreign("WARC/1.0", [*plain, length], http + body),
+        foreign("WARC/1.0", [("Warc-Type", "Response"), ("WARC-Record-ID", "<urn:uuid:2>"), ("warc-payload-digest", "sha1:" + sha.hexdigest()), length], http + body),
+        foreign("WARC/1.1", [*plain, ("WARC-Payload-Digest", "sha1:" + base64.b32encode(hashlib.sha1(b"other").digest()).decode()), length], http + body),
+        foreign("WARC/1.1", [*plain, ("WARC-Payload-Digest", "md5:xyz"), ("Content-Length", 10**6)], http + body, b""),
+        foreign("WARC/1.0", [("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:3>"), ("WARC-Refers-To", "<urn:uuid:1>"), ("Content-Length", len(http))], http),
+        foreign("WARC/1.0", [("WARC-Type", "response"), ("Content-Length", "many")], http + body),
+        foreign("WARC/1.0", [("WARC-Type", "request"), ("Content-Length", 3)], b"GET"),
+        warc.record(7, "u", body, None, sha.hexdigest())]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(members))
+    archives = spark.createDataFrame([(str(tmp_path / "x.warc.gz"), sum(map(len, members)))], "file string, bytes long")
+    for split in (warc.SPLIT, 100):
+        got = {(r["record_id"], r["page_id"], r["record_type"], r["refers_to_id"], r["payload_bytes"], r["payload_digest"], r["damaged"]) for r in warc.read(archives, split).collect()}
+        digest = sha.hexdigest()
+        assert got == {("<urn:uuid:1>", None, "response", None, 18, digest, False), ("<urn:uuid:2>", None, "response", None, 18, digest, False),
+                       ("<urn:uuid:1>", None, "response", None, 18, digest, True), ("<urn:uuid:3>", None, "revisit", "<urn:uuid:1>", None, None, False),
+                       ("<urn:page:7>", 7, "response", None, 18, digest, False)}
+        assert warc.read(archives, split).where("damaged").count() == 2
