@@ -132,6 +132,60 @@ def column_relation(contained: DataFrame, unique_from: float = UNIQUE_FROM) -> D
         .when(F.col("relation_type") == "attribute_synonym", "bidirectional").when(F.col("relation_type").isNotNull(), "undirected")})
 
 
+def is_hierarchy(df: DataFrame, child: str, parent: str) -> bool:
+    """Whether following `child` to the row whose `parent` it names always ends: no row is its own ancestor. The parent column is unique.
+
+    Each round doubles the distance by one join, so a chain of n rows takes log2(n) rounds; rows whose chain has ended leave. Rows that are left
+    when all chains would have ended run in a circle. Every round is a written table; the driver sees counts."""
+    pairs = df.select(stats.quoted(parent).alias("node"), stats.quoted(child).alias("up")).filter("node IS NOT NULL AND up IS NOT NULL").distinct()
+    now, rounds = stage(pairs, "ancestors"), 0
+    left = total = now.count()
+    while left and 1 << rounds <= total:
+        ahead = now.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        now = stage(now.join(ahead, "up").select("node", F.col("next").alias("up")), "ancestors")
+        left, rounds = now.count(), rounds + 1
+    return not left
+
+
+def derived_columns(detail: DataFrame, detail_key: str, master: DataFrame, master_key: str, tolerance: float = 0.01) -> DataFrame:
+    """(detail_column, master_column, compared, equal_rows, share) for all numeric columns of both: in how many master rows the value is the sum of the
+    detail values under the same key. Details are summed per key with partial sums before the one join, and one aggregate counts all pairs."""
+    def numbers(df: DataFrame, key: str) -> list[str]:
+        return [c for c, kind in stats.kinds_of(df).items() if kind in ("integral", "fractional") and c != key]
+    details, masters = numbers(detail, detail_key), numbers(master, master_key)
+    pairs = [(i, j) for i in range(len(details)) for j in range(len(masters))]
+    if not pairs:
+        return detail.sparkSession.createDataFrame([], "detail_column string, master_column string, compared bigint, equal_rows bigint, share double")
+    sums = detail.groupBy(stats.quoted(detail_key).alias("_k")).agg(*[F.sum(stats.quoted(c).cast("double")).alias(f"s{i}") for i, c in enumerate(details)])
+    rows = master.select(stats.quoted(master_key).alias("_k"), *[stats.quoted(c).cast("double").alias(f"v{j}") for j, c in enumerate(masters)]).join(sums, "_k")
+    both = {(i, j): F.col(f"v{j}").isNotNull() & F.col(f"s{i}").isNotNull() for i, j in pairs}
+    counts = rows.agg(*[c for i, j in pairs for c in (F.count_if(both[i, j]).alias(f"n{i}_{j}"), F.count_if(F.abs(F.col(f"v{j}") - F.col(f"s{i}")) <= tolerance).alias(f"e{i}_{j}"))])
+    out = counts.select(F.inline(F.array(*[F.struct(F.lit(details[i]).alias("detail_column"), F.lit(masters[j]).alias("master_column"), F.col(f"n{i}_{j}").alias("compared"),
+                                                     F.col(f"e{i}_{j}").alias("equal_rows")) for i, j in pairs])))
+    return out.withColumn("share", F.coalesce(F.col("equal_rows") / F.nullif(F.col("compared"), F.lit(0)), F.lit(0.0)))
+
+
+def table_relations(tables: dict[str, DataFrame], unique_from: float = UNIQUE_FROM, least_share: float = 0.99) -> DataFrame:
+    """(child_table, child_column, parent_table, parent_column, relation_type, direction) of a set of tables: foreign keys and synonyms between tables,
+    hierarchical links inside a table (contained, unique parent, no circle), and derived values: master columns that hold the sums
+    of a detail column along a foreign key. Candidates come from `contained`; the driver gets one row per foreign key or self-reference."""
+    values = stage(catalog_values(tables), "values")
+    keys = stage(column_keys(values), "keys")
+    found = stage(column_relation(contained(values, keys, same_table=True), unique_from), "relations")
+    columns = [*SIDES, "relation_type", "direction"]
+    out = found.filter("has_relationship AND child_table <> parent_table").select(*columns)
+    extra = []
+    for r in found.filter("relation_type = 'hierarchical_link'").collect():
+        if is_hierarchy(tables[r["child_table"]], r["child_column"], r["parent_column"]):
+            extra.append(tuple(r[c] for c in columns))
+    for r in found.filter("relation_type = 'foreign_key'").collect():
+        derived = derived_columns(tables[r["child_table"]], r["child_column"], tables[r["parent_table"]], r["parent_column"])
+        extra += [(r["child_table"], d["detail_column"], r["parent_table"], d["master_column"], "derived_value", "child_to_parent")
+                  for d in derived.filter((F.col("share") >= least_share) & (F.col("compared") > 0)).collect()]
+    spark = values.sparkSession
+    return out.unionByName(spark.createDataFrame(extra, out.schema)).distinct()
+
+
 def derived_value(detail: DataFrame, detail_key: str, detail_value: str, master: DataFrame, master_key: str,
                   master_value: str, tolerance: float = 0.01) -> DataFrame:
     """Share of master rows whose value is the sum of the detail values under the same key.

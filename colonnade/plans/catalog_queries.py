@@ -163,6 +163,29 @@ def derived_value(t: Tables) -> DataFrame:
     return containment.derived_value(words, "doc_id", "len", t.documents, "doc_id", "n_chars")
 
 
+DETAILS, TOTALS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["lines", "quantity", "top_price"]
+TOTAL = "(SELECT l_orderkey AS k, count(*) AS lines, sum(l_quantity) AS quantity, max(l_extendedprice) AS top_price FROM lineitem GROUP BY l_orderkey)"
+
+
+@query("derived_columns", " UNION ALL ".join(f"""SELECT '{d}' AS detail_column, '{m}' AS master_column, count(*) AS compared, count(*) FILTER (abs({m} - s) <= 0.01) AS equal_rows,
+    round(count(*) FILTER (abs({m} - s) <= 0.01) / count(*), 6) AS share FROM {TOTAL} JOIN (SELECT l_orderkey AS k, sum({d}::DOUBLE) AS s FROM lineitem GROUP BY l_orderkey) USING (k)"""
+                                            for d in DETAILS for m in TOTALS))
+def derived_columns(t: Tables) -> DataFrame:
+    """All numeric columns of the lines against totals of the orders, one of which is the sum of a column."""
+    totals = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("top_price"))
+    return containment.derived_columns(t.lineitem, "l_orderkey", totals, "k").withColumn("share", F.round("share", 6))
+
+
+@query("table_relations", """SELECT * FROM (VALUES ('staff', 'boss', 'staff', 'id', 'hierarchical_link', 'parent_to_child'), ('bonus', 'staff_id', 'staff', 'id', 'foreign_key', 'parent_to_child'),
+    ('bonus', 'amount', 'staff', 'total', 'derived_value', 'child_to_parent'), ('staff', 'id', 'bonus', 'staff_id', 'attribute_synonym', 'bidirectional'),
+    ('staff', 'boss', 'bonus', 'staff_id', 'shared_attribute', 'undirected'), ('staff', 'circle', 'bonus', 'staff_id', 'shared_attribute', 'undirected')) v(child_table, child_column, parent_table, parent_column, relation_type, direction) WHERE (SELECT count(*) FROM supplier) > 4""")
+def table_relations(t: Tables) -> DataFrame:
+    """Suppliers as staff with a boss each and bonuses whose sums they carry; a second pointer that runs in circles is no hierarchy."""
+    staff = t.supplier.selectExpr("s_suppkey AS id", "IF(s_suppkey > 1, s_suppkey div 2, NULL) AS boss", "s_suppkey % 2 + 1 AS circle", "s_suppkey * 3 + 1000003 AS total")
+    bonus = staff.selectExpr("id AS staff_id", "explode(array(id * 2 + 1000000, id + 3)) AS amount")
+    return containment.table_relations({"staff": staff, "bonus": bonus})
+
+
 # ---- classification ---------------------------------------------------------------------------------
 
 def patterns(t: Tables) -> DataFrame:

@@ -414,3 +414,19 @@ def test_equal_classes_keep_the_answers_confidence(spark):
     rules = spark.createDataFrame([("t", "c", "entity", 1.0, 0.5), ("t", "d", "property", 0.6, 0.5)], "table string, column_name string, classification string, confidence double, uniqueness_ratio double")
     got = {r["column_name"]: (r["classification"], r["confidence"], r["was_conflict"]) for r in classify.reconcile(head, answered, rules).collect()}
     assert got == {"c": ("entity", 0.7, False), "d": ("entity", 0.7, True)}
+
+
+def test_hierarchies_and_circles(spark):
+    chain = spark.range(1, 40).selectExpr("id", "if(id > 1, id - 1, null) AS up", "id % 39 + 1 AS ring", "id AS own")
+    assert containment.is_hierarchy(chain, "up", "id") and not containment.is_hierarchy(chain, "ring", "id") and not containment.is_hierarchy(chain, "own", "id")
+    assert containment.is_hierarchy(chain.limit(0), "up", "id")
+    tail = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3), (5, 4)], "id long, up long")
+    assert not containment.is_hierarchy(tail, "up", "id")
+
+
+def test_derived_columns_of_all_pairs(spark):
+    detail = spark.createDataFrame([(1, 2.0, 1), (1, 3.0, None), (2, None, 7), (3, 1.0, 1)], "k int, a double, b int")
+    master = spark.createDataFrame([(1, 5.0, 1), (2, 4.0, 7), (9, 0.0, 0)], "id int, x double, y int")
+    got = {(r["detail_column"], r["master_column"]): (r["compared"], r["equal_rows"]) for r in containment.derived_columns(detail, "k", master, "id").collect()}
+    assert got == {("a", "x"): (1, 1), ("a", "y"): (1, 0), ("b", "x"): (2, 0), ("b", "y"): (2, 2)}
+    assert containment.derived_columns(detail.select("k"), "k", master, "id").count() == 0
