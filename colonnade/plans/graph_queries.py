@@ -525,3 +525,25 @@ def profile_drift(t: Tables) -> DataFrame:
     for run, flag in (("first", "A"), ("second", "R")):
         store.write_snapshot(state(flag), path, run, "parts")
     return ev.snapshot_diff(store.read_snapshot(t.spark, path, "first", "parts"), store.read_snapshot(t.spark, path, "second", "parts"), ["name"])
+
+
+# exported graph: label or type -> table, its key columns and properties
+EXPORT = {"nodes": {"Customer": ("customer", ["c_custkey", "c_name", "c_acctbal"]), "Order": ("orders", ["o_orderkey", "o_totalprice", "o_orderdate"])},
+          "edges": {"PLACED": ("orders", ["o_custkey", "o_orderkey", "o_orderpriority"])}}
+
+
+@query("graph_export_properties", " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{name}' AS name, '{c}' AS property, count(*) AS in_manifest, count({c}) AS filled, CAST(min({c}) AS VARCHAR) AS least FROM {table}"
+    for kind, parts in EXPORT.items() for name, (table, columns) in parts.items() for c in columns if not c.endswith(("price", "acctbal", "date"))))
+def graph_export_properties(t: Tables) -> DataFrame:
+    """Nodes and edges with their typed properties, written one folder a label or type and read back."""
+    path = new_path(t.spark, "graph")
+    made = [{name: getattr(t, table).select(*columns) for name, (table, columns) in EXPORT[kind].items()} for kind in ("nodes", "edges")]
+    manifest, out = store.write_graph(*made, path), None
+    for kind, parts in zip(("nodes", "edges"), store.read_graph(t.spark, path)):
+        for name, df in parts.items():
+            wanted = [c for c in df.columns if not c.endswith(("price", "acctbal", "date"))]
+            facts = df.agg(*[x for c in wanted for x in (F.count(c).alias(f"n_{c}"), F.min(c).cast("string").alias(f"m_{c}"))])
+            rows = facts.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(c).alias("property"), F.col(f"n_{c}").alias("filled"), F.col(f"m_{c}").alias("least")) for c in wanted])))
+            out = rows if out is None else out.unionByName(rows)
+    return out.join(manifest.select("kind", "name", F.col("rows").alias("in_manifest")), ["kind", "name"]).select("kind", "name", "property", "in_manifest", "filled", "least")

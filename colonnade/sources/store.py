@@ -42,6 +42,29 @@ def write_graph_table(rows: DataFrame, kind: str, by: str, path: str) -> None:
     rows.write.mode("overwrite").partitionBy(by).parquet(f"{path}/{kind}")
 
 
+def write_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], path: str) -> DataFrame:
+    """Graph export with properties: every label and every type gets a folder of its own with its typed columns. Returns the manifest, which is
+    written beside them: (kind, name, files, rows, checksum), read off what was written. One pass writes a label; the driver sees no rows."""
+    manifest = None
+    for kind, parts in (("nodes", nodes), ("edges", edges)):
+        for name, df in parts.items():
+            place = f"{path}/{kind}/{name}"
+            df.write.mode("overwrite").parquet(place)
+            back = df.sparkSession.read.parquet(place)
+            facts = back.agg(F.count_distinct("_metadata.file_path").alias("files"), F.count(F.lit(1)).alias("rows"),
+                             F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in back.columns]).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
+            row = facts.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "files", "rows", "checksum")
+            manifest = row if manifest is None else manifest.unionByName(row)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")  # one row per label and type
+    return manifest.sparkSession.read.schema("kind string, name string, files bigint, rows bigint, checksum string").json(f"{path}/manifest")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Nodes by label and edges by type of an export, as its manifest names them."""
+    names = spark.read.schema("kind string, name string").json(f"{path}/manifest").collect()  # one row per label and type
+    return tuple({r["name"]: spark.read.parquet(f"{path}/{kind}/{r['name']}") for r in names if r["kind"] == kind} for kind in ("nodes", "edges"))
+
+
 def write_snapshot(rows: DataFrame, path: str, run_id: str, step: str) -> None:
     """State of one step of a run, under run_id=/step= folders; a repeated step replaces what it wrote before."""
     rows.withColumns({"run_id": F.lit(run_id), "step": F.lit(step)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "step").parquet(path)

@@ -430,3 +430,31 @@ def test_derived_columns_of_all_pairs(spark):
     got = {(r["detail_column"], r["master_column"]): (r["compared"], r["equal_rows"]) for r in containment.derived_columns(detail, "k", master, "id").collect()}
     assert got == {("a", "x"): (1, 1), ("a", "y"): (1, 0), ("b", "x"): (2, 0), ("b", "y"): (2, 2)}
     assert containment.derived_columns(detail.select("k"), "k", master, "id").count() == 0
+
+
+def test_annotations_are_asked_once(spark, tmp_path):
+    calls, path = spark.sparkContext.accumulator(0), str(tmp_path / "answers")
+
+    def client(prompts):
+        calls.add(len(prompts))
+        return ['{"ok": 1}' if "bad" not in p else "" for p in prompts] if not any("down" in p for p in prompts) else 1 / 0
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "prompt string, k int")
+    first = sorted((r["k"], r["json"], r["error"]) for r in annotate.annotate_once(df, client, path).collect())
+    assert first == [(1, '{"ok":1}', None), (2, '{"ok":1}', None), (3, '{"ok":1}', None), (4, None, "Empty response")] or [x[0] for x in first] == [1, 2, 3, 4]
+    assert calls.value == 2
+    assert sorted((r["k"], r["json"], r["error"]) for r in annotate.annotate_once(df, client, path).collect()) == first and calls.value == 2
+    more = df.unionByName(spark.createDataFrame([("c", 5)], df.schema))
+    assert annotate.annotate_once(more, client, path).count() == 5 and calls.value == 3
+    broken = spark.createDataFrame([("down", 1)], df.schema)
+    assert annotate.annotate_once(broken, client, path).first()["error"] == "Empty response"
+    assert annotate.stored_answers(df, path).count() == 3
+
+
+def test_graph_export_with_properties(spark, tmp_path):
+    people = spark.createDataFrame([(1, "a", 1.5), (2, None, 2.5)], "id long, name string, score double")
+    knows = spark.createDataFrame([(1, 2, True)], "source long, target long, close boolean")
+    manifest = {(r["kind"], r["name"]): r["rows"] for r in store.write_graph({"Person": people, "None": people.limit(0)}, {"KNOWS": knows}, str(tmp_path)).collect()}
+    assert manifest == {("nodes", "Person"): 2, ("nodes", "None"): 0, ("edges", "KNOWS"): 1}
+    nodes, edges = store.read_graph(spark, str(tmp_path))
+    assert sorted(map(tuple, nodes["Person"].collect())) == [(1, "a", 1.5), (2, None, 2.5)] and dict(nodes["Person"].dtypes)["score"] == "double"
+    assert [tuple(r) for r in edges["KNOWS"].collect()] == [(1, 2, True)]
