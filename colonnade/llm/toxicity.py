@@ -50,7 +50,7 @@ def features(word: bytes, rows: int) -> tuple[int, int, int, int]:
 class KnownWords:
     """Features of the words that a worker has met, dropped when there are too many."""
 
-    def __init__(self, rows: int, most: int = 400_000):
+    def __init__(self, rows: int, most: int = 150_000):
         self.rows, self.most, self.place, self.table = rows, most, {}, np.empty((most, 4), np.int32)
 
     def rows_of(self, words: list[bytes]) -> np.ndarray:
