@@ -29,6 +29,12 @@ def _parsed(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[\[{]"), text)
 
 
+def unescaped(text: Column) -> Column:
+    """Text whose quotes and line breaks are escaped, as inside a JSON string; NULL when it is no such text."""
+    wrapped = F.concat(F.lit('{"v":"'), text, F.lit('"}'))
+    return F.from_json(wrapped, "v string", {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"})["v"]
+
+
 def close_brackets(text: Column) -> Column:
     """Appends the closing brackets that are missing by count."""
     def missing(opening: str, closing: str) -> Column:
@@ -39,7 +45,7 @@ def close_brackets(text: Column) -> Column:
 
 
 def answer_json(answer: Column) -> Column:
-    """JSON text out of a free answer: widest bracketed part, the largest fragment that parses, or the
+    """JSON text out of a free answer: widest bracketed part, the answer without escapes, the largest fragment that parses, or the
     answer with its missing brackets added; NULL when nothing parses."""
     body = clean_answer(answer)
     widest = F.regexp_extract(body, r"(\{[\s\S]*\}|\[[\s\S]*\])", 1)
@@ -47,7 +53,7 @@ def answer_json(answer: Column) -> Column:
     good = F.filter(pieces, lambda p: F.try_parse_json(p).isNotNull())
     largest = F.sort_array(F.transform(good, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))), asc=False)
     start = F.regexp_extract(body, r"([\[{][\s\S]*)", 1)
-    return F.coalesce(_parsed(widest), F.when(F.size(good) > 0, largest[0]["p"]), _parsed(close_brackets(start)))
+    return F.coalesce(_parsed(widest), _parsed(unescaped(body)), F.when(F.size(good) > 0, largest[0]["p"]), _parsed(close_brackets(start)))
 
 
 def parse_answers(df: DataFrame, column: str) -> DataFrame:

@@ -37,6 +37,20 @@ def split_samples(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, ","), lambda part: F.trim(part)), lambda s: s != "")
 
 
+def write_samples(samples: DataFrame, path: str) -> None:
+    """(dataset, table, column_name, sampled_values): one text per column, under dataset=/table=/column_name= folders, without analytics."""
+    names = ["dataset", "table", "column_name"]
+    lines = samples.select(*names, F.regexp_replace(join_samples(F.col("sampled_values")), "[\r\n]+", " ").alias("value"))
+    lines.write.mode("overwrite").partitionBy(*names).text(path)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, table, column_name, sampled_values) of written samples; names are texts whatever they look like."""
+    shape = "value string, dataset string, table string, column_name string"
+    rows = spark.read.schema(shape).text(path)
+    return rows.select("dataset", "table", "column_name", split_samples(F.col("value")).alias("sampled_values"))
+
+
 def write_graph_table(rows: DataFrame, kind: str, by: str, path: str) -> None:
     """Nodes (by label) or edges (by type), one folder per label or type, for bulk import."""
     rows.write.mode("overwrite").partitionBy(by).parquet(f"{path}/{kind}")

@@ -31,7 +31,7 @@ def test_other_names(spark):
 
 @pytest.mark.parametrize("answer,want", [
     ('```json\n{"a": 1}\n```', {"a": 1}), ('Here: {"a": [1, 2]} done', {"a": [1, 2]}), ('"{"a": 1}"', {"a": 1}), ('{"a": [1, 2', {"a": [1, 2]}),
-    ("no json", None), ("", None), ('{bad} and {"ok": true}', {"ok": True}),
+    ("no json", None), ("", None), ('{\\"a\\": \\"x\\\\ny\\"}', {"a": "x\ny"}), ('{\\"a\\": \\"\\u00e9\\"}', {"a": "é"}), ('{bad} and {"ok": true}', {"ok": True}),
 ])
 def test_answers(spark, answer, want):
     r = render.parse_answers(spark.createDataFrame([(answer,)], "answer string"), "answer").first()
@@ -458,3 +458,10 @@ def test_graph_export_with_properties(spark, tmp_path):
     nodes, edges = store.read_graph(spark, str(tmp_path))
     assert sorted(map(tuple, nodes["Person"].collect())) == [(1, "a", 1.5), (2, None, 2.5)] and dict(nodes["Person"].dtypes)["score"] == "double"
     assert [tuple(r) for r in edges["KNOWS"].collect()] == [(1, 2, True)]
+
+
+def test_samples_are_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([("d", "t", "01", ["a", "b c"]), ("d", "t", "x", []), ("d", "u", "x", ["line\nbreak"])], "dataset string, table string, column_name string, sampled_values array<string>")
+    store.write_samples(df, str(tmp_path / "s"))
+    got = {tuple(r)[:3]: r["sampled_values"] for r in store.read_samples(spark, str(tmp_path / "s")).collect()}
+    assert got == {("d", "t", "01"): ["a", "b c"], ("d", "t", "x"): [], ("d", "u", "x"): ["line break"]}
