@@ -19,7 +19,7 @@ from colonnade.session import stage
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1  # id after every document
 ROOM = 2048
-KEPT_WORDS = 300_000  # words, and parts of words, whose ids a worker keeps; all are dropped when there are more
+KEPT_WORDS = 450_000  # words, and parts of words, whose ids a worker keeps; all are dropped when there are more
 # the pre-tokenizer's pattern, on lower-cased text (fixed values of the vocabulary file)
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
