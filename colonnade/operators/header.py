@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import language, names
 from colonnade.operators import stats
-from colonnade.session import stage
 
+# The language model: slots per language, multipliers of a trigram's code points, code points taken at once, count arrays per task, models in all.
+SLOTS, GRAM, PIECE, HELD, MODELS = 1 << 16, (7919, 104729, 1299709), 1 << 20, 64, 512
 # Words common in headers and the shape of a header item.
 COMMON_TERMS = ["id", "name", "date", "email", "price", "cost", "amount", "quantity", "address", "phone"]
 ITEM_SHAPE = r"^[A-Za-z_][A-Za-z0-9_\s\-]*$"
@@ -113,43 +118,87 @@ def guess_header(rows: DataFrame) -> DataFrame:
 
 # ---- language ---------------------------------------------------------------------------------------
 
-def trigrams(text: Column) -> Column:
-    """Overlapping character trigrams in one linear pass over the whole text."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), 1)
-
-
-def train_language_model(labelled: DataFrame, text: str, lang: str) -> DataFrame:
-    """(gram, logp): add-one smoothed trigram model; ``logp`` maps every language to a log probability."""
-    grams = stats.spread(labelled.select(lang, text)).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(counts, "gram_counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    by_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))  # one entry per language
-    size = counts.agg(F.count_distinct("gram").alias("vocabulary"))
-    langs = totals.join(F.broadcast(size)).agg(F.collect_list(F.struct("lang", "total", "vocabulary")).alias("langs"))  # one row
-    logp = F.map_from_entries(F.transform("langs", lambda x: F.struct(x["lang"], F.log(
-        (F.coalesce(F.try_element_at("by_lang", x["lang"]), F.lit(0)) + 1) / (x["total"] + x["vocabulary"])))))
-    return by_gram.join(F.broadcast(langs)).select("gram", logp.alias("logp"))
-
-
-def detect_language(df: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
-    """(key, detected, confidence): language of highest summed log probability; texts under three characters
+def _slots(text: str) -> Iterator[np.ndarray]:
+    """Slots of the overlapping character trigrams of a text, in pieces of bounded size."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    for first in range(0, max(len(points) - 2, 0), PIECE):
+        c = points[first:first + PIECE + 2].astype(np.int64)
+        yield (c[:-2] * GRAM[0] + c[1:-1] * GRAM[1] + c[2:] * GRAM[2]) % SLOTS
+
+
+def train_language_model(labelled: DataFrame, text: str, lang: str, fold: Column | None = None, folds: int = 1) -> DataFrame:
+    """(fold, lang, logp): an add-one smoothed model of hashed character trigrams. ``logp`` holds, for each of `SLOTS` slots, the natural logarithm
+    of the probability in millionths as a whole number, and 0 for slots that no language of the fold has.
+
+    With ``folds`` of two or more and ``fold`` in 0 .. folds - 1, the model of a fold is trained on the rows of all other folds, so that a text
+    can be labelled by a model that never saw it. Tasks count slots in arrays of fixed size; what is shuffled are at most `SLOTS` sums per task, language
+    and fold, whatever the length of the texts. Rows without text or language train nothing."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, str], np.ndarray] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for name in sorted({name for _, name in held}):
+                for to in range(folds):
+                    parts = [n for (f, x), n in held.items() if x == name and (folds == 1 or f != to)]
+                    if parts:
+                        total = np.sum(parts, axis=0)
+                        at = np.flatnonzero(total)
+                        yield pd.DataFrame({"fold": np.int32(to), "lang": name, "slot": at.astype(np.int32), "n": total[at]})
+            held.clear()
+        for b in batches:
+            for f, name, value in zip(b["fold"], b["lang"], b["text"]):
+                if (f, name) not in held and len(held) >= HELD:
+                    yield from out()
+                n = held.setdefault((f, name), np.zeros(SLOTS, np.int64))
+                for slots in _slots(value):
+                    n += np.bincount(slots, minlength=SLOTS)
+        yield from out()
+
+    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One fold: at most `SLOTS` rows per language."""
+        seen, names = pdf["slot"].unique(), sorted(pdf["lang"].unique())
+        rows = []
+        for name in names:
+            own = pdf[pdf["lang"] == name]
+            n = np.zeros(SLOTS, np.int64)
+            n[own["slot"]] = own["n"]
+            logp = np.zeros(SLOTS, np.int32)
+            logp[seen] = np.round(1e6 * np.log((n[seen] + 1) / (n.sum() + SLOTS)))
+            rows.append(logp)
+        return pd.DataFrame({"fold": np.int32(pdf["fold"].iloc[0]), "lang": names, "logp": rows})
+    rows = labelled.select((F.lit(0) if fold is None else fold).cast("int").alias("fold"), F.col(lang).cast("string").alias("lang"), F.lower(F.col(text)).alias("text"))
+    counts = rows.dropna().mapInPandas(count, "fold int, lang string, slot int, n long").groupBy("fold", "lang", "slot").agg(F.sum("n").alias("n"))
+    return counts.groupBy("fold").applyInPandas(dense, "fold int, lang string, logp array<int>")
+
+
+def detect_language(df: DataFrame, key: str, text: str, model: DataFrame, fold: Column | None = None) -> DataFrame:
+    """(key, detected, confidence): language of highest summed log probability, of equal ones the last by name; texts under three characters
     (and texts without a known trigram) count as English with 0.5.
 
-    Trigrams are counted per text first, so that one that is in every text costs a row per text; Spark joins the written model by its size.
-    """
-    model = stage(model, "language_model")
-    langs = sorted(r["lang"] for r in model.select(F.explode(F.map_keys("logp")).alias("lang")).distinct().collect())  # one row per language
-    grams = stats.spread(df.select(key, text)).select(key, F.explode(trigrams(F.col(text))).alias("gram"))
-    grams = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.col("n")
-    table = model.select("gram", *[F.col("logp")[x].alias(f"p{i}") for i, x in enumerate(langs)])
-    scored = grams.join(table, "gram").groupBy(key).agg(
-        *[F.round(F.sum(weight * F.col(f"p{i}")), 6).alias(f"s{i}") for i in range(len(langs))])
-    best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))["lang"]
-    rows = df.select(key, F.length(F.trim(F.col(text))).alias("_len")).join(scored.select(key, best.alias("detected")), key, "left")
-    known = (F.col("_len") >= 3) & F.col("detected").isNotNull()
-    return rows.select(key, F.when(known, F.col("detected")).otherwise("en").alias("detected"), F.when(known, 0.8).otherwise(0.5).alias("confidence"))
+    Nothing is shuffled: the model has a fixed size per fold and language and goes to the tasks, which score row by row. More than
+    `MODELS` of them are refused, since the column is then hardly one of languages."""
+    rows = model.limit(MODELS + 1).collect()
+    if len(rows) > MODELS:
+        raise ValueError(f"over {MODELS} languages and folds in the model")
+    by_fold = {}
+    for r in sorted(rows, key=lambda r: r["lang"], reverse=True):
+        by_fold.setdefault(r["fold"], []).append((r["lang"], np.array(r["logp"], np.int32)))
+    tables = {f: ([name for name, _ in own], np.stack([p for _, p in own])) for f, own in by_fold.items()}
+
+    @F.pandas_udf("string")
+    def best(texts: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for value, f in zip(texts, at):
+            names, table = tables.get(f, ([], None))
+            score, known = np.zeros(len(names), np.int64), False
+            for slots in _slots(value or "") if names else ():
+                part = table[:, slots].sum(axis=1, dtype=np.int64)
+                score, known = score + part, known or bool(table[:, slots].any())
+            out.append(names[int(score.argmax())] if known else None)
+        return pd.Series(out, dtype=object)
+    found = df.select(key, F.length(F.trim(F.col(text))).alias("_len"), best(F.lower(F.col(text)), (F.lit(0) if fold is None else fold).cast("int")).alias("_best"))
+    known = (F.col("_len") >= 3) & F.col("_best").isNotNull()
+    return found.select(key, F.when(known, F.col("_best")).otherwise("en").alias("detected"), F.when(known, 0.8).otherwise(0.5).alias("confidence"))
 
 
 def language_mismatches(df: DataFrame, text: str, detected: str, target: str) -> DataFrame:

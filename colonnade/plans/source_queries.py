@@ -277,19 +277,23 @@ def header_guess(t: Tables) -> DataFrame:
 
 # ---- language ---------------------------------------------------------------------------------------
 
-MODEL = """WITH g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM (SELECT *, string_split(lower(text), '') AS c FROM documents) WHERE len(c) >= 3),
-    d AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL),
-    tot AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang), v AS (SELECT count(DISTINCT gram) AS size FROM c),
-    m AS (SELECT x.gram, tot.lang, ln((coalesce(c.n, 0) + 1) / (total + size)) AS logp FROM (SELECT DISTINCT gram FROM c) x CROSS JOIN tot CROSS JOIN v LEFT JOIN c ON c.gram = x.gram AND c.lang = tot.lang),
-    best AS (SELECT doc_id, arg_max(lang, (score, lang)) AS detected FROM (SELECT doc_id, m.lang, round(sum(n * logp), 6) AS score FROM d JOIN m USING (gram) GROUP BY ALL) GROUP BY doc_id)"""
+# every text is labelled by a model of the other half of the texts
+MODEL = f"""WITH g AS (SELECT doc_id, lang, doc_id % 2 AS fold, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * {header.GRAM[0]} + c[i + 1] * {header.GRAM[1]} + c[i + 2] * {header.GRAM[2]}) % {header.SLOTS})) AS slot
+      FROM (SELECT *, list_transform(string_split(lower(text), ''), lambda x: CAST(ord(x) AS BIGINT)) AS c FROM documents) WHERE len(c) >= 3),
+    d AS (SELECT doc_id, fold, slot, count(*) AS n FROM g GROUP BY ALL), c AS (SELECT 1 - g.fold AS fold, lang, slot, count(*) AS n FROM g GROUP BY ALL),
+    tot AS (SELECT fold, lang, sum(n) AS total FROM c GROUP BY ALL), known AS (SELECT DISTINCT fold, slot FROM c),
+    m AS (SELECT known.fold, known.slot, tot.lang, CAST(round(1e6 * ln((coalesce(c.n, 0) + 1) / (total + {header.SLOTS}))) AS BIGINT) AS logp
+      FROM known JOIN tot USING (fold) LEFT JOIN c ON c.fold = known.fold AND c.slot = known.slot AND c.lang = tot.lang),
+    top AS (SELECT doc_id, arg_max(lang, (score, lang)) AS lang FROM (SELECT doc_id, m.lang, sum(n * logp) AS score FROM d JOIN m USING (fold, slot) GROUP BY ALL) GROUP BY doc_id),
+    best AS (SELECT doc_id, length(trim(text)) >= 3 AND top.lang IS NOT NULL AS sure, CASE WHEN sure THEN top.lang ELSE 'en' END AS detected FROM documents LEFT JOIN top USING (doc_id))"""
 
 
 def detected(t: Tables) -> DataFrame:
-    model = header.train_language_model(t.documents, "text", "lang")
-    return header.detect_language(t.documents, "doc_id", "text", model)
+    half = F.pmod(F.col("doc_id"), F.lit(2))
+    return header.detect_language(t.documents, "doc_id", "text", header.train_language_model(t.documents, "text", "lang", half, 2), half)
 
 
-@query("language_detect", MODEL + " SELECT doc_id, detected, 0.8::DOUBLE AS confidence FROM best")
+@query("language_detect", MODEL + " SELECT doc_id, detected, CASE WHEN sure THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM best")
 def language_detect(t: Tables) -> DataFrame:
     return detected(t)
 
