@@ -7,12 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.session import stage
+
 DIMENSIONS = 256
 # Vectors per block: a comparison task holds two blocks.
 BLOCK = 2000
+# Most vectors by whose distances blocks are told apart, the rows they are picked from (at least 64 for each), and rings of distances around each.
+PIVOTS, PIVOT_SAMPLE, RINGS = 64, 4096, 64
 THRESHOLD = 0.85
 
 
@@ -48,44 +52,85 @@ def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[fl
     return df.mapInPandas(run, schema)
 
 
-def similar_columns(vecs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """All pairs (table_a < table_b) of vectors with cosine at or above ``threshold``; exact.
-
-    Input columns: table, column, vec. Vectors are ordered by their distance to one pivot vector and cut into
-    blocks of bounded size; by the triangle inequality only blocks whose distance ranges lie within the
-    threshold's distance can hold a pair, and each such block pair is one bounded matrix product.
-    """
-    spark = vecs.sparkSession
+def _unit(vecs: DataFrame) -> DataFrame:
+    """(table, column, vec) scaled to length one; vectors without a length are left out."""
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    unit = vecs.filter(F.size("vec") > 0).withColumn("_len", length).filter("_len > 0").select(
+    return vecs.filter(F.size("vec") > 0).withColumn("_len", length).filter("_len > 0").select(
         F.col("table").cast("string").alias("table"), F.col("column").cast("string").alias("column"),
         F.transform("vec", lambda v: v.cast("double") / F.col("_len")).alias("vec"))
-    pivot = unit.agg(F.min_by("vec", F.struct("table", "column")).alias("p")).first()["p"]
-    if pivot is None:
-        return spark.createDataFrame([], "table_a string, column_a string, table_b string, column_b string, similarity double")
-    products = F.zip_with(F.col("vec"), F.array(*[F.lit(x) for x in pivot]), lambda a, b: a * b)
-    placed = unit.withColumn("away", F.sqrt(F.greatest(
-        2 - 2 * F.aggregate(products, F.lit(0.0), lambda s, v: s + v), F.lit(0.0))))
-    total = placed.count()
-    pieces = max(1, math.ceil(total / block))
-    cuts = sorted(set(placed.agg(F.percentile_approx(
-        "away", F.array(*[F.lit((i + 1) / pieces) for i in range(pieces)]), F.lit(10_000)).alias("c")).first()["c"]))
-    grid = F.array(*[F.lit(float(c)) for c in cuts])
-    ranged = placed.withColumn("piece", F.size(F.filter(grid, lambda c: c < F.col("away"))))
-    sizes = ranged.groupBy("piece").count()  # one row per block
-    split = ranged.join(F.broadcast(sizes), "piece").withColumn(
-        "part", F.pmod(F.xxhash64("table", "column"), F.ceil(F.col("count") / block)).cast("int")).drop("count")
-    bounds = split.groupBy("piece", "part").agg(F.min("away").alias("lo"), F.max("away").alias("hi")).withColumn(
-        "block", F.row_number().over(Window.orderBy("piece", "part")))  # one row per block
+
+
+def _pivots(unit: DataFrame, number: int) -> np.ndarray:
+    """Up to ``number`` vectors far from each other, out of the `PIVOT_SAMPLE` rows of smallest hash. Only the pruning depends on the choice."""
+    rows = unit.orderBy(F.xxhash64("table", "column"), "table", "column").limit(PIVOT_SAMPLE).select("vec").collect()
+    vectors = np.array([r["vec"] for r in rows], dtype=float)
+    if not len(vectors):
+        return vectors
+    chosen, nearest = [0], 2 - 2 * vectors @ vectors[0]
+    while len(chosen) < min(number, len(vectors) // 64) and nearest.max() > 1e-9:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, 2 - 2 * vectors @ vectors[chosen[-1]])
+    return vectors[chosen]
+
+
+def _blocks(unit: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
+    """Adds ``away``, the distances to all pivots, and ``block``: the nearest pivot, a ring of distances around it, and a part of the ring by hash where
+    it has more than ``block`` vectors."""
+    @F.pandas_udf("array<double>")
+    def away(vec: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.sqrt(np.maximum(2 - 2 * np.stack(vec.to_numpy()) @ pivots.T, 0.0))))
+    near = F.array_position("away", F.array_min("away")).cast("int")
+    placed = unit.withColumn("away", away("vec")).withColumn("cell", near).withColumn("own", F.array_min("away"))
+    cuts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.percentile_approx(
+        "own", F.array(*[F.lit((i + 1) / RINGS) for i in range(RINGS - 1)]), F.lit(1_000)).alias("cuts"))
+    step = F.ceil(F.lit(RINGS) / F.greatest(F.lit(1), F.least(F.lit(RINGS), F.ceil(F.col("members") / block))))
+    ring = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("own"))) / step).cast("int")
+    ringed = placed.join(F.broadcast(cuts), "cell").withColumn("ring", ring).drop("cuts", "members", "own")  # a row per pivot
+    sizes = ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("members"))
+    part = F.pmod(F.xxhash64("table", "column"), F.ceil(F.col("members") / block))
+    return ringed.join(F.broadcast(sizes), ["cell", "ring"]).select(  # at most `RINGS` rows per pivot
+        "table", "column", "vec", "away", F.concat_ws(".", "cell", "ring", part).alias("block"))
+
+
+def block_pairs(placed: DataFrame, pivots: int, threshold: float) -> DataFrame:
+    """(a, b) with a <= b: pairs of blocks that can hold vectors with a cosine of ``threshold``, by the bounds of all pivots.
+
+    Vectors that close are at most `reach` apart, so their distances to any pivot differ by no more. Blocks meet as rows with a common key: the squares
+    that their distances to the first two pivots cover, one side widened by the reach; the bounds of the other pivots then rule pairs out."""
     reach = math.sqrt(max(2 - 2 * threshold, 0.0)) + 1e-6
-    a, b = bounds.alias("a"), bounds.alias("b")
-    tasks = a.join(F.broadcast(b), (F.col("a.block") <= F.col("b.block")) & (F.col("b.lo") - F.col("a.hi") <= reach)
-                   & (F.col("a.lo") - F.col("b.hi") <= reach)).select(
-        F.concat_ws("-", "a.block", "b.block").alias("task"), F.array(
-            F.struct(F.col("a.piece").alias("piece"), F.col("a.part").alias("part"), F.lit(0).alias("side")),
-            F.struct(F.col("b.piece").alias("piece"), F.col("b.part").alias("part"), F.lit(1).alias("side"))).alias("s"))
-    sides = tasks.select("task", F.inline("s")).filter("side = 0 OR NOT task = concat(split(task, '-')[0], '-', split(task, '-')[0])")
-    work = split.join(F.broadcast(sides), ["piece", "part"]).select("task", "side", "table", "column", "vec")
+    width = max(reach, 0.05)
+    bounds = placed.groupBy("block").agg(
+        F.array(*[F.min(F.col("away")[i]) for i in range(pivots)]).alias("lo"), F.array(*[F.max(F.col("away")[i]) for i in range(pivots)]).alias("hi"))
+
+    def keyed(side: str, wider: float) -> DataFrame:
+        rows = bounds.select(F.col("block").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
+        for i in range(min(2, pivots)):
+            first, last = [F.floor((F.col(f"{end}_{side}")[i] + sign * wider) / width) for end, sign in (("lo", -1), ("hi", 1))]
+            rows = rows.withColumn(f"k{i}", F.explode(F.sequence(first, last)))
+        return rows
+    keys = [f"k{i}" for i in range(min(2, pivots))]
+    gaps = F.zip_with("lo_b", "hi_a", lambda lo, hi: lo - hi), F.zip_with("lo_a", "hi_b", lambda lo, hi: lo - hi)
+    met = keyed("a", reach).join(keyed("b", 0.0), keys).filter(F.col("a") <= F.col("b"))
+    return met.filter((F.array_max(gaps[0]) <= reach) & (F.array_max(gaps[1]) <= reach)).select("a", "b").distinct()
+
+
+def similar_columns(vecs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """All pairs (table_a < table_b) of vectors with cosine at or above ``threshold``; exact.
+
+    Input columns: table, column, vec (of one length). Vectors are put into blocks of bounded size around pivot vectors; only blocks whose distances to
+    all pivots allow a pair meet, and each such pair of blocks is one bounded matrix product. Vectors that are null, empty or zero take no part.
+    """
+    unit = _unit(vecs)
+    points = _pivots(unit, pivots)
+    if not len(points):
+        return vecs.sparkSession.createDataFrame([], "table_a string, column_a string, table_b string, column_b string, similarity double")
+    placed = stage(_blocks(unit, points, block), "placed_vectors")
+    tasks = block_pairs(placed, len(points), threshold).withColumn("task", F.concat_ws("-", "a", "b"))
+    sides = tasks.select("task", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(
+        tasks.filter("a < b").select("task", F.col("b").alias("block"), F.lit(1).alias("side")))
+    work = placed.select("table", "column", "vec", "block").join(sides, "block").select("task", "side", "table", "column", "vec")
     return work.groupBy("task").applyInPandas(
         lambda pdf: _block_pairs(pdf, threshold), "table_a string, column_a string, table_b string, column_b string, similarity double")
 

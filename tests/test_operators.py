@@ -260,6 +260,66 @@ def test_language(spark):
     assert {r["k"]: r["detected"] for r in header.detect_language(df, "k", "t", model).collect()} == want
 
 
+def test_language_of_unseen_texts(spark):
+    """Each half is labelled by a model of the other half; rows without text, language or known trigrams have a defined result."""
+    texts = [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house and the garden", "en"), ("la maison et le jardin", "fr"), ("x", "en"), (None, "fr"), ("the", None), ("\u6f22\u5b57\u6f22", "en")]
+    df = spark.createDataFrame([(2 * i + h, t, lang, h) for i, (t, lang) in enumerate(texts) for h in (0, 1)], "k int, t string, l string, half int")
+    model = header.train_language_model(df.where("k < 14"), "t", "l", F.col("half"), 2)
+    assert {(r["fold"], r["lang"]) for r in model.collect()} == {(h, x) for h in (0, 1) for x in ("en", "fr")}
+    got = {r["k"]: (r["detected"], r["confidence"]) for r in header.detect_language(df, "k", "t", model, F.col("half")).collect()}
+    want = [("en", 0.8), ("fr", 0.8), ("en", 0.8), ("fr", 0.8), ("en", 0.5), ("en", 0.5), ("en", 0.8), ("en", 0.5)]
+    assert got == {2 * i + h: w for i, w in enumerate(want) for h in (0, 1)}
+    # the model of a half ignores that half: with only its own rows there is none
+    assert header.train_language_model(df.where("half = 0"), "t", "l", F.col("half"), 2).select("fold").distinct().collect() == [(1,)]
+
+
+def test_language_pieces_and_plan(spark, monkeypatch):
+    """Long texts are taken in pieces without losing a trigram; neither training nor labelling shuffles trigrams of texts."""
+    import numpy as np
+
+    text = "abcdefghij" * 7
+    whole = np.sort(np.concatenate(list(header._slots(text))))
+    monkeypatch.setattr(header, "PIECE", 5)
+    assert (np.sort(np.concatenate(list(header._slots(text)))) == whole).all() and len(whole) == len(text) - 2
+    df = spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr")], "k int, t string, l string")
+    plan = header.detect_language(df, "k", "t", header.train_language_model(df, "t", "l"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("block", [7, 2000])
+def test_similar_columns_brute_force(spark, block):
+    """Clusters, equal vectors, and vectors that are null, empty or zero, against all pairs."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(6, 16))
+    vectors = [centers[i % 6] + rng.normal(size=16) * 0.25 for i in range(120)] + [centers[0], centers[0], centers[1] * 3]
+    rows = [(f"t{i % 4}", f"c{i}", [float(x) for x in v]) for i, v in enumerate(vectors)] + [("t9", "null", None), ("t9", "empty", []), ("t9", "zero", [0.0] * 16)]
+    df = spark.createDataFrame(rows, "table string, column string, vec array<float>")
+    unit = np.array([np.float32(v) for v in vectors], dtype=float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    want = {tuple(sorted([rows[i][:2], rows[j][:2]])) for i in range(len(vectors)) for j in range(i) if rows[i][0] != rows[j][0] and cos[i, j] >= 0.85}
+    got = [((r["table_a"], r["column_a"]), (r["table_b"], r["column_b"])) for r in similar.similar_columns(df, 0.85, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert similar.similar_columns(df.filter("table = 't9'"), 0.85, block).count() == 0
+
+
+def test_similar_columns_prunes_blocks(spark):
+    """On clustered vectors under a tenth of the block pairs are left, and no plan multiplies blocks by blocks."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(40, 64))
+    vectors = centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) * 0.1
+    df = spark.createDataFrame([("t", str(i), v.tolist()) for i, v in enumerate(vectors)], "table string, column string, vec array<double>")
+    unit = similar._unit(df)
+    points = similar._pivots(unit, similar.PIVOTS)
+    placed = similar.stage(similar._blocks(unit, points, 40), "placed")
+    blocks = placed.select("block").distinct().count()
+    assert placed.count() == 4000 and placed.groupBy("block").count().agg(F.max("count")).first()[0] <= 80
+    pairs = similar.block_pairs(placed, len(points), 0.85)
+    assert blocks >= 100 and pairs.count() < 0.1 * blocks * (blocks + 1) / 2
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_schema_documents(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("nodes:\n - type: User\n   attributes: [id, {age: int}]\n - type: Empty\nedges:\n - {type: r, source: User, target: Empty, properties: [at]}\n")
     (tmp_path / "b.json").write_text(json.dumps({"nodes": [{"type": "X", "properties": ["p"]}]}))
