@@ -53,11 +53,16 @@ def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[fl
 
 
 def _unit(vecs: DataFrame) -> DataFrame:
-    """(table, column, vec) scaled to length one; vectors without a length are left out."""
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return vecs.filter(F.size("vec") > 0).withColumn("_len", length).filter("_len > 0").select(
-        F.col("table").cast("string").alias("table"), F.col("column").cast("string").alias("column"),
-        F.transform("vec", lambda v: v.cast("double") / F.col("_len")).alias("vec"))
+    """(table, column, vec) scaled to length one; vectors that are null, empty or zero, or hold a null, are left out."""
+    @F.pandas_udf("array<double>")
+    def scaled(vec: pd.Series) -> pd.Series:
+        out = []
+        for v in vec:
+            x = np.asarray([] if v is None else v, dtype=float)
+            length = np.sqrt(x @ x)
+            out.append(x / length if length > 0 and np.isfinite(length) else None)
+        return pd.Series(out, dtype=object)
+    return vecs.select(F.col("table").cast("string").alias("table"), F.col("column").cast("string").alias("column"), scaled("vec").alias("vec")).filter("vec IS NOT NULL")
 
 
 def _pivots(unit: DataFrame, number: int) -> np.ndarray:
@@ -78,9 +83,9 @@ def _blocks(unit: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
     it has more than ``block`` vectors."""
     @F.pandas_udf("array<double>")
     def away(vec: pd.Series) -> pd.Series:
-        if not len(vec):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.sqrt(np.maximum(2 - 2 * np.stack(vec.to_numpy()) @ pivots.T, 0.0))))
+        there = vec.notna().tolist()  # Spark may ask before it drops the rows without a vector
+        known = iter(np.sqrt(np.maximum(2 - 2 * np.stack(vec[there].tolist()) @ pivots.T, 0.0)) if any(there) else ())
+        return pd.Series([next(known) if t else None for t in there], dtype=object)
     near = F.array_position("away", F.array_min("away")).cast("int")
     placed = unit.withColumn("away", away("vec")).withColumn("cell", near).withColumn("own", F.array_min("away"))
     cuts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.percentile_approx(
@@ -101,8 +106,9 @@ def block_pairs(placed: DataFrame, pivots: int, threshold: float) -> DataFrame:
     that their distances to the first two pivots cover, one side widened by the reach; the bounds of the other pivots then rule pairs out."""
     reach = math.sqrt(max(2 - 2 * threshold, 0.0)) + 1e-6
     width = max(reach, 0.05)
-    bounds = placed.groupBy("block").agg(
-        F.array(*[F.min(F.col("away")[i]) for i in range(pivots)]).alias("lo"), F.array(*[F.max(F.col("away")[i]) for i in range(pivots)]).alias("hi"))
+    spans = placed.select("block", F.posexplode("away").alias("at", "d")).groupBy("block", "at").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    in_order = F.sort_array(F.collect_list(F.struct("at", "lo", "hi")))  # one entry per pivot
+    bounds = spans.groupBy("block").agg(in_order.alias("s")).select("block", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
 
     def keyed(side: str, wider: float) -> DataFrame:
         rows = bounds.select(F.col("block").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
