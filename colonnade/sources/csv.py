@@ -88,8 +88,8 @@ def _wider(a: str, b: str) -> str:
 
 
 def has_header(heads: DataFrame, sep: str) -> bool:
-    """Guess for the first file: its first line against the next four."""
-    first = heads.agg(F.min("path").alias("first"))  # one row
+    """Guess for the first file that has more than one line: its first line against the next four. A part without rows tells nothing."""
+    first = heads.filter("line_no > 1").agg(F.min("path").alias("first"))  # one row
     rows = heads.join(F.broadcast(first), heads["path"] == F.col("first")).select(
         F.col("path").alias("table"), F.col("line_no").alias("pos"), F.split("value", "\\Q" + sep + "\\E" + '(?=(?:[^"]*"[^"]*")*[^"]*$)').alias("cells"))  # marks in quotes part no cells
     row = header_rules.guess_header(rows).first()
