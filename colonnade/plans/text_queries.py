@@ -80,8 +80,8 @@ def described_sql(table: str) -> str:
       FROM ({oracle.facts_sql(table, cols)}) f JOIN ({samples_sql(table)}) s USING (column_name)"""
 
 
-def prof(t: Tables, table: str) -> DataFrame:
-    return pf.profile(getattr(t, table), list(unlisted(table))).withColumn("table_name", F.lit(table))
+def prof(t: Tables, table: str, ranked: bool = True) -> DataFrame:
+    return pf.profile(getattr(t, table), list(unlisted(table)), ranked=ranked).withColumn("table_name", F.lit(table))
 
 
 def lines_sql(table: str) -> str:
@@ -133,7 +133,7 @@ def long_query(name: str, tables: list[str], only: str | None) -> None:
     def run(t: Tables) -> DataFrame:
         out = None
         for table in tables:
-            part = text.long_text(prof(t, table), only).select("table_name", "column_name", "text")
+            part = text.long_text(prof(t, table, only not in ("boolean", "date")), only).select("table_name", "column_name", "text")
             out = part if out is None else out.unionByName(part)
         return out
 
