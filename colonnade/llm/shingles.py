@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles."""
+"""Near-duplicates by SimHash fingerprints and the exact Jaccard similarity of their word shingles."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colonnade.llm import simhash
 from colonnade.llm.simhash import SEED, components
 from colonnade.session import Workspace
 
-TOGETHER = 1 << 18  # shingles of texts held at a time
+TOGETHER = 1 << 18  # shingles of texts held at a time, and pairs from which on they are taken in turns
 GROUP = 256  # pairs of one set in a group
-TURNS = 4  # parts of the shingles that are counted one after another
+TURNS = 4  # parts of the shingles, and of the pairs, that are worked on one after another
+RADIUS = 2  # bits by which fingerprints of candidates differ
+BATCH = 1000  # rows that go to Python at a time
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -34,13 +37,13 @@ def kept(n: int) -> int:
 
 
 def _of_rows(docs: DataFrame, width: int, key: str, text: str, whole: bool) -> DataFrame:
-    """doc_id, `name` of the set of shingles, its size n, and its shingles: all, or the first `kept(n)`."""
+    """doc_id, `name` of the set of shingles, its fingerprint, its size n, and its shingles: all, or the first `kept(n)`."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
         def table(ids: pd.Series, sets: list[np.ndarray]) -> pd.DataFrame:
             names = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            return pd.DataFrame({"doc_id": ids.astype("Int64"), "name": names, "n": [len(s) for s in sets],
+            return pd.DataFrame({"doc_id": ids.astype("Int64"), "name": names, "fp": [simhash.majority(s) for s in sets], "n": [len(s) for s in sets],
                                  "parts": [s if whole else s[:kept(len(s))] for s in sets]}, index=ids.index)
         for b in batches:
             first, sets, size = 0, [], 0
@@ -51,7 +54,7 @@ def _of_rows(docs: DataFrame, width: int, key: str, text: str, whole: bool) -> D
                     yield table(b["doc_id"].iloc[first:i + 1], sets)
                     first, sets, size = i + 1, [], 0
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, name long, n long, parts array<long>")
+    return rows.mapInPandas(run, "doc_id long, name long, fp long, n long, parts array<long>")
 
 
 def _positions(a: np.ndarray, b: np.ndarray) -> int:
@@ -103,6 +106,19 @@ def _pairs(members: DataFrame) -> DataFrame:
     return a.join(b, "key").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Candidates a < b of sets (id, fp, n): the first set of a fingerprint with all others that have it, and with those of the fingerprints that the
+    BK-trees link; at most one pair a set and shard. Sizes must allow a similarity of 0.8."""
+    firsts = sets.groupBy("fp").agg(F.min("id").alias("first"))
+    found = simhash.links(firsts.select("fp"), RADIUS).distinct()
+    ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab"]
+    pairs = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    pairs = pairs.unionByName(sets.join(firsts, "fp").select(F.col("first").alias("x"), F.col("id").alias("y"))).where("x <> y")
+    sizes = [sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy"]
+    fits = 5 * F.least("n_x", "n_y") >= 4 * F.greatest("n_x", "n_y")
+    return pairs.join(sizes[0], "x").join(sizes[1], "y").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _several(rows: DataFrame, of: str) -> DataFrame:
     """Rows of the keys under which `of` takes more than one value, with its smallest value `least` and the number `m` of the key's rows. Keys are
     counted with partial sums and joined back, so that a very common key can be split."""
@@ -114,6 +130,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text:
     """doc_id and component_id of every row of docs: rows are linked when the sets of their `width`-word shingles have a Jaccard similarity of
     0.8 or more, and component_id is the smallest doc_id that links reach.
 
+    SimHash fingerprints of the sets meet in BK-trees, and what these find is compared first, which links light copies by one pair a member. A few
+    bits do not reach all pairs, so the shingles themselves find the others.
     No pair is lost: sets that are that similar have a shingle in common among the first n // 5 + 1 of each, in any order of all shingles.
     Equal sets count once. In the order of the hashes, the sets under each shingle are compared with the smallest first, which
     links large groups by one pair a member. For the pairs that are not yet linked the order is another: shingles under which
@@ -122,14 +140,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text:
     which rules out most of those that only share a passage; whole sets are made for the sets that are left. Written
     tables are dropped when the last table that needs them is written.
     Null and empty texts are equal sets; rows without doc_id take their component's smallest; further columns are ignored."""
-    with Workspace(docs.sparkSession, "shingles") as space:
+    with Workspace(docs.sparkSession, "shingles", {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}) as space:
         return _linked(space, docs, width, key, text, limit)
 
 
 def _linked(space: Workspace, docs: DataFrame, width: int, key: str, text: str, limit: int) -> DataFrame:
     stage, drop = space.stage, space.drop
     marked = stage(_of_rows(docs, width, key, text, False), "marked")
-    sets = stage(marked.groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+    sets = stage(marked.groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("parts").alias("parts"))
                  .withColumn("id", F.monotonically_increasing_id()), "sets")
 
     def whole(ids: DataFrame) -> DataFrame:
@@ -141,11 +159,18 @@ def _linked(space: Workspace, docs: DataFrame, width: int, key: str, text: str,
         return out
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = stage(_passing(pairs, sets.select("id", "n", "parts"), possible), "near")
-        of = whole(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        out = stage(_passing(near, of, similar), "links")
-        drop(near, of)
-        return out
+        # the sets of the pairs go through the shuffle, so pairs are taken in turns
+        pairs, out = stage(pairs, "pairs"), []
+        turns = min(TURNS, 1 + pairs.count() // TOGETHER)
+        for i in range(turns):
+            near = stage(_passing(pairs.where(F.pmod(F.xxhash64("a"), F.lit(turns)) == i), sets.select("id", "n", "parts"), possible), "near")
+            of = whole(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+            out.append(stage(_passing(near, of, similar), "links"))
+            drop(near, of)
+        drop(pairs)
+        return reduce(DataFrame.unionByName, out)
+    light = confirmed(fingerprint_pairs(sets.where("n > 0").select("id", "fp", "n")))
+    linked = stage(components(light).select(F.col("node").alias("id"), F.col("root").alias("part")), "parts")
     # the shingles are taken in turns, so that only one turn's rows lie in shuffle files at a time
     rows = sets.select("id", "n", F.posexplode("parts").alias("at", "key"))
     turns = [stage(_several(rows.where(F.pmod("key", F.lit(TURNS)) == i).withColumn("own", F.col("id")), "own").drop("own"), "met") for i in range(TURNS)]
@@ -154,7 +179,9 @@ def _linked(space: Workspace, docs: DataFrame, width: int, key: str, text: str,
     firsts = sets.select(F.col("id").alias("least"), F.col("n").alias("least_n"))
     fits = 5 * F.least("n", "least_n") >= 4 * F.greatest("n", "least_n")
     some = met.where((F.col("id") != F.col("least")) & (F.col("at") <= F.floor(F.col("n") / 5))).groupBy("least", "id").agg(F.first("n").alias("n"))
-    links = confirmed(some.join(firsts, "least").where(fits).select(F.col("least").alias("a"), F.col("id").alias("b")))
+    sides = [linked.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part")) for c in "ab"]
+    open_pairs = some.join(firsts, "least").where(fits).select(F.col("least").alias("a"), F.col("id").alias("b")).join(sides[0], "a", "left").join(sides[1], "b", "left")
+    links = light.unionByName(confirmed(open_pairs.where("coalesce(a_part <> b_part, true)").select("a", "b")))
     parts = stage(components(links).select(F.col("node").alias("id"), F.col("root").alias("part")), "parts")
     known = met.drop("least", "m").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
     before = F.sum(F.col("common").cast("long")).over(Window.partitionBy("id").orderBy("at"))
@@ -177,10 +204,10 @@ def _linked(space: Workspace, docs: DataFrame, width: int, key: str, text: str,
         pairs = stage(pairs, "pairs")
         drop(of, own)
     more = confirmed(pairs)
-    drop(left, parts, poor)
+    drop(left, parts, poor, linked)
     roots = components(links.unionByName(more))
     rooted = stage(sets.join(roots, F.col("id") == F.col("node"), "left").select("name", "first_id", F.coalesce("root", "id").alias("root")), "roots")
-    drop(sets, links, more)
+    drop(sets)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = stage(rooted.join(least, "root").select("name", "component_id"), "named")
     drop(rooted)

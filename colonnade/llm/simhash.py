@@ -27,7 +27,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         return 0
     shingles = [words] if len(words) < width else zip(*(words[i:] for i in range(width)))
     count = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), map(b" ".join, shingles)), np.uint64, count)
+    return majority(np.fromiter(map(partial(xxh64_intdigest, seed=SEED), map(b" ".join, shingles)), np.uint64, count))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer; zero without hashes."""
+    count = len(hashes)
+    if not count:
+        return 0
     ones = sum(np.unpackbits(hashes[i:i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                for i in range(0, count, CHUNK))
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.int64)[0])

@@ -55,6 +55,19 @@ def test_equals_brute_force(spark, make_docs, odd_texts, limit):
     assert shingles.near_duplicates(make_docs([])).collect() == []
 
 
+def test_links_come_through_fingerprints(spark, make_docs, monkeypatch):
+    """Light copies are found by the fingerprints and BK-trees of the named method, before any shingle is shared out."""
+    texts, asked, seen = planted(random.Random(5)), [], shingles.fingerprint_pairs
+
+    def watched(sets):
+        asked.append({(r["a"], r["b"]) for r in seen(sets).collect()})
+        return seen(sets)
+    monkeypatch.setattr(shingles, "fingerprint_pairs", watched)
+    roots = brute_components(texts)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(make_docs(texts)).collect()}
+    assert len(asked) == 1 and asked[0] and len({(roots[i], c) for i, c in got.items()}) == len(set(roots))
+
+
 def test_stage_drops_edited_copies(spark, make_docs):
     """Copies whose five-word shingles agree to 0.8 to 0.95, which two bits of a fingerprint miss."""
     texts = planted(random.Random(8))
