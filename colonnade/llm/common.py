@@ -13,14 +13,21 @@ from pyspark.sql.window import Window
 
 
 def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
-    """A value that a Python worker makes once and keeps for its later tasks. Functions travel by value, so their
-    own module's globals start anew in every task; the interpreter's do not."""
+    """A value that a Python worker makes once and keeps for its later tasks, until one asks for another: workers live as long as the session,
+    and what all its operators keep would add up. Functions travel by value, so their own module's globals start anew in every task;
+    the interpreter's do not."""
     kept = vars(sys).setdefault("_colonnade_kept", {})
     if name not in kept:
+        kept.clear()
         kept[name] = make()
     return kept[name]
 
 
+def keep_nothing() -> None:
+    """Frees what `kept_by_worker` keeps, for tasks that need the memory themselves."""
+    vars(sys).get("_colonnade_kept", {}).clear()
+
+
 def uniform31(*parts: Column) -> Column:
     """A long in [0, 2**31), spread evenly over distinct values of `parts`."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 33)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colonnade.llm import simhash
+from colonnade.llm.common import keep_nothing
 from colonnade.llm.simhash import SEED, components
 from colonnade.session import Workspace
 
@@ -45,6 +46,7 @@ def _of_rows(docs: DataFrame, width: int, key: str, text: str, whole: bool) -> D
             names = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             return pd.DataFrame({"doc_id": ids.astype("Int64"), "name": names, "fp": [simhash.majority(s) for s in sets], "n": [len(s) for s in sets],
                                  "parts": [s if whole else s[:kept(len(s))] for s in sets]}, index=ids.index)
+        keep_nothing()
         for b in batches:
             first, sets, size = 0, [], 0
             for i, t in enumerate(b["text"]):
@@ -87,6 +89,7 @@ def _passing(pairs: DataFrame, sets: DataFrame, test: Callable[[np.ndarray, int,
     members = pairs.join(groups, "a").join(sets, F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("at"), "b", *own)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_nothing()
         of, n_a, center = None, 0, None
         for t in batches:
             found = []

@@ -76,3 +76,16 @@ def test_stage_drops_edited_copies(spark, make_docs):
     assert len(light) > 20
     kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, make_docs(texts), "").collect()}
     assert kept == {i for i, root in enumerate(roots) if root == i} and not kept & set(light)
+
+
+def test_a_worker_keeps_the_values_of_one_operator_and_near_duplicates_none():
+    """What packing, scoring and the like keep would add up over a session, and near-duplicates need the memory themselves."""
+    import sys
+
+    from colonnade.llm import common
+
+    common.keep_nothing()
+    made = [common.kept_by_worker(name, lambda n=name: [n]) for name in ("packing", "toxicity", "toxicity")]
+    assert made[1] is made[2] and vars(sys)["_colonnade_kept"] == {"toxicity": ["toxicity"]}
+    common.keep_nothing()
+    assert vars(sys)["_colonnade_kept"] == {}
