@@ -25,12 +25,12 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Kept(dict):
-    def __init__(self, make):
+    def __init__(self, make, most):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self.most:
             self.clear()
         self[key] = made = self.make(key)
         return made
@@ -41,7 +41,7 @@ class Coder:
     and never looks across it, so a text is encoded word by word and each word once. The strings of special tokens give their ids, as in the
     tokenizer as it is loaded, or with `marks_as_text` those of plain text."""
 
-    def __init__(self, path: str = VOCABULARY, marks_as_text: bool = False):
+    def __init__(self, path: str = VOCABULARY, marks_as_text: bool = False, kept: int = KEPT_WORDS):
         import regex
         from tokenizers import Tokenizer
 
@@ -54,7 +54,7 @@ class Coder:
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = iter(range(0x100, 0x200))
         self.letter = [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-        self.words, self.known = _Kept(self._word), _Kept(self._part)
+        self.words, self.known = _Kept(self._word, kept), _Kept(self._part, kept)
 
     def _part(self, part: str) -> bytes:
         written = part if part.isascii() else "".join(map(self.letter.__getitem__, part.encode()))
@@ -70,22 +70,22 @@ class Coder:
         return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
 
 
-def coder(path: str = VOCABULARY, marks_as_text: bool = False) -> Coder:
-    return kept_by_worker(f"word_bpe {path} {marks_as_text}", lambda: Coder(path, marks_as_text))
+def coder(path: str = VOCABULARY, marks_as_text: bool = False, kept: int = KEPT_WORDS) -> Coder:
+    return kept_by_worker(f"word_bpe {path} {marks_as_text} {kept}", lambda: Coder(path, marks_as_text, kept))
 
 
 def pieces(docs: DataFrame, path: str = VOCABULARY, room: int = ROOM, ids: bool = True, key: str = "doc_id", text: str = "text",
-           marks_as_text: bool = False) -> DataFrame:
+           marks_as_text: bool = False, kept: int = KEPT_WORDS) -> DataFrame:
     """Every document as pieces of at most `room` ids: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (array of int).
 
     A document is its ids and END; null and empty texts are END alone. It is cut after every `room` ids, so all pieces but
-    its last are full. Null keys and repeated rows are ordinary rows; further columns are ignored."""
+    its last are full. Null keys and repeated rows are ordinary rows; further columns are ignored. A worker keeps the ids of `kept` words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = array("I", [END]).tobytes()
         for b in batches:
             out = []
             for doc, t in zip(b["doc_id"], b["text"]):
-                data = coder(path, marks_as_text).encode(t) + end
+                data = coder(path, marks_as_text, kept).encode(t) + end
                 for at in range(0, len(data), 4 * room):
                     part = data[at:at + 4 * room]
                     out.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4) + ((array("I", part).tolist(),) if ids else ()))

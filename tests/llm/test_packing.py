@@ -30,6 +30,14 @@ def test_marks_are_special_unless_asked_otherwise():
         assert np.frombuffer(packing.Coder(marks_as_text=True).encode(text), "<u4").tolist() == reference(True)(text)
 
 
+def test_few_kept_words_give_the_same_ids(spark, make_docs, odd_texts):
+    few, text = packing.Coder(kept=3), "oak elm ash yew fir don't oak zwölf elm 12 ash 7 yew"
+    assert np.frombuffer(few.encode(text), "<u4").tolist() == reference()(text) and max(len(few.words), len(few.known)) <= 3
+    docs = make_docs(odd_texts)
+    few, all_kept = [sorted(map(str, packing.pieces(docs, kept=n).collect())) for n in (3, packing.KEPT_WORDS)]
+    assert few == all_kept
+
+
 def brute_packs(lengths, room):
     """Every piece on its own, longest first, into a pack with the most room left."""
     left = []

@@ -82,3 +82,24 @@ def test_query_is_registered(spark):
 
     names = [q for q in e.queries() if q.startswith("op") or q == "pipeline"]
     assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names and packing.ROOM == 2048
+
+
+def test_python_gets_few_rows_of_texts_at_a_time(spark, make_docs, tmp_path):
+    """10,000 rows a batch and 450,000 kept words took an executor beyond its memory in packing."""
+    import pandas as pd
+
+    docs = make_docs(["oak elm ash"] * 2500).coalesce(1)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.conf.get(corpus_pipeline.ROWS_A_BATCH)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "near_duplicates":
+                spark.conf.set(corpus_pipeline.ROWS_A_BATCH, "10000")
+                stage(spark, docs, str(tmp_path))
+                sizes = docs.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+                assert sum(r["n"] for r in sizes) == 2500 and max(r["n"] for r in sizes) <= 1000, name
+    finally:
+        spark.conf.set(corpus_pipeline.ROWS_A_BATCH, before)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert spark.conf.get(corpus_pipeline.ROWS_A_BATCH) == before
