@@ -291,9 +291,9 @@ def graph_nodes(t: Tables) -> DataFrame:
 
 
 def all_edges(t: Tables) -> DataFrame:
-    placed = schema.materialize_edges(t.orders, "PLACED", "Customer", "o_custkey", "Order", "o_orderkey")
-    contains = schema.materialize_edges(t.lineitem, "CONTAINS", "Order", "l_orderkey", "Part", "l_partkey", t.part, "p_partkey")
-    supplied = schema.materialize_edges(t.lineitem, "SUPPLIED_BY", "Part", "l_partkey", "Supplier", "l_suppkey", t.supplier, "s_suppkey")
+    placed = schema.materialize_edges(t.orders, "PLACED", "Customer", "o_custkey", "Order", "o_orderkey", together="o_custkey")
+    contains = schema.materialize_edges(t.lineitem, "CONTAINS", "Order", "l_orderkey", "Part", "l_partkey", t.part, "p_partkey", together="l_partkey")
+    supplied = schema.materialize_edges(t.lineitem, "SUPPLIED_BY", "Part", "l_partkey", "Supplier", "l_suppkey", t.supplier, "s_suppkey", together="l_partkey")
     nation = schema.materialize_edges(t.customer, "IN_NATION", "Customer", "c_custkey", "Nation", "c_nationkey", t.nation, "n_nationkey")
     return placed.unionByName(contains).unionByName(supplied).unionByName(nation)
 
