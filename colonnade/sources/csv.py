@@ -256,13 +256,38 @@ def _names(head: str, sep: str, header: bool) -> list[str]:
     return [f"_c{i}" if not c else f"{c}{i}" if cells.count(c) > 1 else c for i, c in enumerate(cells)]
 
 
+# The parser drops or stops at these characters, so they are spelled otherwise while it runs. No cell can hold NOTHING then, which stands for a cell
+# without text and without quotes.
+SPELLED = [("\ufffe", "\ufffe0"), ("\uffff", "\ufffe1"), ("\x00", "\ufffe2")]
+NOTHING = "\ufffen"
+
+
+def _spelled(value: Column) -> Column:
+    out = value
+    for mark, spelling in SPELLED:
+        out = F.replace(out, F.lit(mark), F.lit(spelling))
+    return F.when(F.contains(value, F.lit("\ufffe")) | F.contains(value, F.lit("\uffff")) | F.contains(value, F.lit("\x00")), out).otherwise(value)
+
+
+def _unspelled(value: Column) -> Column:
+    out = value
+    for mark, spelling in reversed(SPELLED):
+        out = F.replace(out, F.lit(spelling), F.lit(mark))
+    return F.when(F.contains(value, F.lit("\ufffe")), out).otherwise(value)
+
+
 def _parsed(rows: DataFrame, names: list[str], types: dict[str, str], sep: str, bad: str | None) -> DataFrame:
-    """Cells of records, by position in their file, under the names of its header; `bad` takes records that do not fit."""
+    """Cells of records, by position in their file, under the names of its header; `bad` takes records that do not fit. Empty quotes are an
+    empty text, a cell without them is missing; in columns that are no texts both are missing."""
     kinds = ", ".join([*[f"c{i} {types.get(n, 'string')}" for i, n in enumerate(names)], "_bad string"])
     options = {**CELLS, "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxCharsPerColumn": "-1"}
-    cells = rows.select(F.from_csv("value", kinds, options).alias("r"))
-    columns = [F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]
-    return cells.select(*columns, *([F.col("r._bad").alias(bad)] if bad else []))
+    value = _spelled(F.col("value"))
+    parsed = [F.from_csv(value, kinds, {**options, "nullValue": NOTHING}).alias("r")]
+    if bad:
+        parsed.append(F.from_csv(value, kinds, options)["_bad"].alias("_bad"))  # empty quotes are no fault in a number
+    cells = rows.select(*parsed)
+    columns = [(_unspelled(F.col(f"r.c{i}")) if types.get(n, "string") == "string" else F.col(f"r.c{i}")).alias(n) for i, n in enumerate(names)]
+    return cells.select(*columns, *([_unspelled(F.col("_bad")).alias(bad)] if bad else []))
 
 
 NUMBER_CELL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^NaN$|^[+-]?Inf$"
@@ -271,12 +296,12 @@ TIME_CELL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]
 
 
 def _types(cells: DataFrame) -> dict[str, str]:
-    """Narrowest type that holds all cells of each column, from one aggregate; the driver gets one row."""
+    """Narrowest type that holds all cells of each column but missing and empty ones, from one aggregate; the driver gets one row."""
     fits = {"int": lambda c: c.rlike("^[+-]?[0-9]+$") & c.try_cast("int").isNotNull(), "bigint": lambda c: c.rlike("^[+-]?[0-9]+$") & c.try_cast("bigint").isNotNull(),
             "double": lambda c: c.rlike(NUMBER_CELL), "boolean": lambda c: F.lower(c).isin("true", "false"),
             "date": lambda c: c.rlike(DATE_CELL) & c.try_cast("date").isNotNull(), "timestamp": lambda c: c.rlike(f"{DATE_CELL}|{TIME_CELL}") & c.try_cast("timestamp").isNotNull()}
-    columns = [F.col(f"`{n.replace('`', '``')}`") for n in cells.columns]
-    tests = [F.coalesce(F.bool_and(fit(c)), F.lit(True)).alias(f"{i}{kind}") for i, c in enumerate(columns) for kind, fit in fits.items()]
+    columns = [F.nullif(F.col(f"`{n.replace('`', '``')}`"), F.lit("")) for n in cells.columns]
+    tests = [F.coalesce(F.bool_and(F.when(c.isNotNull(), fit(c))), F.lit(True)).alias(f"{i}{kind}") for i, c in enumerate(columns) for kind, fit in fits.items()]
     row = cells.agg(*tests, *[F.count(c).alias(f"{i}n") for i, c in enumerate(columns)]).first()
     return {n: next((k for k in fits if row[f"{i}{k}"]), "string") if row[f"{i}n"] else "void" for i, n in enumerate(cells.columns)}
 
