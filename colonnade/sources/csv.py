@@ -256,9 +256,9 @@ def _names(head: str, sep: str, header: bool) -> list[str]:
     return [f"_c{i}" if not c else f"{c}{i}" if cells.count(c) > 1 else c for i, c in enumerate(cells)]
 
 
-# The parser drops or stops at these characters, so they are spelled otherwise while it runs. No cell can hold NOTHING then, which stands for a cell
-# without text and without quotes.
-SPELLED = [("\ufffe", "\ufffe0"), ("\uffff", "\ufffe1"), ("\x00", "\ufffe2")]
+# The parser drops or stops at these characters (a byte order mark where it begins a record), so they are spelled otherwise while it runs. No cell can
+# hold NOTHING then, which stands for a cell without text and without quotes.
+SPELLED = [("\ufffe", "\ufffe0"), ("\uffff", "\ufffe1"), ("\x00", "\ufffe2"), ("\ufeff", "\ufffe3")]
 NOTHING = "\ufffen"
 
 
@@ -266,7 +266,8 @@ def _spelled(value: Column) -> Column:
     out = value
     for mark, spelling in SPELLED:
         out = F.replace(out, F.lit(mark), F.lit(spelling))
-    return F.when(F.contains(value, F.lit("\ufffe")) | F.contains(value, F.lit("\uffff")) | F.contains(value, F.lit("\x00")), out).otherwise(value)
+    found = F.contains(value, F.lit("\ufffe")) | F.contains(value, F.lit("\uffff")) | F.contains(value, F.lit("\x00")) | F.startswith(value, F.lit("\ufeff"))
+    return F.when(found, out).otherwise(value)
 
 
 def _unspelled(value: Column) -> Column:
